@@ -1,0 +1,5 @@
+"""Streaming: the reference has no streaming sources, state or watermarks.
+
+Every read it does is a batch table scan, so nothing is built here; the batch
+operators work unchanged on micro-batches via ``foreachBatch`` if needed.
+"""
