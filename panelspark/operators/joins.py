@@ -93,3 +93,20 @@ def left_join(df: DataFrame, other: DataFrame, on: Sequence[str] | Column, broad
     if broadcast_rows is not None:
         other = sized_broadcast(other, broadcast_rows)
     return df.join(other, on=on, how="left")
+
+
+def keep_members(df: DataFrame, column: str, values=None, table: DataFrame | None = None,
+                 table_column: str | None = None) -> DataFrame:
+    """Keep rows whose ``column`` is in a literal list OR in a table column.
+
+    A literal list becomes ``isin`` (pushed into the scan); a table becomes a
+    ``left_semi`` join (no duplicates, no columns added). Giving both is an error.
+    """
+    if values is not None and table is not None:
+        raise ValueError("give values or table, not both")
+    if values is not None:
+        return df.filter(F.col(column).isin(list(values)))
+    if table is None:
+        return df
+    t = table.select(F.col(table_column or column).alias("__m"))
+    return df.join(t, df[column] == t["__m"], "left_semi")

@@ -81,7 +81,7 @@ def distinct_profile(df: DataFrame, cols: Sequence[str], approx: bool = False) -
         return agg.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"d__{i}").alias("n_distinct"))
                                              for i, c in enumerate(cols)])))
     long = melt(df, [], cols).filter(F.col("value").isNotNull())
-    pairs = long.groupBy("column", "value").agg()
+    pairs = long.select("column", "value").distinct()
     return pairs.groupBy("column").agg(F.count(F.lit(1)).alias("n_distinct"))
 
 
@@ -131,11 +131,21 @@ def assign_bins(df: DataFrame, c: str, edges: DataFrame, out: str = "bin") -> Da
     edges (impossible after widening) get null.
     """
     e = edges.select("edges").scalar()
-    x = F.col(c).cast("double")
-    idx = F.aggregate(F.slice(e, 2, F.size(e) - 2), F.lit(0),
-                      lambda acc, v: acc + F.when(x > v, 1).otherwise(0))
+    return df.withColumn(out, bin_index(F.col(c).cast("double"), e))
+
+
+MAX_EDGES = len(BIN_PERCENTILES)  # at most 6 edges -> at most 4 inner edges
+
+
+def bin_index(x: Column, e: Column) -> Column:
+    """1-based right-closed bin of ``x`` for edges ``e`` (lowest edge included),
+    null outside the edges. Unrolled over the (at most 4) inner edges, so ``e``
+    may be a scalar subquery."""
+    idx = F.lit(1)
+    for i in range(1, MAX_EDGES - 1):
+        idx = idx + F.when((F.size(e) > i + 1) & (x > e[i]), 1).otherwise(0)
     inside = (x >= e[0]) & (x <= F.element_at(e, -1))
-    return df.withColumn(out, F.when(F.col(c).isNull(), F.lit(None)).when(inside, idx + 1).otherwise(F.lit(None)))
+    return F.when(x.isNotNull() & inside, idx)
 
 
 def target_by_bin(df: DataFrame, c: str, target: str) -> DataFrame:
@@ -181,12 +191,12 @@ def histogram_density(df: DataFrame, c: str, bins: int = 30, group: Column | Non
     lo, hi = mm.select("lo").scalar(), mm.select("hi").scalar()
     width = F.when(hi > lo, (hi - lo) / bins).otherwise(F.lit(1.0))
     b = F.least(F.floor((F.col("x") - lo) / width).cast("int"), F.lit(bins - 1))
-    counts = base.groupBy("group", b.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    totals = base.groupBy("group").agg(F.count(F.lit(1)).alias("N"))
+    counts = base.withColumn("bin", b).groupBy("group", "bin").agg(F.count(F.lit(1)).alias("n"))
+    totals = base.groupBy("group").agg(F.count(F.lit(1)).alias("__total"))
     r = (lambda x: F.round(x, digits)) if digits is not None else (lambda x: x)
     return counts.join(totals, "group").select(
         "group", "bin", r(lo + F.col("bin") * width).alias("lower"), r(lo + (F.col("bin") + 1) * width).alias("upper"),
-        "n", r(F.col("n") / (F.col("N") * width)).alias("density"))
+        "n", r(F.col("n") / (F.col("__total") * width)).alias("density"))
 
 
 def zero_share(df: DataFrame, target: str, flag: Column | None = None) -> DataFrame:

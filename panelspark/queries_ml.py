@@ -1 +1,313 @@
-"""Registered queries: feature engineering, models, evaluation."""
+"""Registered queries: feature engineering, models, evaluation, end-to-end pipeline.
+
+Regression input: lineitem joined to part (label ``l_extendedprice``), split by
+a hash of the line key into train/test/val. Model outputs depend on solvers and
+seeds, so most of these are rows-only; closed-form parts carry oracle SQL.
+"""
+
+from __future__ import annotations
+
+import os
+import uuid
+
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.pipeline import PipelineModel
+from pyspark.sql import functions as F
+
+from panelspark import oracle_sql as O
+from panelspark.operators import evaluate as E
+from panelspark.operators import features as FE
+from panelspark.operators import models as M
+from panelspark.operators import split as X
+from panelspark.registry import query
+from panelspark.session import ensure_checkpoint_dir
+from panelspark.sources import fixtures
+from panelspark.sources.tables import read_table
+
+NUM = ["l_quantity", "l_discount", "l_tax", "p_retailprice"]
+CAT = ["l_returnflag", "p_brand"]
+KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+LABEL = "l_extendedprice"
+
+
+def regression_input(spark, root):
+    li = read_table(spark, root, "lineitem")
+    p = read_table(spark, root, "part").select("p_partkey", "p_retailprice", "p_brand", "p_size")
+    j = li.join(p, li.l_partkey == p.p_partkey)
+    return j.select(*KEY, *NUM, *CAT, F.col(LABEL).alias("label"),
+                    X.split_column(KEY, 0.6, True, seed=42).alias("split"))
+
+
+def _fitted(spark, root, groups=True):
+    data = regression_input(spark, root)
+    train = data.filter(F.col("split") == "train")
+    pca = {"pca_all": (NUM, 3), "pca_price": (["l_quantity", "p_retailprice"], 2)} if groups else {}
+    fm = FE.fit_feature_pipeline(train, FE.FeatureSpec(NUM, CAT, pca))
+    return data, fm
+
+
+@query("missing_indicator", O.with_(O.APPEARANCES) + """
+select event_id, cast(maybe is null as integer) as missing_indicator_maybe from appearances""")
+def q_missing_indicator(spark, root):
+    a = fixtures.appearances(spark, root).select("event_id", "minutes", "points", "maybe")
+    out = FE.missing_indicators(a, ["minutes", "points", "maybe"])
+    return out.select("event_id", *[c for c in out.columns if c.startswith("missing_indicator_")])
+
+
+@query("impute_median", O.with_(O.APPEARANCES) + """
+select event_id, round(coalesce(maybe, (select median(maybe) from appearances)), 6) as maybe from appearances""")
+def q_impute_median(spark, root):
+    a = fixtures.appearances(spark, root).select("event_id", "maybe")
+    return FE.impute_median(a, ["maybe"]).select("event_id", F.round("maybe", 6).alias("maybe"))
+
+
+@query("standardize", O.with_(O.APPEARANCES) + """
+select event_id, round((points - (select avg(points) from appearances)) /
+                       (select case when stddev_pop(points) = 0 then 1 else stddev_pop(points) end from appearances), 6)
+       as points_z from appearances""")
+def q_standardize(spark, root):
+    a = fixtures.appearances(spark, root).select("event_id", "points")
+    z = FE.standardize(a, ["points"], suffix="_z")
+    return z.select("event_id", F.round("points_z", 6).alias("points_z"))
+
+
+@query("one_hot")
+def q_one_hot(spark, root):
+    """fit on train rows; unseen categories in other rows encode as all zeros."""
+    data, fm = _fitted(spark, root, groups=False)
+    out = fm.transform(data)
+    return out.select(*KEY, "split", *[vector_to_array(c + "__oh").alias(c + "_onehot") for c in CAT])
+
+
+@query("pca_groups")
+def q_pca_groups(spark, root):
+    data, fm = _fitted(spark, root)
+    out = fm.transform(data)
+    return out.select(*KEY, vector_to_array("pca_all__pca").alias("pca_all"),
+                      vector_to_array("pca_price__pca").alias("pca_price"))
+
+
+@query("feature_pipeline")
+def q_feature_pipeline(spark, root):
+    data, fm = _fitted(spark, root)
+    return fm.transform(data).select(*KEY, "split", vector_to_array("features").alias("features"))
+
+
+@query("feature_names")
+def q_feature_names(spark, root):
+    _, fm = _fitted(spark, root)
+    names = FE.feature_names(fm)
+    return spark.createDataFrame(list(enumerate(names)), "idx int, name string")
+
+
+def _fit_eval(spark, root, algo, params):
+    data, fm = _fitted(spark, root, groups=False)
+    feats = fm.transform(data).select(*KEY, "features", "label", "split").cache()
+    train = feats.filter(F.col("split") == "train")
+    est = M.build_estimator(algo, params, M.label_stats(train, "label"))
+    model = est.fit(train)
+    return E.regression_metrics(model.transform(feats), "label", "prediction", "split")
+
+
+@query("fit_linear")
+def q_fit_linear(spark, root):
+    return _fit_eval(spark, root, "linear", {"fit_intercept": True})
+
+
+@query("fit_ridge")
+def q_fit_ridge(spark, root):
+    return _fit_eval(spark, root, "ridge", {"alpha": 1.0, "max_iter": 1000})
+
+
+@query("fit_lasso")
+def q_fit_lasso(spark, root):
+    return _fit_eval(spark, root, "lasso", {"alpha": 0.1, "max_iter": 1000})
+
+
+@query("fit_elasticnet")
+def q_fit_elasticnet(spark, root):
+    return _fit_eval(spark, root, "elasticnet", {"alpha": 0.1, "l1_ratio": 0.5, "max_iter": 1000})
+
+
+@query("fit_tree")
+def q_fit_tree(spark, root):
+    return _fit_eval(spark, root, "tree", {"max_depth": 7, "min_samples_leaf": 5})
+
+
+@query("fit_forest")
+def q_fit_forest(spark, root):
+    return _fit_eval(spark, root, "forest", {"n_estimators": 20, "max_depth": 7, "max_features": "sqrt",
+                                              "bootstrap": True, "min_samples_leaf": 2})
+
+
+@query("fit_gbt")
+def q_fit_gbt(spark, root):
+    return _fit_eval(spark, root, "gbt", {"loss": "squared_error", "learning_rate": 0.1, "max_depth": 4,
+                                          "n_estimators": 20, "min_samples_leaf": 2})
+
+
+def _search_input(spark, root):
+    data, fm = _fitted(spark, root, groups=False)
+    return fm.transform(data).select(*KEY, "features", "label", "split")
+
+
+@query("grid_search")
+def q_grid_search(spark, root):
+    """Random settings, predefined split (train = -1, val = 0), tuning sample."""
+    d = _search_input(spark, root).filter(F.col("split").isin("train", "val"))
+    d = d.withColumn("fold", F.when(F.col("split") == "train", -1).otherwise(0))
+    d = X.sample_rows(d, 0.5, seed=42).cache()
+    return M.grid_search(spark, d, "ridge", M.GRIDS["ridge"], n_random=4, fold_col="fold")
+
+
+@query("cv_search")
+def q_cv_search(spark, root):
+    """5 hash folds over train + val rows."""
+    d = _search_input(spark, root).filter(F.col("split").isin("train", "val"))
+    d = d.withColumn("fold", X.fold_column(KEY, 5, seed=42)).cache()
+    return M.grid_search(spark, d, "linear", M.GRIDS["linear"], n_random=None, fold_col="fold")
+
+
+@query("guarded_choice")
+def q_guarded_choice(spark, root):
+    d = _search_input(spark, root).filter(F.col("split").isin("train", "val"))
+    d = d.withColumn("fold", F.when(F.col("split") == "train", -1).otherwise(0)).cache()
+    res = M.grid_search(spark, d, "tree", {"max_depth": [2, 5, 9], "min_samples_leaf": [1, 20]}, n_random=None)
+    return M.guarded_choice(res)
+
+
+@query("final_fit")
+def q_final_fit(spark, root):
+    """Fit on train + val, save with the model writer, reload, evaluate on test."""
+    data, fm = _fitted(spark, root, groups=False)
+    tv = data.filter(F.col("split").isin("train", "val"))
+    model = M.fit_final(tv, fm, "ridge", {"alpha": 1.0, "max_iter": 1000})
+    path = os.path.join(ensure_checkpoint_dir(spark), "models", uuid.uuid4().hex)
+    M.save_model(model, path)
+    back = PipelineModel.load(path)
+    return E.regression_metrics(back.transform(data.filter(F.col("split") == "test")), "label", "prediction", "split")
+
+
+@query("leaderboard")
+def q_leaderboard(spark, root):
+    """Several models, test MSE ascending, arg-min flagged."""
+    data, fm = _fitted(spark, root, groups=False)
+    feats = fm.transform(data).select("features", "label", "split").cache()
+    train, test = feats.filter(F.col("split") == "train"), feats.filter(F.col("split") == "test")
+    stats = M.label_stats(train, "label")
+    specs = {"linear": {"fit_intercept": True}, "ridge": {"alpha": 1.0},
+             "tree": {"max_depth": 5, "min_samples_leaf": 5}}
+    scores = []
+    for algo, p in specs.items():
+        m = M.build_estimator(algo, p, stats).fit(train)
+        mse = E.regression_metrics(m.transform(test), "label", "prediction", None).select("MSE").first()[0]
+        scores.append((algo, float(mse)))
+    return M.leaderboard(spark, scores)
+
+
+@query("coef_table")
+def q_coef_table(spark, root):
+    """E2 on the numeric features (a full one-hot block plus intercept is singular:
+    the normal equations then have no unique covariance)."""
+    data = regression_input(spark, root)
+    train = data.filter(F.col("split") == "train")
+    fm = FE.fit_feature_pipeline(train, FE.FeatureSpec(NUM, []))
+    return E.coef_table(spark, fm.transform(train), FE.feature_names(fm))
+
+
+@query("tree_importance")
+def q_tree_importance(spark, root):
+    data, fm = _fitted(spark, root, groups=False)
+    train = fm.transform(data.filter(F.col("split") == "train"))
+    m = M.build_estimator("tree", {"max_depth": 6, "min_samples_leaf": 5}).fit(train)
+    return E.tree_importance(spark, m, FE.feature_names(fm), k=20)
+
+
+@query("permutation_importance")
+def q_permutation_importance(spark, root):
+    data, fm = _fitted(spark, root, groups=False)
+    feats = fm.transform(data).select(*KEY, "features", "label", "split")
+    m = M.build_estimator("linear", {"fit_intercept": True}).fit(feats.filter(F.col("split") == "train"))
+    test = feats.filter(F.col("split") == "test")
+    return E.permutation_importance(m, test, FE.feature_names(fm), key=KEY, n_repeats=5)
+
+
+REG_SQL = """
+with d as (select l_quantity, l_extendedprice,
+  case when b < 6000 then 'train' when b < 8000 then 'test' else 'val' end as split from (
+  select *, cast(('0x' || substr(md5(concat_ws('|', '42', cast(l_orderkey as varchar), cast(l_linenumber as varchar),
+         cast(l_partkey as varchar), cast(l_suppkey as varchar))), 1, 8)) as bigint) % 10000 as b
+  from lineitem) x),
+f as (select regr_slope(l_extendedprice, l_quantity) as b, regr_intercept(l_extendedprice, l_quantity) as a
+      from d where split = 'train'),
+p as (select d.*, f.a + f.b * d.l_quantity as prediction from d, f)
+"""
+
+
+@query("regression_metrics", REG_SQL + """
+select split, count(*) as n, round(1 - avg((l_extendedprice - prediction) * (l_extendedprice - prediction)) /
+       var_pop(l_extendedprice), 6) as R2,
+       round(avg(abs(l_extendedprice - prediction)), 4) as MAE,
+       round(avg((l_extendedprice - prediction) * (l_extendedprice - prediction)), 1) as MSE,
+       round(sqrt(avg((l_extendedprice - prediction) * (l_extendedprice - prediction))), 4) as RMSE
+from p group by split""")
+def q_regression_metrics(spark, root):
+    li = read_table(spark, root, "lineitem")
+    d = li.select("l_quantity", "l_extendedprice", X.split_column(KEY, 0.6, True, 42).alias("split"))
+    fit = d.filter(F.col("split") == "train").agg(F.regr_slope("l_extendedprice", "l_quantity").alias("b"),
+                                                   F.regr_intercept("l_extendedprice", "l_quantity").alias("a"))
+    b, a = fit.select("b").scalar(), fit.select("a").scalar()
+    p = d.withColumn("prediction", a + b * F.col("l_quantity"))
+    m = E.regression_metrics(p, "l_extendedprice", "prediction", "split")
+    return m.select("split", "n", F.round("R2", 6).alias("R2"), F.round("MAE", 4).alias("MAE"),
+                    F.round("MSE", 1).alias("MSE"), F.round("RMSE", 4).alias("RMSE"))
+
+
+@query("residuals", REG_SQL.replace("select l_quantity, l_extendedprice,", "select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice,") + """
+select l_orderkey, l_linenumber, l_partkey, l_suppkey, split, l_extendedprice,
+       round(prediction, 6) as prediction, round(l_extendedprice - prediction, 6) as residual from p""")
+def q_residuals(spark, root):
+    li = read_table(spark, root, "lineitem")
+    d = li.select(*KEY, "l_quantity", "l_extendedprice", X.split_column(KEY, 0.6, True, 42).alias("split"))
+    fit = d.filter(F.col("split") == "train").agg(F.regr_slope("l_extendedprice", "l_quantity").alias("b"),
+                                                   F.regr_intercept("l_extendedprice", "l_quantity").alias("a"))
+    b, a = fit.select("b").scalar(), fit.select("a").scalar()
+    p = E.residuals(d.withColumn("prediction", a + b * F.col("l_quantity")), "l_extendedprice", "prediction")
+    return p.select(*KEY, "split", "l_extendedprice", F.round("prediction", 6).alias("prediction"),
+                    F.round("residual", 6).alias("residual"))
+
+
+def _panel_model(spark, root):
+    from panelspark.plans.panel import feature_columns, feature_table_from
+    ft = feature_table_from(spark, root)
+    ft = ft.withColumn("label", F.col("target").cast("double"))
+    numeric, categorical = feature_columns(ft, exclude=["target", "label", "kickoff_time", "player_id", "next_kickoff_time",
+                                                        "data", "value", "selected", "element", "fixture", "season"])
+    train = ft.filter(F.col("data") == "train")
+    fm = FE.fit_feature_pipeline(train, FE.FeatureSpec(numeric, categorical))
+    return ft, train, fm
+
+
+@query("score_topk")
+def q_score_topk(spark, root):
+    """Fit on train rows of the panel, score the 'score' rows, top 10."""
+    ft, train, fm = _panel_model(spark, root)
+    m = M.fit_final(train, fm, "linear", {"fit_intercept": True})
+    report = ["next_kickoff_time", "element", "team", "next_game_home", "next_opponent", "player_position", "value"]
+    return M.score_topk(m, ft.filter(F.col("data") == "score"), report, k=10)
+
+
+@query("pipeline_smoke")
+def q_pipeline_smoke(spark, root):
+    """feature_table -> split -> features -> linear model -> metrics per split."""
+    ft, _, _ = _panel_model(spark, root)
+    rows = ft.filter(F.col("data") == "train").withColumn(
+        "split", X.split_column(["season", "element", "fixture"], 0.6, True, 42))
+    from panelspark.plans.panel import feature_columns
+    numeric, categorical = feature_columns(rows, exclude=["target", "label", "kickoff_time", "player_id",
+                                                          "next_kickoff_time", "data", "value", "selected",
+                                                          "element", "fixture", "season", "split"])
+    fm = FE.fit_feature_pipeline(rows.filter(F.col("split") == "train"), FE.FeatureSpec(numeric, categorical))
+    model = M.fit_final(rows.filter(F.col("split") == "train"), fm, "linear", {"fit_intercept": True})
+    return E.regression_metrics(model.transform(rows), "label", "prediction", "split")
+
