@@ -116,6 +116,11 @@ def standings_grid(totals: DataFrame) -> DataFrame:
 
 
 def league_table(games: DataFrame, g: GameSpec | None = None, t: TableSpec | None = None) -> DataFrame:
+    """League table from a game list (see ``league_table_from_setup``)."""
+    return league_table_from_setup(team_setup(games, g), t)
+
+
+def league_table_from_setup(setup: DataFrame, t: TableSpec | None = None) -> DataFrame:
     """League table at every kickoff time: position (W10), neighbour gaps (W11),
     points at threshold positions (A1) and distance to them (J6 as a window).
 
@@ -125,7 +130,7 @@ def league_table(games: DataFrame, g: GameSpec | None = None, t: TableSpec | Non
     neighbours deterministic under ties.
     """
     t = t or TableSpec()
-    totals = team_game_totals(team_setup(games, g), t.season_length)
+    totals = team_game_totals(setup, t.season_length)
     st = standings_grid(totals)
     part = ["season", "next_kickoff_time"]
     order = [F.col("team_points").desc(), F.col("team")]
@@ -160,8 +165,13 @@ def team_features(games: DataFrame, g: GameSpec | None = None, t: TableSpec | No
     join of the grid-sized table.
     """
     t = t or TableSpec()
-    setup = with_form(team_setup(games, g), t.form_rows)
-    table = league_table(games, g, t)
+    base = team_setup(games, g)
+    # form (W6) and rolling means (W4) only read the perspective rows: computed
+    # here they share the (season, team) shuffle of the setup windows; the joins
+    # below neither add nor drop rows, so the values equal rolling after them.
+    setup = W.rolling_avg(with_form(base, t.form_rows), ["team", "season"], ["kickoff_time"],
+                          t.rolling_window, TEAM_ROLLING)
+    table = league_table_from_setup(base, t)
     cols = dict(TABLE_FEATURES)
     cols.update({f"points_to_{n}": f"points_to_{n}" for n in t.thresholds})
     tt = table.select("season", F.col("next_kickoff_time").alias("kickoff_time"), "team",
@@ -172,6 +182,6 @@ def team_features(games: DataFrame, g: GameSpec | None = None, t: TableSpec | No
     opp = [F.coalesce(F.lead(F.struct(*cols.values())).over(game_w),
                       F.lag(F.struct(*cols.values())).over(game_w)).alias("__opp")]
     own = own.select("*", *opp)
-    own = own.select(*[c for c in own.columns if c != "__opp"],
-                     *[F.col(f"__opp.{c}").alias(f"opponent_{c}") for c in cols.values()])
-    return W.rolling_avg(own, ["team", "season"], ["kickoff_time"], t.rolling_window, TEAM_ROLLING)
+    rolled = [f"{c}_rolling_avg" for c in TEAM_ROLLING]
+    return own.select(*[c for c in own.columns if c != "__opp" and c not in rolled],
+                      *[F.col(f"__opp.{c}").alias(f"opponent_{c}") for c in cols.values()], *rolled)
