@@ -6,7 +6,7 @@ the bound the plain join is returned and Catalyst/AQE picks a shuffle join.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -45,7 +45,7 @@ def lookup(df: DataFrame, dim: DataFrame, key: str, dim_key: str, value: str,
 
 def asof_join(left: DataFrame, right: DataFrame, by: Sequence[str], left_on: str, right_on: str,
               strict: bool = True, how: str = "inner", right_order: Sequence[str] = (),
-              prefix: str = "") -> DataFrame:
+              prefix: str = "", segment: Callable[[Column], Column] | None = None) -> DataFrame:
     """For each left row the latest right row with the same ``by`` keys and
     ``right_on < left_on`` (``<=`` when ``strict`` is False).
 
@@ -58,6 +58,12 @@ def asof_join(left: DataFrame, right: DataFrame, by: Sequence[str], left_on: str
 
     Returns the left columns plus the right columns (except ``by``), the latter
     with ``prefix``. ``how`` is 'inner' (drop left rows without a match) or 'left'.
+
+    ``segment`` (a monotone function of the time, e.g. its month) splits each
+    ``by`` partition: the fill runs per (by, segment) and rows whose match lies
+    in an earlier segment take the last right row of the segments before
+    theirs, from a table with one row per (by, segment). A hot key is then
+    spread over many tasks; the result is unchanged.
     """
     if how not in ("inner", "left"):
         raise ValueError("how must be 'inner' or 'left'")
@@ -77,11 +83,27 @@ def asof_join(left: DataFrame, right: DataFrame, by: Sequence[str], left_on: str
                          *[F.col(c).alias(f"__o{i}") for i, c in enumerate(right_order)],
                          F.lit(None).cast(ltype).alias("__l"), rstruct.alias("__r"))
     u = lpart.unionByName(rpart)
-    w = (Window.partitionBy(*by)
-         .orderBy("__t", "__side", *[f"__o{i}" for i in range(len(right_order))])
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    filled = (u.select(*by, "__side", "__l", F.last("__r", ignorenulls=True).over(w).alias("__m"))
-               .filter(F.col("__side") == lside))
+    okeys = ["__t", "__side", *[f"__o{i}" for i in range(len(right_order))]]
+    if segment is None:
+        w = Window.partitionBy(*by).orderBy(*okeys).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        filled = (u.select(*by, "__side", "__l", F.last("__r", ignorenulls=True).over(w).alias("__m"))
+                   .filter(F.col("__side") == lside))
+    else:
+        u = u.withColumn("__g", segment(F.col("__t")))
+        w = Window.partitionBy(*by, "__g").orderBy(*okeys).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        within = (u.select(*by, "__g", "__side", "__l", F.last("__r", ignorenulls=True).over(w).alias("__m"))
+                   .filter(F.col("__side") == lside))
+        # last right row of each (by, segment): one row per segment
+        rights = u.filter(F.col("__side") == rside)
+        tails = rights.groupBy(*by, "__g").agg(F.max_by("__r", F.struct(*okeys)).alias("__tail"))
+        keys = within.select(*by, "__g").distinct()
+        src = (keys.select(*by, "__g", F.lit(0).alias("__k"), F.lit(None).cast(rtype).alias("__tail"))
+               .unionByName(tails.select(*by, "__g", F.lit(1).alias("__k"), "__tail")))
+        cw = Window.partitionBy(*by).orderBy("__g", "__k").rowsBetween(Window.unboundedPreceding, -1)
+        carry = (src.select(*by, "__g", "__k", F.last("__tail", ignorenulls=True).over(cw).alias("__carry"))
+                    .filter(F.col("__k") == 0).drop("__k"))
+        filled = (within.join(carry, [*by, "__g"], "left")
+                        .select(*by, "__side", "__l", F.coalesce("__m", "__carry").alias("__m")))
     if how == "inner":
         filled = filled.filter(F.col("__m").isNotNull())
     return filled.select(*by, *[F.col(f"__l.{c}").alias(c) for c in lcols],

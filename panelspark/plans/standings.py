@@ -1,9 +1,13 @@
 """Team-side plans: perspective rows, form, as-of league table and team features.
 
 Partitioning plan (each is one shuffle):
-  (season, team) by time      -> next fixture, running totals, game number, rolling means
-  (season, team) by time      -> as-of fill of the standings grid (union form)
-  (season, time)              -> rank, neighbour gaps, threshold pivot (windows, no join)
+  (season, team, segment) by time  -> next fixture + rolling means (halo rows)
+  (season, team, venue, segment)   -> venue form (halo rows)
+  (season, team, segment) by time  -> running totals + game number (segment prefixes)
+  (season, team, segment) by time  -> as-of fill of the standings grid (carried tails)
+  (season, time)                   -> rank, neighbour gaps, threshold pivot (windows)
+A team's rows of a season are split by kickoff month (``TableSpec.segment``),
+so no window holds all of a team's season in one task.
 The grid of the as-of join is seasons' teams x that season's kickoff times; the
 per-season team list is bounded by the league size and broadcast behind a
 size check, so the grid is generated in parallel over the kickoff times.
@@ -11,7 +15,7 @@ size check, so the grid is generated in parallel over the kickoff times.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,6 +23,8 @@ from pyspark.sql import functions as F
 from panelspark.functions import expr as X
 from panelspark.operators import windows as W
 from panelspark.operators.joins import asof_join, sized_broadcast
+from panelspark.operators.segmented import (MAX_ROWS_PER_TASK, halo_window, resolve_segment, running_totals,
+                                            time_segment)
 
 # Table positions whose points are reported per time, with the
 # names the reference gives them, and its season length.
@@ -47,6 +53,10 @@ class TableSpec:
     thresholds: dict = field(default_factory=lambda: dict(THRESHOLDS))
     form_rows: int = 2
     rolling_window: int = 4
+    # (season, team) windows run per date_trunc(segment, kickoff); None = per key;
+    # 'auto' segments only when a team-season holds more than max_rows_per_task rows
+    segment: str | None = "auto"
+    max_rows_per_task: int = MAX_ROWS_PER_TASK
 
 
 def team_perspective(games: DataFrame, g: GameSpec | None = None) -> DataFrame:
@@ -66,58 +76,87 @@ def team_perspective(games: DataFrame, g: GameSpec | None = None) -> DataFrame:
     return rows.select("team", "opponent", "team_scored", "team_conceded", "kickoff_time", "season", "home")
 
 
-def team_setup(games: DataFrame, g: GameSpec | None = None) -> DataFrame:
-    """Perspective rows + outcome flags (P7) + next fixture."""
+def team_setup(games: DataFrame, g: GameSpec | None = None, segment: str | None = "month",
+               rolling_window: int | None = None) -> DataFrame:
+    """Perspective rows + outcome flags (P7) + next fixture (W5), and optionally
+    the rolling means (W4) in the same (season, team, segment) pass."""
     t = team_perspective(games, g)
     flags = X.outcome_flags("team_scored", "team_conceded")
     t = t.select("*", *[v.alias(k) for k, v in flags.items()])
-    return W.next_fields(t, ["team", "season"], ["kickoff_time"],
-                         {"next_opponent": "opponent", "next_game_home": "home",
-                          "next_kickoff_time": "kickoff_time"})
+    nxt = {"next_opponent": "opponent", "next_game_home": "home", "next_kickoff_time": "kickoff_time"}
 
+    def stage(w):
+        cols = [F.lead(src, 1).over(w).alias(dst) for dst, src in nxt.items()]
+        if rolling_window:
+            fw = w.rowsBetween(-(rolling_window - 1), 0)
+            cols += [F.avg(c).over(fw).alias(f"{c}_rolling_avg") for c in TEAM_ROLLING]
+        return cols
 
-def with_form(setup: DataFrame, rows: int = 2) -> DataFrame:
+    back = (rolling_window - 1) if rolling_window else 0
+    return halo_window(t, ["season", "team"], ["kickoff_time"], time_segment("kickoff_time", segment),
+                       back, 1, stage)
+
+
+def with_form(setup: DataFrame, rows: int = 2, segment: str | None = "month") -> DataFrame:
     """Venue form, mean of the last ``rows`` games per (team, next venue, season).
 
     Computed in place: the reference joins it back on (team, kickoff), which is
     unique per perspective row, so the join is an identity.
     """
-    w = W.spec(["team", "next_game_home", "season"], ["kickoff_time"]).rowsBetween(-(rows - 1), 0)
-    return setup.select("*", *[F.avg(src).over(w).alias(dst) for src, dst in FORM_COLS.items()])
+    def stage(w):
+        fw = w.rowsBetween(-(rows - 1), 0)
+        return [F.avg(src).over(fw).alias(dst) for src, dst in FORM_COLS.items()]
+    return halo_window(setup, ["season", "team", "next_game_home"], ["kickoff_time"],
+                       time_segment("kickoff_time", segment), rows - 1, 0, stage)
 
 
-def team_game_totals(setup: DataFrame, season_length: int = SEASON_LENGTH) -> DataFrame:
-    """Per team-game running totals (W7, P8, P9, W8) used by the table."""
-    part, order = ["season", "team"], ["kickoff_time"]
+def team_game_totals(setup: DataFrame, season_length: int = SEASON_LENGTH,
+                     segment: str | None = "month") -> DataFrame:
+    """Per team-game running totals (W7, P8, P9, W8) used by the table.
+
+    Exact integer running sums per (season, team, segment) plus the totals of
+    the earlier segments of the season.
+    """
     pts = X.outcome_points("win", "draw")
-    t = setup.select("season", "kickoff_time", "team", pts.alias("points_from_game"), F.lit(1).alias("game"))
-    t = t.select("season", "kickoff_time", "team", "points_from_game",
-                 W.row_number_col(part, order).alias("row_num"),
-                 W.running_sum(F.col("game"), part, order).alias("total_games"),
-                 W.running_sum(F.col("points_from_game"), part, order).alias("team_points"))
+    t = setup.select("season", "kickoff_time", "team", pts.alias("points_from_game"))
+    t = running_totals(t, ["season", "team"], ["kickoff_time"], time_segment("kickoff_time", segment),
+                       {"total_games": F.lit(1), "team_points": F.col("points_from_game")}, row_number="row_num")
+    t = t.select("season", "kickoff_time", "team", "points_from_game", "row_num", "total_games", "team_points")
     return t.withColumn("games_remaining", F.lit(season_length) - F.col("total_games"))
 
 
-def standings_grid(totals: DataFrame) -> DataFrame:
+def standings_grid(totals: DataFrame, segment: str | None = "month") -> DataFrame:
     """Each team's latest game strictly before every kickoff of its season.
 
     Left side = (season, team) x distinct kickoff times of the season. The team
     list per season is bounded by league size (size-checked broadcast); the
     kickoff times are the large side, so the grid is built by a broadcast hash
-    join with no shuffle of the times.
+    join with no shuffle of the times. The fill runs per (season, team, segment).
     """
     times = totals.select("season", F.col("kickoff_time").alias("next_kickoff_time")).distinct()
     teams = sized_broadcast(totals.select("season", "team").distinct(), MAX_TEAMS_PER_SEASON)
     grid = times.join(teams, "season")
     facts = totals.select("season", "team", "kickoff_time", "total_games", "points_from_game",
                           "team_points", "games_remaining")
+    seg = (lambda c: F.date_trunc(segment, c)) if segment else None
     return asof_join(grid, facts, by=["season", "team"], left_on="next_kickoff_time",
-                     right_on="kickoff_time", strict=True, how="inner")
+                     right_on="kickoff_time", strict=True, how="inner", segment=seg)
 
 
 def league_table(games: DataFrame, g: GameSpec | None = None, t: TableSpec | None = None) -> DataFrame:
     """League table from a game list (see ``league_table_from_setup``)."""
-    return league_table_from_setup(team_setup(games, g), t)
+    t = resolve_table_segment(games, g, t)
+    return league_table_from_setup(team_setup(games, g, t.segment), t)
+
+
+def resolve_table_segment(games: DataFrame, g: GameSpec | None, t: TableSpec | None) -> TableSpec:
+    """Fix ``t.segment`` ('auto' -> measured) from the perspective rows of ``games``."""
+    t = t or TableSpec()
+    if t.segment != "auto":
+        return t
+    unit = resolve_segment("auto", team_perspective(games, g), ["season", "team"], "kickoff_time",
+                           t.max_rows_per_task)
+    return replace(t, segment=unit)
 
 
 def league_table_from_setup(setup: DataFrame, t: TableSpec | None = None) -> DataFrame:
@@ -130,8 +169,8 @@ def league_table_from_setup(setup: DataFrame, t: TableSpec | None = None) -> Dat
     neighbours deterministic under ties.
     """
     t = t or TableSpec()
-    totals = team_game_totals(setup, t.season_length)
-    st = standings_grid(totals)
+    totals = team_game_totals(setup, t.season_length, t.segment)
+    st = standings_grid(totals, t.segment)
     part = ["season", "next_kickoff_time"]
     order = [F.col("team_points").desc(), F.col("team")]
     ranked = st.select("*", W.rank_col(part, order).alias("position"),
@@ -164,13 +203,12 @@ def team_features(games: DataFrame, g: GameSpec | None = None, t: TableSpec | No
     same game, taken by a window over the game's two rows instead of a second
     join of the grid-sized table.
     """
-    t = t or TableSpec()
-    base = team_setup(games, g)
-    # form (W6) and rolling means (W4) only read the perspective rows: computed
-    # here they share the (season, team) shuffle of the setup windows; the joins
-    # below neither add nor drop rows, so the values equal rolling after them.
-    setup = W.rolling_avg(with_form(base, t.form_rows), ["team", "season"], ["kickoff_time"],
-                          t.rolling_window, TEAM_ROLLING)
+    t = resolve_table_segment(games, g, t)
+    # rolling means (W4) only read the perspective rows: computed in the setup
+    # pass they share its (season, team, segment) shuffle; the joins below
+    # neither add nor drop rows, so the values equal rolling after them.
+    base = team_setup(games, g, t.segment, rolling_window=t.rolling_window)
+    setup = with_form(base, t.form_rows, t.segment)
     table = league_table_from_setup(base, t)
     cols = dict(TABLE_FEATURES)
     cols.update({f"points_to_{n}": f"points_to_{n}" for n in t.thresholds})

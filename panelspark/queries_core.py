@@ -90,6 +90,13 @@ def q_entity_features(spark, root):
                                   fixtures.entity_info(spark, root))
 
 
+@query("entity_features_segmented", O.with_(*O.FIX, O.ENTITY) + "select * from entity_features")
+def q_entity_features_segmented(spark, root):
+    """The entity plan with its windows forced onto (season, entity, kickoff month) segments."""
+    return entity.entity_features(fixtures.appearance_log(spark, root), fixtures.games(spark, root),
+                                  fixtures.entity_info(spark, root), entity.EntitySpec(segment="month"))
+
+
 @query("team_perspective", O.with_(O.GAMES, O.TEAM_SETUP) + "select * from tp")
 def q_team_perspective(spark, root):
     return standings.team_perspective(fixtures.games(spark, root))
@@ -155,6 +162,23 @@ def q_league_table(spark, root):
     return standings.league_table(fixtures.games(spark, root))
 
 
+@query("league_table_segmented", O.with_(O.GAMES, O.TEAM_SETUP, O.LEAGUE) + """
+select season, team, next_kickoff_time, kickoff_time, total_games, points_from_game, team_points,
+       games_remaining, position, points_above, points_below, games_diff_above, games_diff_below,
+       win_points, cl_points, euro_points, regulation_points,
+       points_to_win, points_to_cl, points_to_euro, points_to_regulation
+from league""")
+def q_league_table_segmented(spark, root):
+    """The league table with every (season, team) window split by kickoff week."""
+    return standings.league_table(fixtures.games(spark, root), t=standings.TableSpec(segment="week"))
+
+
+@query("team_features_segmented", O.with_(O.GAMES, O.TEAM_SETUP, O.LEAGUE, O.TEAM_FEATURES)
+       + "select * from team_features")
+def q_team_features_segmented(spark, root):
+    return standings.team_features(fixtures.games(spark, root), t=standings.TableSpec(segment="day"))
+
+
 @query("neighbour_gaps", O.with_(O.GAMES, O.TEAM_SETUP, O.LEAGUE) + """
 select season, next_kickoff_time, team, team_points, points_above, points_below, games_diff_above, games_diff_below
 from league""")

@@ -98,3 +98,53 @@ def test_entry_runs(spark):
     import __spark_entry__ as entry
     df = entry.entry(spark)
     assert df.count() > 0 and "target" in df.columns
+
+
+def _same(a, b):
+    return a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_auto_segment_picks_unit_for_hot_keys(spark):
+    from panelspark.operators.segmented import choose_segment
+    log = fixtures.appearance_log(spark, ROOT)
+    assert choose_segment(log, ["season", "element"], "kickoff_time", max_rows=10**9) is None
+    assert choose_segment(log, ["season", "element"], "kickoff_time", max_rows=15) in ("month", "week", "day")
+
+
+def test_entity_features_segmented_equals_plain(spark):
+    from panelspark.plans import entity
+    args = (fixtures.appearance_log(spark, ROOT), fixtures.games(spark, ROOT), fixtures.entity_info(spark, ROOT))
+    plain = entity.entity_features(*args, entity.EntitySpec(segment=None))
+    hot = entity.entity_features(*args, entity.EntitySpec(segment="auto", max_rows_per_task=15))
+    assert _same(plain, hot)
+
+
+def test_team_features_segmented_equals_plain(spark):
+    g = fixtures.games(spark, ROOT)
+    plain = standings.team_features(g, t=standings.TableSpec(segment=None))
+    for unit in ("month", "day"):
+        assert _same(plain, standings.team_features(g, t=standings.TableSpec(segment=unit)))
+
+
+def test_asof_segmented_equals_plain(spark):
+    from panelspark.operators.joins import asof_join
+    e = spark.read.parquet(f"{ROOT}/events.parquet")
+    left = e.select("user_id", "event_id", "ts")
+    right = e.select("user_id", F.col("ts").alias("p_ts"), F.col("event_id").alias("prev"))
+    for strict in (True, False):
+        plain = asof_join(left, right, ["user_id"], "ts", "p_ts", strict=strict, how="left")
+        seg = asof_join(left, right, ["user_id"], "ts", "p_ts", strict=strict, how="left",
+                        segment=lambda c: F.date_trunc("hour", c))
+        assert _same(plain, seg)
+
+
+def test_halo_window_lead_lag_rolling_equal_plain(spark):
+    from panelspark.operators.segmented import halo_window
+    e = spark.read.parquet(f"{ROOT}/events.parquet").select("user_id", "event_id", "ts", "value")
+
+    def stage(w):
+        return [F.lag("value", 2).over(w).alias("lag2"), F.lead("value", 1).over(w).alias("lead1"),
+                F.avg("value").over(w.rowsBetween(-3, 0)).alias("roll4")]
+    plain = halo_window(e, ["user_id"], ["ts", "event_id"], None, 3, 1, stage)
+    seg = halo_window(e, ["user_id"], ["ts", "event_id"], F.date_trunc("hour", "ts"), 3, 1, stage)
+    assert _same(plain, seg)
