@@ -23,6 +23,8 @@ from pyspark.ml.feature import PCA, OneHotEncoder, SQLTransformer, StringIndexer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelspark.operators.quantiles import exact_quantiles
+
 MISSING = "missing_data"
 
 
@@ -47,11 +49,13 @@ def missing_indicators(df: DataFrame, cols: Sequence[str], fit_df: DataFrame | N
 
 
 def medians(df: DataFrame, cols: Sequence[str]) -> dict[str, float]:
-    """Exact medians (linear interpolation), one aggregate for all columns."""
+    """Exact medians (linear interpolation) of several columns with bounded memory;
+    one row per column reaches the driver."""
     if not cols:
         return {}
-    row = df.agg(*[F.median(F.col(c).cast("double")).alias(f"m{i}") for i, c in enumerate(cols)]).first()
-    return {c: row[f"m{i}"] for i, c in enumerate(cols)}
+    long = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).unpivot([], list(cols), "column", "value")
+    got = {r["column"]: r["value"] for r in exact_quantiles(long, ["column"], "value", [0.5]).collect()}
+    return {c: got.get(c) for c in cols}
 
 
 def impute_median(df: DataFrame, cols: Sequence[str], fit_df: DataFrame | None = None) -> DataFrame:

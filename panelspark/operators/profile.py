@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panelspark.operators.quantiles import quantile_array
+
 QUARTILES = (0.25, 0.5, 0.75)
 # Percentile cut points and the widening of the outer edges used
 # to bin numeric features.
@@ -93,13 +95,15 @@ def describe_numeric(df: DataFrame, cols: Sequence[str], digits: int | None = 6)
     """
     long = melt(df, [], cols, cast="double").filter(F.col("value").isNotNull())
     r = (lambda c: F.round(c, digits)) if digits is not None else (lambda c: c)
-    pct = F.percentile(F.col("value"), F.array(*[F.lit(q) for q in QUARTILES]))
     agg = long.groupBy("column").agg(
         F.count(F.lit(1)).alias("count"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
-        F.min("value").alias("min"), pct.alias("__q"), F.max("value").alias("max"))
-    return agg.select("column", "count", r(F.col("mean")).alias("mean"), r(F.col("std")).alias("std"),
-                      "min", r(F.col("__q")[0]).alias("p25"), r(F.col("__q")[1]).alias("p50"),
-                      r(F.col("__q")[2]).alias("p75"), "max")
+        F.min("value").alias("min"), F.max("value").alias("max"))
+    # exact quartiles with bounded memory (one row per column joined back)
+    q = quantile_array(long, ["column"], "value", QUARTILES)
+    out = agg.join(q, "column")
+    return out.select("column", "count", r(F.col("mean")).alias("mean"), r(F.col("std")).alias("std"),
+                      "min", r(F.col("quantiles")[0]).alias("p25"), r(F.col("quantiles")[1]).alias("p50"),
+                      r(F.col("quantiles")[2]).alias("p75"), "max")
 
 
 def percentile_edges(df: DataFrame, c: str) -> DataFrame:
@@ -109,9 +113,8 @@ def percentile_edges(df: DataFrame, c: str) -> DataFrame:
     keeping order; with exactly two edges left, a middle edge is added 0.1
     inside the edge equal to the 60th percentile; outer edges widened by 0.1.
     """
-    q = F.percentile(F.col(c).cast("double"), F.array(*[F.lit(p) for p in BIN_PERCENTILES]))
-    e = df.filter(F.col(c).isNotNull()).agg(q.alias("q")).select(
-        F.array_distinct("q").alias("e"), F.col("q")[3].alias("mid"))
+    q = quantile_array(df.select(c), [], c, BIN_PERCENTILES)
+    e = q.select(F.array_distinct("quantiles").alias("e"), F.col("quantiles")[3].alias("mid"))
     two = F.size("e") == 2
     fixed = (F.when(two & (F.col("e")[0] == F.col("mid")),
                     F.array(F.col("e")[0], F.col("e")[0] + EDGE_PAD, F.col("e")[1]))

@@ -185,3 +185,18 @@ def test_distribution_tails():
     assert t_sf2(1.0, 10) == pytest.approx(0.3408931, rel=1e-5)
     assert t_sf2(2.228138852, 10) == pytest.approx(0.05, rel=1e-6)
     assert math.isnan(f_sf(float("nan"), 1, 2))
+
+
+@pytest.mark.parametrize("max_candidates", [50, 10**6])
+def test_exact_quantiles_match_numpy(spark, max_candidates):
+    import numpy as np
+
+    from panelspark.operators.quantiles import exact_quantiles
+    li = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
+    long = li.select(F.col("l_returnflag").alias("g"), F.col("l_extendedprice").alias("v"))
+    qs = [0.0, 0.1, 0.25, 0.5, 0.6, 0.75, 0.99, 1.0]
+    got = {(r.g, r.qi): r.value for r in exact_quantiles(long, ["g"], "v", qs, max_candidates=max_candidates).collect()}
+    pdf = long.toPandas()
+    for g, part in pdf.groupby("g"):
+        ref = np.quantile(part["v"].to_numpy(), qs)
+        assert [got[(g, i)] for i in range(len(qs))] == pytest.approx(list(ref), rel=1e-12)
