@@ -45,7 +45,7 @@ def lookup(df: DataFrame, dim: DataFrame, key: str, dim_key: str, value: str,
 
 def asof_join(left: DataFrame, right: DataFrame, by: Sequence[str], left_on: str, right_on: str,
               strict: bool = True, how: str = "inner", right_order: Sequence[str] = (),
-              prefix: str = "", segment: Callable[[Column], Column] | None = None) -> DataFrame:
+              prefix: str = "", segment: Callable[[Column], Column] | str | None = None) -> DataFrame:
     """For each left row the latest right row with the same ``by`` keys and
     ``right_on < left_on`` (``<=`` when ``strict`` is False).
 
@@ -59,7 +59,8 @@ def asof_join(left: DataFrame, right: DataFrame, by: Sequence[str], left_on: str
     Returns the left columns plus the right columns (except ``by``), the latter
     with ``prefix``. ``how`` is 'inner' (drop left rows without a match) or 'left'.
 
-    ``segment`` (a monotone function of the time, e.g. its month) splits each
+    ``segment`` (a monotone function of the time, e.g. its month; a unit name;
+    or 'auto' to segment only when a key is too large for one task) splits each
     ``by`` partition: the fill runs per (by, segment) and rows whose match lies
     in an earlier segment take the last right row of the segments before
     theirs, from a table with one row per (by, segment). A hot key is then
@@ -67,6 +68,9 @@ def asof_join(left: DataFrame, right: DataFrame, by: Sequence[str], left_on: str
     """
     if how not in ("inner", "left"):
         raise ValueError("how must be 'inner' or 'left'")
+    if isinstance(segment, str):
+        segment = _measured_segment(left, right, by, left_on, right_on) if segment == "auto" else \
+            (lambda c, unit=segment: F.date_trunc(unit, c))
     rcols = [c for c in right.columns if c not in by]
     lcols = [c for c in left.columns if c not in by]
     lstruct = F.struct(*[F.col(c) for c in lcols])
@@ -110,6 +114,17 @@ def asof_join(left: DataFrame, right: DataFrame, by: Sequence[str], left_on: str
                          *[F.col(f"__m.{c}").alias(prefix + c) for c in rcols])
 
 
+def _measured_segment(left: DataFrame, right: DataFrame, by: Sequence[str], left_on: str, right_on: str):
+    """'auto' segment of an as-of join: the finer unit needed by either side (or none)."""
+    from panelspark.operators.segmented import UNITS, choose_segment
+    units = [choose_segment(left, by, left_on), choose_segment(right, by, right_on)]
+    picked = [u for u in units if u is not None]
+    if not picked:
+        return None
+    unit = max(picked, key=UNITS.index)
+    return lambda c: F.date_trunc(unit, c)
+
+
 def left_join(df: DataFrame, other: DataFrame, on: Sequence[str] | Column, broadcast_rows: int | None = None) -> DataFrame:
     """Left join; ``broadcast_rows`` enables a size-checked broadcast of ``other``."""
     if broadcast_rows is not None:

@@ -353,5 +353,6 @@ def q_asof_events(spark, root):
     left = e.select("user_id", "event_id", "ts")
     right = e.select("user_id", F.col("ts").alias("p_ts"), F.col("event_id").alias("prev_event_id"),
                      F.col("event_type").alias("prev_event_type"), F.col("value").alias("prev_value"))
-    j = asof_join(left, right, by=["user_id"], left_on="ts", right_on="p_ts", strict=True, how="inner")
+    j = asof_join(left, right, by=["user_id"], left_on="ts", right_on="p_ts", strict=True, how="inner",
+                  segment="auto")
     return j.select("event_id", "user_id", "ts", "prev_event_id", "prev_event_type", "prev_value")

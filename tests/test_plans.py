@@ -136,6 +136,8 @@ def test_asof_segmented_equals_plain(spark):
         seg = asof_join(left, right, ["user_id"], "ts", "p_ts", strict=strict, how="left",
                         segment=lambda c: F.date_trunc("hour", c))
         assert _same(plain, seg)
+        assert _same(plain, asof_join(left, right, ["user_id"], "ts", "p_ts", strict=strict, how="left",
+                                      segment="day"))
 
 
 def test_halo_window_lead_lag_rolling_equal_plain(spark):
