@@ -68,22 +68,42 @@ def tree_importance(spark: SparkSession, model, names: Sequence[str], k: int | N
 
 def permutation_importance(model, test: DataFrame, names: Sequence[str], features: str = "features",
                            label: str = "label", key: Sequence[str] = (), n_repeats: int = 5, seed: int = 42,
-                           block_rows: int = 1024) -> DataFrame:
+                           block_rows: int = 1024, feature_batch: int = 8) -> DataFrame:
     """Mean drop in R2 when one feature slot is permuted, per feature.
 
     ``model`` maps ``features`` -> prediction (a fitted regressor). ``key``
     identifies rows (for seeded hashing). For every (feature, repeat) copy, rows
     are put into random blocks of ~``block_rows`` rows and the slot value is
     rotated by one position inside the block in a random order: a random
-    permutation built with windows over many small partitions.
+    permutation built with windows over many small partitions. Features are
+    scored ``feature_batch`` at a time, so the copies never exceed
+    test rows x feature_batch x n_repeats.
     """
     n = test.count()
     n_blocks = max(1, n // block_rows)
     base = test.select(*key, label, vector_to_array(features).alias("__x"))
     rid = F.xxhash64(*[F.col(k) for k in key]) if key else F.monotonically_increasing_id()
     base = base.withColumn("__id", rid)
-    nf = len(names)
-    copies = base.select("*", F.explode(F.sequence(F.lit(0), F.lit(nf * n_repeats - 1))).alias("__c"))
+    parts = []
+    for lo in range(0, len(names), feature_batch):
+        hi = min(lo + feature_batch, len(names))
+        parts.append(_permuted_r2(model, base, features, label, n_blocks, seed, lo, hi, n_repeats))
+    copy_r2 = parts[0]
+    for p in parts[1:]:
+        copy_r2 = copy_r2.unionByName(p)
+    base_pred = model.transform(test)
+    base_r2 = F.lit(regression_metrics(base_pred, label, "prediction", None).select("R2").first()[0])
+    names_df = test.sparkSession.createDataFrame([(i, nm) for i, nm in enumerate(names)], "__f int, feature string")
+    out = copy_r2.groupBy("__f").agg(F.avg(base_r2 - F.col("r2")).alias("permutation_importance"),
+                                     F.stddev_samp(base_r2 - F.col("r2")).alias("std"))
+    return out.join(names_df, "__f").select("feature", "permutation_importance", "std").orderBy(
+        F.col("permutation_importance").desc(), "feature")
+
+
+def _permuted_r2(model, base: DataFrame, features: str, label: str, n_blocks: int, seed: int,
+                 lo: int, hi: int, n_repeats: int) -> DataFrame:
+    """R2 of every (feature, repeat) copy for features lo..hi-1: (__f, __r, r2)."""
+    copies = base.select("*", F.explode(F.sequence(F.lit(lo * n_repeats), F.lit(hi * n_repeats - 1))).alias("__c"))
     copies = copies.withColumn("__f", (F.col("__c") / n_repeats).cast("int")).withColumn("__r", F.col("__c") % n_repeats)
     h1 = F.xxhash64(F.lit(seed), "__c", "__id")
     copies = copies.withColumn("__b", F.pmod(h1, F.lit(n_blocks))).withColumn("__o", F.xxhash64(F.lit(seed + 1), "__c", "__id"))
@@ -94,14 +114,7 @@ def permutation_importance(model, test: DataFrame, names: Sequence[str], feature
     newx = F.transform("__x", lambda v, i: F.when(i == F.col("__f"), F.col("__v")).otherwise(v))
     scored = model.transform(permuted.withColumn(features, array_to_vector(newx)))
     err = F.col(label) - F.col("prediction")
-    copy_r2 = scored.groupBy("__f", "__r").agg((1 - F.avg(err * err) / F.var_pop(label)).alias("r2"))
-    base_pred = model.transform(test)
-    base_r2 = F.lit(regression_metrics(base_pred, label, "prediction", None).select("R2").first()[0])
-    names_df = test.sparkSession.createDataFrame([(i, nm) for i, nm in enumerate(names)], "__f int, feature string")
-    out = copy_r2.groupBy("__f").agg(F.avg(base_r2 - F.col("r2")).alias("permutation_importance"),
-                                     F.stddev_samp(base_r2 - F.col("r2")).alias("std"))
-    return out.join(names_df, "__f").select("feature", "permutation_importance", "std").orderBy(
-        F.col("permutation_importance").desc(), "feature")
+    return scored.groupBy("__f", "__r").agg((1 - F.avg(err * err) / F.var_pop(label)).alias("r2"))
 
 
 def closed_form_prediction(df: DataFrame, x: str, y: str) -> DataFrame:

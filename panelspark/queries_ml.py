@@ -20,7 +20,7 @@ from panelspark.operators import features as FE
 from panelspark.operators import models as M
 from panelspark.operators import split as X
 from panelspark.registry import query
-from panelspark.session import ensure_checkpoint_dir
+from panelspark.session import cut_lineage, ensure_checkpoint_dir
 from panelspark.sources import fixtures
 from panelspark.sources.tables import read_table
 
@@ -39,7 +39,8 @@ def regression_input(spark, root):
 
 
 def _fitted(spark, root, groups=True):
-    data = regression_input(spark, root)
+    # materialised once in the shared checkpoint folder: the fits below make several passes
+    data = cut_lineage(regression_input(spark, root))
     train = data.filter(F.col("split") == "train")
     pca = {"pca_all": (NUM, 3), "pca_price": (["l_quantity", "p_retailprice"], 2)} if groups else {}
     fm = FE.fit_feature_pipeline(train, FE.FeatureSpec(NUM, CAT, pca))
@@ -279,8 +280,9 @@ def q_residuals(spark, root):
 
 def _panel_model(spark, root):
     from panelspark.plans.panel import feature_columns, feature_table_from
-    ft = feature_table_from(spark, root)
-    ft = ft.withColumn("label", F.col("target").cast("double"))
+    # the panel is materialised once (reliable checkpoint in the shared folder):
+    # statistics, encoders, PCA and the model fit each read it again
+    ft = cut_lineage(feature_table_from(spark, root).withColumn("label", F.col("target").cast("double")))
     numeric, categorical = feature_columns(ft, exclude=["target", "label", "kickoff_time", "player_id", "next_kickoff_time",
                                                         "data", "value", "selected", "element", "fixture", "season"])
     train = ft.filter(F.col("data") == "train")
@@ -299,15 +301,23 @@ def q_score_topk(spark, root):
 
 @query("pipeline_smoke")
 def q_pipeline_smoke(spark, root):
-    """feature_table -> split -> features -> linear model -> metrics per split."""
+    """feature_table -> split -> significance selection (F11) -> column groups
+    -> feature pipeline with PCA groups -> linear model -> metrics per split."""
+    from panelspark.operators import selection
+    from panelspark.plans.panel import TEAM_FEATURE_COLUMNS, feature_columns
     ft, _, _ = _panel_model(spark, root)
     rows = ft.filter(F.col("data") == "train").withColumn(
         "split", X.split_column(["season", "element", "fixture"], 0.6, True, 42))
-    from panelspark.plans.panel import feature_columns
     numeric, categorical = feature_columns(rows, exclude=["target", "label", "kickoff_time", "player_id",
                                                           "next_kickoff_time", "data", "value", "selected",
                                                           "element", "fixture", "season", "split"])
-    fm = FE.fit_feature_pipeline(rows.filter(F.col("split") == "train"), FE.FeatureSpec(numeric, categorical))
-    model = M.fit_final(rows.filter(F.col("split") == "train"), fm, "linear", {"fit_intercept": True})
+    train = rows.filter(F.col("split") == "train")
+    sig = selection.select_features(selection.significance(train, numeric, categorical, "label"), 0.05)
+    keep = {r.feature for r in sig.select("feature").collect()}  # one row per selected feature
+    if keep:  # no significant feature: keep all rather than fit an empty pipeline
+        numeric = [c for c in numeric if c in keep]
+        categorical = [c for c in categorical if c in keep]
+    groups = FE.reference_groups(numeric, TEAM_FEATURE_COLUMNS)
+    fm = FE.fit_feature_pipeline(train, FE.FeatureSpec(numeric, categorical, groups))
+    model = M.fit_final(train, fm, "linear", {"fit_intercept": True})
     return E.regression_metrics(model.transform(rows), "label", "prediction", "split")
-

@@ -150,3 +150,35 @@ def test_halo_window_lead_lag_rolling_equal_plain(spark):
     plain = halo_window(e, ["user_id"], ["ts", "event_id"], None, 3, 1, stage)
     seg = halo_window(e, ["user_id"], ["ts", "event_id"], F.date_trunc("hour", "ts"), 3, 1, stage)
     assert _same(plain, seg)
+
+
+def _cd(X, y, alpha, l1):
+    """Coordinate descent for 1/(2n)|y - Xw - b|^2 + alpha*(l1 |w|_1 + (1-l1)/2 |w|^2)."""
+    import numpy as np
+    n, p = X.shape
+    Xc, yc, w = X - X.mean(0), y - y.mean(), np.zeros(p)
+    for _ in range(3000):
+        for j in range(p):
+            r = yc - Xc @ w + Xc[:, j] * w[j]
+            rho = Xc[:, j] @ r / n
+            w[j] = np.sign(rho) * max(abs(rho) - alpha * l1, 0) / ((Xc[:, j] @ Xc[:, j]) / n + alpha * (1 - l1))
+    return w
+
+
+def test_penalty_mapping_matches_closed_forms(spark):
+    import numpy as np
+    from pyspark.ml.feature import VectorAssembler
+    rng = np.random.default_rng(0)
+    X = rng.normal(size=(200, 3)) * [1.0, 5.0, 0.2]
+    y = 2.0 + X @ np.array([1.5, -0.3, 4.0]) + rng.normal(size=200) * 2
+    df = spark.createDataFrame([tuple(map(float, r)) + (float(t),) for r, t in zip(X, y)],
+                               "a double, b double, c double, label double")
+    d = VectorAssembler(inputCols=["a", "b", "c"], outputCol="features").transform(df)
+    stats = M.label_stats(d, "label")
+    Xc, yc = X - X.mean(0), y - y.mean()
+    ridge = np.linalg.solve(Xc.T @ Xc + 10.0 * np.eye(3), Xc.T @ yc)
+    got = M.build_estimator("ridge", {"alpha": 10.0}, stats).fit(d).coefficients.toArray()
+    assert np.max(np.abs(got - ridge)) < 1e-9
+    for algo, p, l1 in (("lasso", {"alpha": 0.5}, 1.0), ("elasticnet", {"alpha": 0.5, "l1_ratio": 0.5}, 0.5)):
+        got = M.build_estimator(algo, p, stats).fit(d).coefficients.toArray()
+        assert np.max(np.abs(got - _cd(X, y, 0.5, l1))) < 1e-6
