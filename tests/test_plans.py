@@ -182,3 +182,14 @@ def test_penalty_mapping_matches_closed_forms(spark):
     for algo, p, l1 in (("lasso", {"alpha": 0.5}, 1.0), ("elasticnet", {"alpha": 0.5, "l1_ratio": 0.5}, 0.5)):
         got = M.build_estimator(algo, p, stats).fit(d).coefficients.toArray()
         assert np.max(np.abs(got - _cd(X, y, 0.5, l1))) < 1e-6
+
+
+@pytest.mark.parametrize("name", ["feature_table", "league_table", "entity_features", "team_features",
+                                  "asof_events", "upsert_keep_last", "anova_f", "describe_numeric"])
+def test_plans_have_no_pair_enumeration(spark, name):
+    """No cartesian product or nested-loop join anywhere in the physical plans."""
+    from panelspark import registry
+    registry.load_all()
+    df = registry.QUERIES[name](spark, ROOT)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
