@@ -29,6 +29,26 @@ def q_scan_view(spark, root):
                      "from lineitem_scan group by l_returnflag, l_linestatus")
 
 
+LINEITEM_SCHEMA = ("l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+                   "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, "
+                   "l_linestatus string, l_shipdate timestamp_ntz")
+
+
+@query("csv_scan_view", """
+select l_returnflag, l_linestatus, count(*) as n, sum(l_quantity) as sum_qty,
+       cast(sum(l_linenumber) as bigint) as sum_line
+from lineitem group by l_returnflag, l_linestatus""")
+def q_csv_scan_view(spark, root):
+    """S1 on header CSV: landed by the sink (S3) in the shared folder, scanned back with an
+    explicit schema (no inference pass) and queried through a temp view."""
+    from panelspark.sources.tables import write_tables
+    base = os.path.join(ensure_checkpoint_dir(spark), "csv_scan_view", uuid.uuid4().hex)
+    write_tables({"lineitem": read_table(spark, root, "lineitem")}, base, fmt="csv")
+    scan_view(spark, base, "lineitem", fmt="csv", schema=LINEITEM_SCHEMA, view="lineitem_csv")
+    return spark.sql("select l_returnflag, l_linestatus, count(*) as n, sum(l_quantity) as sum_qty, "
+                     "sum(l_linenumber) as sum_line from lineitem_csv group by l_returnflag, l_linestatus")
+
+
 @query("scan_folder_counts", "\nunion all\n".join(
     f"select '{t}' as table_name, count(*) as n_rows from {t}" for t in TABLES))
 def q_scan_folder_counts(spark, root):
