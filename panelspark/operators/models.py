@@ -127,18 +127,21 @@ def _mse(pred: DataFrame, label: str) -> float:
 
 def grid_search(spark: SparkSession, data: DataFrame, algo: str, grid: dict, label: str = "label",
                 features: str = "features", fold_col: str = "fold", n_random: int | None = 10,
-                seed: int = 42) -> DataFrame:
+                seed: int = 42, parallelism: int = 1) -> DataFrame:
     """M8 + X4/X5: evaluate settings on held-out folds; scores are -MSE.
 
     ``fold_col`` holds the fold id of each row. Value -1 marks rows that are
     always in training (X5 predefined split: train = -1, validation = 0); with
     folds 0..k-1 only, it is k-fold CV (X4). A setting whose fit fails scores NaN.
     Returns one row per setting: params, mean_train_score, mean_test_score, rank.
+    ``parallelism`` settings are fitted concurrently (each fit is a distributed
+    job; the driver threads only submit them), like ``CrossValidator``.
     """
     stats = label_stats(data, label)
     folds = sorted(r[0] for r in data.select(fold_col).distinct().collect() if r[0] is not None and r[0] >= 0)
-    rows = []
-    for i, p in enumerate(settings(grid, n_random, seed)):
+
+    def evaluate(item):
+        i, p = item
         tr_scores, te_scores = [], []
         try:
             for k in folds:
@@ -149,8 +152,16 @@ def grid_search(spark: SparkSession, data: DataFrame, algo: str, grid: dict, lab
                 te_scores.append(-_mse(m.transform(test), label))
         except Exception:  # noqa: BLE001 - a failed setting scores NaN, as the reference's error_score
             tr_scores, te_scores = [math.nan], [math.nan]
-        rows.append((i, json.dumps(p, sort_keys=True), float(sum(tr_scores) / len(tr_scores)),
-                     float(sum(te_scores) / len(te_scores))))
+        return (i, json.dumps(p, sort_keys=True), float(sum(tr_scores) / len(tr_scores)),
+                float(sum(te_scores) / len(te_scores)))
+
+    items = list(enumerate(settings(grid, n_random, seed)))
+    if parallelism > 1:
+        from concurrent.futures import ThreadPoolExecutor
+        with ThreadPoolExecutor(max_workers=parallelism) as pool:
+            rows = list(pool.map(evaluate, items))
+    else:
+        rows = [evaluate(it) for it in items]
     # rank over the result rows (one per setting, already on the driver); NaN ranks last
     order = sorted(rows, key=lambda r: (math.isnan(r[3]), -r[3] if not math.isnan(r[3]) else 0.0, r[0]))
     rank = {r[0]: k + 1 for k, r in enumerate(order)}

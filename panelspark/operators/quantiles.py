@@ -29,6 +29,7 @@ MAX_CANDIDATES = 1_000_000
 GRID = 1000
 ACCURACY = 20_000
 MAX_ROUNDS = 8
+MAX_GROUPS = 100_000  # the bracket table (groups x quantiles) is broadcast and read on the driver
 
 
 def exact_quantiles(long: DataFrame, groups: Sequence[str], value: str, qs: Sequence[float],
@@ -36,7 +37,9 @@ def exact_quantiles(long: DataFrame, groups: Sequence[str], value: str, qs: Sequ
                     max_rounds: int = MAX_ROUNDS) -> DataFrame:
     """(groups..., qi, q, value): the q-quantiles of ``value`` per group, nulls ignored.
 
-    Same definition as numpy/pandas 'linear' and SQL ``quantile_cont``.
+    Same definition as numpy/pandas 'linear' and SQL ``quantile_cont``. Meant
+    for a bounded number of groups (columns, features, bins: at most
+    ``MAX_GROUPS``), whose bracket table is broadcast.
     """
     out_groups = list(groups)
     groups = out_groups or ["__all"]   # a constant key: every join below stays an equi-join
@@ -54,7 +57,9 @@ def exact_quantiles(long: DataFrame, groups: Sequence[str], value: str, qs: Sequ
     for _ in range(max_rounds):
         # the bracket table has one row per (group, quantile): rebuilt from its rows
         # each round, which keeps the plan of the next round short
-        rows = state.collect()
+        rows = state.limit(MAX_GROUPS * len(qs) + 1).collect()
+        if len(rows) > MAX_GROUPS * len(qs):
+            raise ValueError(f"more than {MAX_GROUPS} groups: use percentile_approx for per-key quantiles")
         state = spark.createDataFrame(rows, state.schema)
         if not rows or max(r["__size"] for r in rows) <= max_candidates:
             break

@@ -158,7 +158,7 @@ def q_grid_search(spark, root):
     d = _search_input(spark, root).filter(F.col("split").isin("train", "val"))
     d = d.withColumn("fold", F.when(F.col("split") == "train", -1).otherwise(0))
     d = X.sample_rows(d, 0.5, seed=42).cache()
-    return M.grid_search(spark, d, "ridge", M.GRIDS["ridge"], n_random=4, fold_col="fold")
+    return M.grid_search(spark, d, "ridge", M.GRIDS["ridge"], n_random=4, fold_col="fold", parallelism=2)
 
 
 @query("cv_search")
