@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from panelspark import oracle_sql as O
 from panelspark.operators import windows as W
 from panelspark.operators.joins import asof_join
+from panelspark.operators.segmented import halo_window, resolve_segment, time_segment
 from panelspark.plans import entity, panel, standings
 from panelspark.registry import query
 from panelspark.sources import fixtures
@@ -15,6 +16,13 @@ LOG_KEYS = ["season", "element", "fixture", "kickoff_time"]
 ENT_PART, ENT_ORDER = ["season", "element"], ["kickoff_time", "fixture"]
 
 
+def entity_windows(log, back: int, fwd: int, *stages):
+    """Windows per (season, entity) of the log, segmented by kickoff when an entity is too big
+    for one task (measured), with halo rows so the results equal the per-key windows."""
+    unit = resolve_segment("auto", log, ENT_PART, "kickoff_time")
+    return halo_window(log, ENT_PART, ENT_ORDER, time_segment("kickoff_time", unit), back, fwd, *stages)
+
+
 @query("rolling_avg", O.with_(*O.FIX) + """
 select season, element, fixture, kickoff_time, minutes, total_points, influence,
        avg(minutes) over r as minutes_rolling_avg,
@@ -24,7 +32,8 @@ from appearance_log
 window r as (partition by season, element order by kickoff_time, fixture rows between 3 preceding and current row)""")
 def q_rolling_avg(spark, root):
     log = fixtures.appearance_log(spark, root).select(*LOG_KEYS, "minutes", "total_points", "influence")
-    return W.rolling_avg(log, ENT_PART, ENT_ORDER, 4, ["minutes", "total_points", "influence"])
+    return entity_windows(log, 3, 0, lambda w: [F.avg(c).over(w.rowsBetween(-3, 0)).alias(f"{c}_rolling_avg")
+                                                for c in ("minutes", "total_points", "influence")])
 
 
 @query("next_value_target", O.with_(*O.FIX) + """
@@ -32,9 +41,8 @@ select season, element, fixture, kickoff_time, total_points,
        lead(coalesce(total_points, 0)) over (partition by season, element order by kickoff_time, fixture) as target
 from appearance_log""")
 def q_next_value_target(spark, root):
-    log = fixtures.appearance_log(spark, root)
-    return log.select(*LOG_KEYS, "total_points",
-                      W.next_value("total_points", ENT_PART, ENT_ORDER, 0).alias("target"))
+    log = fixtures.appearance_log(spark, root).select(*LOG_KEYS, "total_points")
+    return entity_windows(log, 0, 1, lambda w: [W.next_value("total_points", default=0, w=w).alias("target")])
 
 
 @query("lag_fallback_ratio", O.with_(*O.FIX) + """
@@ -43,9 +51,8 @@ select season, element, fixture, kickoff_time, selected,
                 selected / nullif(lag(selected, 1) over w, 0), 1.0) as selected_index_change4
 from appearance_log window w as (partition by season, element order by kickoff_time, fixture)""")
 def q_lag_fallback(spark, root):
-    log = fixtures.appearance_log(spark, root)
-    return log.select(*LOG_KEYS, "selected",
-                      W.lag_fallback_ratio("selected", ENT_PART, ENT_ORDER).alias("selected_index_change4"))
+    log = fixtures.appearance_log(spark, root).select(*LOG_KEYS, "selected")
+    return entity_windows(log, 3, 0, lambda w: [W.lag_fallback_ratio("selected", w=w).alias("selected_index_change4")])
 
 
 @query("role_label", O.with_(*O.FIX) + """
@@ -57,8 +64,9 @@ from (select *, lead(coalesce(total_points, 0)) over (partition by season, eleme
 def q_role_label(spark, root):
     from panelspark.functions.expr import role_label
     log = fixtures.appearance_log(spark, root)
-    t = log.select("season", "element", "fixture", "round",
-                   W.next_value("total_points", ENT_PART, ENT_ORDER, 0).alias("target"))
+    t = entity_windows(log.select(*LOG_KEYS, "round", "total_points"), 0, 1,
+                       lambda w: [W.next_value("total_points", default=0, w=w).alias("target")])
+    t = t.select("season", "element", "fixture", "round", "target")
     last = W.global_max(log, "season")
     return t.withColumn("data", role_label(F.col("season") == last, "target", "round", 1))
 
@@ -76,7 +84,8 @@ def q_relevance(spark, root):
     log = fixtures.appearance_log(spark, root).select(
         "season", "element", "fixture", "kickoff_time", "value", "selected", "total_points",
         F.coalesce("minutes", F.lit(0)).alias("minutes"))
-    r = W.rolling_avg(log, ENT_PART, ENT_ORDER, 4, ["minutes", "total_points"])
+    r = entity_windows(log, 3, 0, lambda w: [F.avg(c).over(w.rowsBetween(-3, 0)).alias(f"{c}_rolling_avg")
+                                              for c in ("minutes", "total_points")])
     r = r.filter(relevance([F.col("minutes_rolling_avg") > 0,
                             (F.col("value") >= 45) & (F.col("selected") >= 10000),
                             F.col("total_points_rolling_avg") != 0]))

@@ -200,3 +200,10 @@ def test_exact_quantiles_match_numpy(spark, max_candidates):
     for g, part in pdf.groupby("g"):
         ref = np.quantile(part["v"].to_numpy(), qs)
         assert [got[(g, i)] for i in range(len(qs))] == pytest.approx(list(ref), rel=1e-12)
+
+
+def test_rolling_avg_segmented_equals_plain(spark):
+    e = spark.read.parquet("/root/testdata/sf0.001/events.parquet").select("user_id", "event_id", "ts", "value")
+    plain = W.rolling_avg(e, ["user_id"], ["ts", "event_id"], 3, ["value"])
+    seg = W.rolling_avg(e, ["user_id"], ["ts", "event_id"], 3, ["value"], segment=F.date_trunc("day", "ts"))
+    assert plain.exceptAll(seg).count() == 0 and seg.exceptAll(plain).count() == 0
