@@ -42,9 +42,15 @@ def exact_quantiles(long: DataFrame, groups: Sequence[str], value: str, qs: Sequ
     ``MAX_GROUPS``), whose bracket table is broadcast.
     """
     out_groups = list(groups)
-    groups = out_groups or ["__all"]   # a constant key: every join below stays an equi-join
-    src = long if out_groups else long.withColumn("__all", F.lit(0))
-    x = src.select(*groups, F.col(value).cast("double").alias("__x")).filter(F.col("__x").isNotNull())
+    if out_groups:
+        x = long.select(*groups, F.col(value).cast("double").alias("__x"))
+    else:
+        # one group: its key comes from an unpivot (a literal key would be folded away
+        # by the optimizer, turning the equi-joins below into nested-loop joins)
+        groups = ["__all"]
+        x = long.select(F.col(value).cast("double").alias("__x")).unpivot([], ["__x"], "__all", "__v") \
+                .select("__all", F.col("__v").alias("__x"))
+    x = x.filter(F.col("__x").isNotNull())
     n = x.groupBy(*groups).agg(F.count(F.lit(1)).alias("__n"))
     pos = F.col("__q") * (F.col("__n") - 1)
     state = (n.select(*groups, "__n", F.posexplode(F.array(*[F.lit(float(q)) for q in qs])).alias("__qi", "__q"))

@@ -200,6 +200,8 @@ def test_exact_quantiles_match_numpy(spark, max_candidates):
     for g, part in pdf.groupby("g"):
         ref = np.quantile(part["v"].to_numpy(), qs)
         assert [got[(g, i)] for i in range(len(qs))] == pytest.approx(list(ref), rel=1e-12)
+    overall = {r.qi: r.value for r in exact_quantiles(long, [], "v", qs, max_candidates=max_candidates).collect()}
+    assert [overall[i] for i in range(len(qs))] == pytest.approx(list(np.quantile(pdf["v"].to_numpy(), qs)), rel=1e-12)
 
 
 def test_rolling_avg_segmented_equals_plain(spark):

@@ -185,7 +185,9 @@ def test_penalty_mapping_matches_closed_forms(spark):
 
 
 @pytest.mark.parametrize("name", ["feature_table", "league_table", "entity_features", "team_features",
-                                  "asof_events", "upsert_keep_last", "anova_f", "describe_numeric"])
+                                  "asof_events", "upsert_keep_last", "anova_f", "describe_numeric",
+                                  "percentile_bins", "target_by_bin", "league_table_segmented",
+                                  "entity_features_segmented"])
 def test_plans_have_no_pair_enumeration(spark, name):
     """No cartesian product or nested-loop join anywhere in the physical plans."""
     from panelspark import registry
