@@ -90,12 +90,15 @@ select o_orderkey, o_orderstatus, o_totalprice,
 from orders""")
 def q_union_seasons(spark, root):
     """Current period has all columns; earlier periods lack one and carry a stray index."""
-    o = read_table(spark, root, "orders").withColumn("__y", F.year("o_orderdate"))
-    years = sorted(r[0] for r in o.select("__y").distinct().collect())  # one value per period
+    import datetime as dt
+    o = read_table(spark, root, "orders")
+    years = sorted(r[0] for r in o.select(F.year("o_orderdate")).distinct().collect())  # one value per period
     cur = years[-1]
     frames = {}
     for y in years:
-        f = o.filter(F.col("__y") == y)
+        # a range on the raw column (not year(...)) is pushed into each period's Parquet scan
+        lo, hi = (F.lit(dt.datetime(v, 1, 1)).cast("timestamp_ntz") for v in (y, y + 1))
+        f = o.filter((F.col("o_orderdate") >= lo) & (F.col("o_orderdate") < hi))
         if y == cur:
             frames[y] = f.select("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
         else:
