@@ -195,3 +195,18 @@ def test_plans_have_no_pair_enumeration(spark, name):
     df = registry.QUERIES[name](spark, ROOT)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+@pytest.mark.parametrize("profile", ["gbt_xgb_profile", "gbt_lgbm_profile", "gbt_cat_profile"])
+def test_boosting_profiles_build_and_fit(spark, profile):
+    """M7: every setting of the re-aimed boosting grids maps to a valid Spark GBT."""
+    from pyspark.ml.feature import VectorAssembler
+    rows = [(float(i % 13), float(i % 7), 3.0 * (i % 13) - (i % 7)) for i in range(60)]
+    d = VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(
+        spark.createDataFrame(rows, "a double, b double, label double"))
+    grid = M.settings(M.GRIDS[profile])
+    ests = [M.build_estimator(profile, p) for p in grid]
+    assert len(ests) == len(grid)
+    cheapest = min(grid, key=lambda p: p.get("n_estimators", p.get("iterations", 0)))
+    m = M.build_estimator(profile, cheapest).fit(d)
+    assert m.transform(d).count() == 60
