@@ -38,10 +38,11 @@ def main() -> None:
     root = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     names = [n for n in os.environ.get("BENCH_QUERIES", ",".join(HEADLINE)).split(",") if n]
-    extra = {}
+    # partition sizing for this machine: AQE coalesces shuffle partitions to this size
+    extra = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": os.environ.get("BENCH_ADVISORY_BYTES", "16m")}
     if os.environ.get("BENCH_EVENT_LOG"):
         d = tempfile.mkdtemp(prefix="bench-events-")
-        extra = {"spark.eventLog.enabled": "true", "spark.eventLog.dir": d}
+        extra.update({"spark.eventLog.enabled": "true", "spark.eventLog.dir": d})
     from panelspark import registry
     from panelspark.session import local_session
 

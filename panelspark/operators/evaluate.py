@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml import PipelineModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -117,12 +116,12 @@ def _permuted_r2(model, base: DataFrame, features: str, label: str, n_blocks: in
     return scored.groupBy("__f", "__r").agg((1 - F.avg(err * err) / F.var_pop(label)).alias("r2"))
 
 
-def closed_form_prediction(df: DataFrame, x: str, y: str) -> DataFrame:
-    """One-feature least squares fit (regr_slope/regr_intercept) applied to every row."""
-    fit = df.agg(F.regr_slope(y, x).alias("b"), F.regr_intercept(y, x).alias("a"))
+def closed_form_prediction(df: DataFrame, x: str, y: str, fit_rows=None) -> DataFrame:
+    """One-feature least squares fit (regr_slope/regr_intercept) on ``fit_rows``
+    (a filter; default all rows), applied to every row as ``prediction``.
+
+    The two coefficients are scalar subqueries: one aggregate job, no join."""
+    fit = df.filter(fit_rows) if fit_rows is not None else df
+    fit = fit.agg(F.regr_slope(y, x).alias("b"), F.regr_intercept(y, x).alias("a"))
     b, a = fit.select("b").scalar(), fit.select("a").scalar()
     return df.withColumn("prediction", a + b * F.col(x))
-
-
-def apply_model(model: PipelineModel, df: DataFrame) -> DataFrame:
-    return model.transform(df)

@@ -28,7 +28,7 @@ def sized_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> Da
     return F.broadcast(df) if row_count_at_most(df, max_rows) else df
 
 
-def lookup(df: DataFrame, dim: DataFrame, key: str, dim_key: str, value: str,
+def lookup(df: DataFrame, dim: DataFrame, dim_key: str, value: str,
            roles: dict[str, str], max_dim_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
     """Map id -> label for several id columns (``roles``: id column -> output name).
 
@@ -125,13 +125,6 @@ def _measured_segment(left: DataFrame, right: DataFrame, by: Sequence[str], left
     return lambda c: F.date_trunc(unit, c)
 
 
-def left_join(df: DataFrame, other: DataFrame, on: Sequence[str] | Column, broadcast_rows: int | None = None) -> DataFrame:
-    """Left join; ``broadcast_rows`` enables a size-checked broadcast of ``other``."""
-    if broadcast_rows is not None:
-        other = sized_broadcast(other, broadcast_rows)
-    return df.join(other, on=on, how="left")
-
-
 def keep_members(df: DataFrame, column: str, values=None, table: DataFrame | None = None,
                  table_column: str | None = None) -> DataFrame:
     """Keep rows whose ``column`` is in a literal list OR in a table column.

@@ -255,10 +255,7 @@ from p group by split""")
 def q_regression_metrics(spark, root):
     li = read_table(spark, root, "lineitem")
     d = li.select("l_quantity", "l_extendedprice", X.split_column(KEY, 0.6, True, 42).alias("split"))
-    fit = d.filter(F.col("split") == "train").agg(F.regr_slope("l_extendedprice", "l_quantity").alias("b"),
-                                                   F.regr_intercept("l_extendedprice", "l_quantity").alias("a"))
-    b, a = fit.select("b").scalar(), fit.select("a").scalar()
-    p = d.withColumn("prediction", a + b * F.col("l_quantity"))
+    p = E.closed_form_prediction(d, "l_quantity", "l_extendedprice", F.col("split") == "train")
     m = E.regression_metrics(p, "l_extendedprice", "prediction", "split")
     return m.select("split", "n", F.round("R2", 6).alias("R2"), F.round("MAE", 4).alias("MAE"),
                     F.round("MSE", 1).alias("MSE"), F.round("RMSE", 4).alias("RMSE"))
@@ -270,10 +267,8 @@ select l_orderkey, l_linenumber, l_partkey, l_suppkey, split, l_extendedprice,
 def q_residuals(spark, root):
     li = read_table(spark, root, "lineitem")
     d = li.select(*KEY, "l_quantity", "l_extendedprice", X.split_column(KEY, 0.6, True, 42).alias("split"))
-    fit = d.filter(F.col("split") == "train").agg(F.regr_slope("l_extendedprice", "l_quantity").alias("b"),
-                                                   F.regr_intercept("l_extendedprice", "l_quantity").alias("a"))
-    b, a = fit.select("b").scalar(), fit.select("a").scalar()
-    p = E.residuals(d.withColumn("prediction", a + b * F.col("l_quantity")), "l_extendedprice", "prediction")
+    p = E.residuals(E.closed_form_prediction(d, "l_quantity", "l_extendedprice", F.col("split") == "train"),
+                    "l_extendedprice", "prediction")
     return p.select(*KEY, "split", "l_extendedprice", F.round("prediction", 6).alias("prediction"),
                     F.round("residual", 6).alias("residual"))
 

@@ -181,7 +181,7 @@ from games g left join region h on g.home = h.r_regionkey left join region a on
 def q_lookup(spark, root):
     g = fixtures.games(spark, root).select("game_id", "home", "away")
     r = read_table(spark, root, "region")
-    return lookup(g, r, "id", "r_regionkey", "r_name", {"home": "home_name", "away": "away_name"}, max_dim_rows=10_000)
+    return lookup(g, r, "r_regionkey", "r_name", {"home": "home_name", "away": "away_name"}, max_dim_rows=10_000)
 
 
 @query("distinct_rows", "select distinct l_returnflag, l_linestatus, l_quantity from lineitem")
