@@ -63,7 +63,7 @@ def q_scan_folder_counts(spark, root):
 
 @query("sink_roundtrip", """
 select o_orderstatus, count(*) as n, min(o_totalprice) as min_price, max(o_totalprice) as max_price,
-       sum(o_orderkey) as sum_key
+       cast(sum(o_orderkey) as bigint) as sum_key
 from orders group by o_orderstatus""")
 def q_sink_roundtrip(spark, root):
     """S3: write to the shared checkpoint folder (partitioned Parquet), read back."""
@@ -218,7 +218,7 @@ edges as (select list_transform(e, lambda x, i: case when i = 1 then x - 0.1 whe
 
 
 @query("percentile_bins", "with " + BINS_SQL.format(c="l_quantity", t="lineitem") + """
-select b as bin, round(edges[b], 6) as lower, round(edges[b + 1], 6) as upper, count(*) as n from (
+select cast(b as integer) as bin, round(edges[b], 6) as lower, round(edges[b + 1], 6) as upper, count(*) as n from (
   select 1 + len(list_filter(edges[2:len(edges) - 1], lambda v: l_quantity > v)) as b, edges
   from lineitem, edges where l_quantity is not null) x
 group by b, edges""")
@@ -232,7 +232,7 @@ def q_percentile_bins(spark, root):
 
 
 @query("target_by_bin", "with " + BINS_SQL.format(c="l_quantity", t="lineitem") + """
-select 'l_quantity' as "column", b as bin, round(edges[b], 6) as lower, round(edges[b + 1], 6) as upper,
+select 'l_quantity' as "column", cast(b as integer) as bin, round(edges[b], 6) as lower, round(edges[b + 1], 6) as upper,
        round(avg(l_extendedprice), 6) as mean, count(*) as n from (
   select 1 + len(list_filter(edges[2:len(edges) - 1], lambda v: l_quantity > v)) as b, edges, l_extendedprice
   from lineitem, edges where l_quantity is not null) x

@@ -18,6 +18,11 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 from panelspark.sources.tables import TABLES  # noqa: E402
 
 
+SPARK_TO_DUCK = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR",
+                 "boolean": "BOOLEAN", "timestamp_ntz": "TIMESTAMP", "date": "DATE", "float": "FLOAT",
+                 "smallint": "SMALLINT", "tinyint": "TINYINT", "array<double>": "DOUBLE[]"}
+
+
 def duck(root: str) -> duckdb.DuckDBPyConnection:
     con = duckdb.connect()
     for t in TABLES:
@@ -69,9 +74,13 @@ def compare(spark, name: str, fn, sql: str | None, root: str, con=None) -> dict:
         res["status"] = "rows-only"
         return res
     con = con or duck(root)
-    cur = con.execute(sql)
-    dcols = [d[0] for d in cur.description]
-    drecs = cur.fetchall()
+    rel = con.sql(sql)
+    dcols, dtypes = rel.columns, [str(t) for t in rel.types]
+    drecs = rel.fetchall()
+    stypes = {f.name: SPARK_TO_DUCK.get(f.dataType.simpleString(), f.dataType.simpleString()) for f in df.schema.fields}
+    res["types_match"] = all(stypes.get(c) == t for c, t in zip(dcols, dtypes))
+    if not res["types_match"]:
+        res["types_diff"] = [(c, stypes.get(c), t) for c, t in zip(dcols, dtypes) if stypes.get(c) != t]
     res["oracle_rows"] = len(drecs)
     sc, sr = rows_of(scols, srecs)
     dc, dr = rows_of(dcols, drecs)
@@ -88,7 +97,9 @@ def compare(spark, name: str, fn, sql: str | None, root: str, con=None) -> dict:
             if x != y:
                 res["first_diff"] = [(sc[i], x[i], y[i]) for i in range(len(x)) if x[i] != y[i]][:4]
                 break
-    res["status"] = "exact" if res["exact"] else ("close" if close else "MISMATCH")
+    res["status"] = ("exact" if res["exact"] else ("close" if close else "MISMATCH"))
+    if not res["types_match"]:
+        res["status"] += "+TYPES"
     return res
 
 

@@ -19,6 +19,7 @@ def test_matches_duckdb(spark, con, name):
     r = compare(spark, name, registry.QUERIES[name], registry.ORACLE[name], ROOT, con)
     assert r["cols_match"], r
     assert r["rows_match"], r
+    assert r["types_match"], r
     assert r["status"] in ("exact", "close"), r
 
 
