@@ -72,7 +72,28 @@ def q_standardize(spark, root):
     return z.select("event_id", F.round("points_z", 6).alias("points_z"))
 
 
-@query("one_hot")
+SPLIT_SQL = """case when b < 6000 then 'train' when b < 8000 then 'test' else 'val' end"""
+ONE_HOT_SQL = """
+with d as (
+  select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_returnflag, p_brand,
+         l_quantity, l_discount, l_tax, p_retailprice,
+         """ + SPLIT_SQL + """ as split
+  from (select l.*, p.p_brand, p.p_retailprice,
+               cast(('0x' || substr(md5(concat_ws('|', '42', cast(l_orderkey as varchar), cast(l_linenumber as varchar),
+               cast(l_partkey as varchar), cast(l_suppkey as varchar))), 1, 8)) as bigint) % 10000 as b
+        from lineitem l join part p on l.l_partkey = p.p_partkey) x),
+c as (select list_sort(list_distinct(list(coalesce(l_returnflag, 'missing_data')))) as rf,
+             list_sort(list_distinct(list(coalesce(p_brand, 'missing_data')))) as br
+      from d where split = 'train')
+select l_orderkey, l_linenumber, l_partkey, l_suppkey, split,
+       cast(list_transform(rf, lambda v: case when coalesce(l_returnflag, 'missing_data') = v then 1 else 0 end)
+            as double[]) as l_returnflag_onehot,
+       cast(list_transform(br, lambda v: case when coalesce(p_brand, 'missing_data') = v then 1 else 0 end)
+            as double[]) as p_brand_onehot
+from d, c"""
+
+
+@query("one_hot", ONE_HOT_SQL)
 def q_one_hot(spark, root):
     """fit on train rows; unseen categories in other rows encode as all zeros."""
     data, fm = _fitted(spark, root, groups=False)
@@ -94,7 +115,27 @@ def q_feature_pipeline(spark, root):
     return fm.transform(data).select(*KEY, "split", vector_to_array("features").alias("features"))
 
 
-@query("feature_names")
+FEATURE_NAMES_SQL = ONE_HOT_SQL.split("c as (")[0] + """n as (
+  select 0 as part, v as k, 'l_returnflag_' || v as name
+  from (select distinct coalesce(l_returnflag, 'missing_data') as v from d where split = 'train') a
+  union all
+  select 1, v, 'p_brand_' || v
+  from (select distinct coalesce(p_brand, 'missing_data') as v from d where split = 'train') b
+  union all
+  select 2, k, name from (values ('0', 'l_quantity'), ('1', 'l_discount'), ('2', 'l_tax'), ('3', 'p_retailprice')) t(k, name)
+  union all
+  select 3, k, 'missing_indicator_' || name from (
+    select '0' as k, 'l_quantity' as name from d where split = 'train' and l_quantity is null
+    union select '1', 'l_discount' from d where split = 'train' and l_discount is null
+    union select '2', 'l_tax' from d where split = 'train' and l_tax is null
+    union select '3', 'p_retailprice' from d where split = 'train' and p_retailprice is null) m
+  union all
+  select 4, k, name from (values ('0', 'pca_all_pca_1'), ('1', 'pca_all_pca_2'), ('2', 'pca_all_pca_3'),
+                                 ('3', 'pca_price_pca_1'), ('4', 'pca_price_pca_2')) t(k, name))
+select cast(row_number() over (order by part, k) - 1 as integer) as idx, name from n"""
+
+
+@query("feature_names", FEATURE_NAMES_SQL)
 def q_feature_names(spark, root):
     _, fm = _fitted(spark, root)
     names = FE.feature_names(fm)
