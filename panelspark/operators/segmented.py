@@ -139,22 +139,26 @@ def choose_segment(df: DataFrame, keys: Sequence[str], time_col: str, max_rows:
                    units: Sequence[str] = UNITS) -> str | None:
     """Pick the segment unit for windows partitioned by ``keys``.
 
-    One aggregate over (keys, finest unit) - partial aggregation before the
-    shuffle, a result of one row per key and day - gives the largest number of
-    rows a window task would hold per key and per (key, unit). Returns None when
-    every key fits in ``max_rows`` (plain windows, one shuffle), else the
-    coarsest unit whose largest (key, unit) group fits, else the finest unit.
+    Phase 1: rows per key (one aggregate, partial aggregation before the
+    shuffle). If no key holds more than ``max_rows`` rows, returns None: plain
+    windows, one shuffle. Phase 2 only looks at the hot keys. There are at most
+    total rows / ``max_rows`` of them, so their list is small and is broadcast
+    behind a size check. Their rows are counted per (key, day), rolled up to
+    week and month, and the coarsest unit whose largest group fits is
+    returned, else the finest unit.
     """
-    finest = units[-1]
-    per = df.groupBy(*keys, F.date_trunc(finest, F.col(time_col)).alias("__u")).agg(F.count(F.lit(1)).alias("__n"))
-    sums = [F.sum("__n").over(Window.partitionBy(*keys)).alias("__key")]
-    sums += [F.sum("__n").over(Window.partitionBy(*keys, F.date_trunc(u, F.col("__u")))).alias(f"__{u}")
-             for u in units[:-1]]
-    sized = per.select("__n", *sums)
-    row = sized.agg(F.max("__key").alias("key"), *[F.max(f"__{u}").alias(u) for u in units[:-1]],
-                    F.max("__n").alias(finest)).first()
-    if row["key"] is None or row["key"] <= max_rows:
+    from panelspark.operators.joins import sized_broadcast
+    per_key = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    hot = per_key.filter(F.col("__n") > max_rows).select(*keys)
+    if hot.limit(1).count() == 0:
         return None
+    finest = units[-1]
+    sub = df.join(sized_broadcast(hot, 10_000_000), list(keys), "left_semi")
+    per = sub.groupBy(*keys, F.date_trunc(finest, F.col(time_col)).alias("__u")).agg(F.count(F.lit(1)).alias("__n"))
+    sums = [F.sum("__n").over(Window.partitionBy(*keys, F.date_trunc(u, F.col("__u")))).alias(f"__{u}")
+            for u in units[:-1]]
+    row = per.select("__n", *sums).agg(*[F.max(f"__{u}").alias(u) for u in units[:-1]],
+                                       F.max("__n").alias(finest)).first()
     for u in units:
         if row[u] <= max_rows:
             return u
