@@ -337,23 +337,14 @@ def q_score_topk(spark, root):
 
 @query("pipeline_smoke")
 def q_pipeline_smoke(spark, root):
-    """feature_table -> split -> significance selection (F11) -> column groups
-    -> feature pipeline with PCA groups -> linear model -> metrics per split."""
-    from panelspark.operators import selection
-    from panelspark.plans.panel import TEAM_FEATURE_COLUMNS, feature_columns
-    ft, _, _ = _panel_model(spark, root)
-    rows = ft.filter(F.col("data") == "train").withColumn(
-        "split", X.split_column(["season", "element", "fixture"], 0.6, True, 42))
-    numeric, categorical = feature_columns(rows, exclude=["target", "label", "kickoff_time", "player_id",
-                                                          "next_kickoff_time", "data", "value", "selected",
-                                                          "element", "fixture", "season", "split"])
-    train = rows.filter(F.col("split") == "train")
-    sig = selection.select_features(selection.significance(train, numeric, categorical, "label"), 0.05)
-    keep = {r.feature for r in sig.select("feature").collect()}  # one row per selected feature
-    if keep:  # no significant feature: keep all rather than fit an empty pipeline
-        numeric = [c for c in numeric if c in keep]
-        categorical = [c for c in categorical if c in keep]
-    groups = FE.reference_groups(numeric, TEAM_FEATURE_COLUMNS)
-    fm = FE.fit_feature_pipeline(train, FE.FeatureSpec(numeric, categorical, groups))
-    model = M.fit_final(train, fm, "linear", {"fit_intercept": True})
-    return E.regression_metrics(model.transform(rows), "label", "prediction", "split")
+    """The whole flow: feature_table -> split -> significance selection (F11) -> column
+    groups (P18) -> feature pipeline -> search + guarded choice for two algorithms ->
+    refit -> leaderboard; returns the best model's metrics per split."""
+    from panelspark.plans import pipeline as P
+    from panelspark.plans.panel import feature_table_from
+    ft = cut_lineage(feature_table_from(spark, root))
+    rows, numeric, categorical = P.prepare(ft)
+    numeric, categorical, _ = P.select(rows.filter(F.col("split") == "train"), numeric, categorical)
+    trained = P.train_models(spark, rows, numeric, categorical,
+                             P.TrainSpec(algorithms=("linear", "ridge"), n_random=2))
+    return E.regression_metrics(trained.models[trained.best].transform(rows), "label", "prediction", "split")

@@ -210,3 +210,21 @@ def test_boosting_profiles_build_and_fit(spark, profile):
     cheapest = min(grid, key=lambda p: p.get("n_estimators", p.get("iterations", 0)))
     m = M.build_estimator(profile, cheapest).fit(d)
     assert m.transform(d).count() == 60
+
+
+def test_training_flow_on_the_panel(spark):
+    """prepare -> select -> train_models -> score on the sf0.001 feature table."""
+    from panelspark.plans import pipeline as P
+    from panelspark.plans.panel import feature_table_from
+    ft = feature_table_from(spark, ROOT).cache()
+    rows, numeric, categorical = P.prepare(ft)
+    assert "target" not in numeric and "label" not in numeric and numeric
+    numeric, categorical, sig = P.select(rows.filter(F.col("split") == "train"), numeric, categorical)
+    assert sig.count() > 0
+    trained = P.train_models(spark, rows, numeric, categorical,
+                             P.TrainSpec(algorithms=("linear", "ridge"), n_random=2, pca_groups=False))
+    board = trained.leaderboard.collect()
+    assert {r.algorithm for r in board} == {"linear", "ridge"}
+    assert sum(r.is_best for r in board) == 1 and trained.best in trained.models
+    top = P.score(trained.models[trained.best], ft, ["element", "team", "next_kickoff_time"], k=5)
+    assert top.count() <= 5
