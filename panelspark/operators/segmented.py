@@ -131,7 +131,7 @@ def time_segment(c: str, unit: str | None) -> Column | None:
     return None if unit is None else F.date_trunc(unit, F.col(c))
 
 
-UNITS = ("month", "week", "day")
+UNITS = ("month", "week", "day", "hour")
 MAX_ROWS_PER_TASK = 2_000_000
 
 
@@ -143,8 +143,8 @@ def choose_segment(df: DataFrame, keys: Sequence[str], time_col: str, max_rows:
     shuffle). If no key holds more than ``max_rows`` rows, returns None: plain
     windows, one shuffle. Phase 2 only looks at the hot keys. There are at most
     total rows / ``max_rows`` of them, so their list is small and is broadcast
-    behind a size check. Their rows are counted per (key, day), rolled up to
-    week and month, and the coarsest unit whose largest group fits is
+    behind a size check. Their rows are counted per (key, hour), rolled up to
+    day, week and month, and the coarsest unit whose largest group fits is
     returned, else the finest unit.
     """
     from panelspark.operators.joins import sized_broadcast

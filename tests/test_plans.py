@@ -108,7 +108,7 @@ def test_auto_segment_picks_unit_for_hot_keys(spark):
     from panelspark.operators.segmented import choose_segment
     log = fixtures.appearance_log(spark, ROOT)
     assert choose_segment(log, ["season", "element"], "kickoff_time", max_rows=10**9) is None
-    assert choose_segment(log, ["season", "element"], "kickoff_time", max_rows=15) in ("month", "week", "day")
+    assert choose_segment(log, ["season", "element"], "kickoff_time", max_rows=15) in ("month", "week", "day", "hour")
 
 
 def test_entity_features_segmented_equals_plain(spark):
