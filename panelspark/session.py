@@ -26,6 +26,23 @@ DEFAULT_CONF = {
 }
 
 
+# Recommended settings for a large cluster (applied by the deployment, never forced
+# by the library). The initial shuffle partition count is high so that no
+# partition of a 100 TB shuffle is large; AQE then coalesces small partitions to
+# the advisory size and splits skewed join partitions. The broadcast threshold
+# stays moderate: explicit broadcasts go through row-count checks anyway.
+CLUSTER_CONF = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.shuffle.partitions": "20000",
+    "spark.sql.files.maxPartitionBytes": "512m",
+    "spark.sql.autoBroadcastJoinThreshold": "64m",
+    "spark.sql.session.timeZone": "UTC",
+}
+
+
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8,
                   app_name: str = "panelspark", driver_memory: str = "16g",
                   extra: dict | None = None) -> SparkSession:
