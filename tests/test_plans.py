@@ -228,3 +228,17 @@ def test_training_flow_on_the_panel(spark):
     assert sum(r.is_best for r in board) == 1 and trained.best in trained.models
     top = P.score(trained.models[trained.best], ft, ["element", "team", "next_kickoff_time"], k=5)
     assert top.count() <= 5
+
+
+def test_feature_table_sample_thins_train_rows_only(spark):
+    from panelspark.plans import entity, panel
+    g = fixtures.games(spark, ROOT)
+    ent = entity.entity_features(fixtures.appearance_log(spark, ROOT), g, fixtures.entity_info(spark, ROOT))
+    team = standings.team_features(g)
+    full = {r.data: r["count"] for r in panel.feature_table(ent, team).groupBy("data").count().collect()}
+    half = panel.feature_table(ent, team, fraction=0.5, seed=7)
+    got = {r.data: r["count"] for r in half.groupBy("data").count().collect()}
+    assert got["score"] == full["score"]
+    assert 0.4 * full["train"] < got["train"] < 0.6 * full["train"]
+    with pytest.raises(ValueError):
+        panel.feature_table(ent, team, fraction=0.0)
