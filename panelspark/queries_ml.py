@@ -109,8 +109,8 @@ def q_pca_groups(spark, root):
                       vector_to_array("pca_price__pca").alias("pca_price"))
 
 
-@query("feature_pipeline")
-def q_feature_pipeline(spark, root):
+@query("column_transformer")
+def q_column_transformer(spark, root):
     data, fm = _fitted(spark, root)
     return fm.transform(data).select(*KEY, "split", vector_to_array("features").alias("features"))
 
@@ -335,12 +335,12 @@ def q_score_topk(spark, root):
     return M.score_topk(m, ft.filter(F.col("data") == "score"), report, k=10)
 
 
-@query("pipeline_smoke")
-def q_pipeline_smoke(spark, root):
+@query("model_end_to_end")
+def q_model_end_to_end(spark, root):
     """The whole flow: feature_table -> split -> significance selection (F11) -> column
     groups (P18) -> feature pipeline -> search + guarded choice for two algorithms ->
     refit -> leaderboard; returns the best model's metrics per split."""
-    from panelspark.plans import pipeline as P
+    from panelspark.plans import modelling as P
     from panelspark.plans.panel import feature_table_from
     ft = cut_lineage(feature_table_from(spark, root))
     rows, numeric, categorical = P.prepare(ft)

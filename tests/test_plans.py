@@ -44,7 +44,7 @@ def test_hash_split_is_stable_and_near_shares(spark):
     assert 0.57 < share < 0.63
 
 
-def test_feature_pipeline_unseen_and_constant(spark):
+def test_column_transformer_unseen_and_constant(spark):
     train = spark.createDataFrame([(1.0, 5.0, "a"), (None, 5.0, "b"), (3.0, 5.0, "a")], "x double, c double, s string")
     fm = FE.fit_feature_pipeline(train, FE.FeatureSpec(["x", "c"], ["s"]))
     names = FE.feature_names(fm)
@@ -214,7 +214,7 @@ def test_boosting_profiles_build_and_fit(spark, profile):
 
 def test_training_flow_on_the_panel(spark):
     """prepare -> select -> train_models -> score on the sf0.001 feature table."""
-    from panelspark.plans import pipeline as P
+    from panelspark.plans import modelling as P
     from panelspark.plans.panel import feature_table_from
     ft = feature_table_from(spark, ROOT).cache()
     rows, numeric, categorical = P.prepare(ft)
