@@ -1,0 +1,303 @@
+"""Quality rules, secret scans, URL reputation and chat formatting against brute force, with edge cases."""
+
+import re
+from collections import Counter, defaultdict
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from panelspark.llm import chat_log, quality, secret_scan, url_reputation
+from panelspark.llm import queries  # noqa: F401
+from panelspark.registry import QUERIES
+
+ROOT = "/root/testdata/sf0.001"
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+DOC_SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _text string, rule int, spans string"
+
+EDGE_TEXTS = [None, "", " \t\n\x0b\x0c\r", "a", "a b a b a b", "x\n\nx\ny\n x\n", "é" * 10 + " ß\u00a0ß", "a a a a a",
+              "w" * 100_000, "one two three " * 20_000, "\U0001f600 \U0001f600 #$%", "The The The The The The", "l1\r\nl1\r\nl1"]
+
+
+def edge_docs(spark, texts=None):
+    rows = [(i, t, None, None, None, "clash", 7, "s") for i, t in enumerate(EDGE_TEXTS if texts is None else texts)]
+    rows += [(None, "null id", "en", "s", 1, None, None, None)] + rows[:2] if texts is None else []
+    return spark.createDataFrame(rows, DOC_SCHEMA)
+
+
+# ---- quality -----------------------------------------------------------------------------------------------
+
+def brute_stats(text):
+    t = text or ""
+    w = WORD.findall(t)
+    lines = [x for x in t.split("\n") if WORD.search(x)]
+    tri = Counter(zip(w, w[1:], w[2:]))
+    hit = {k + d for k in range(len(w) - 2) if tri[tuple(w[k:k + 3])] > 1 for d in range(3)}
+    return (len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), len(hit))
+
+
+BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+
+
+def check_stats(docs):
+    got = quality.text_stats(docs, keep=("doc_id", "text")).select("text", *BASE).collect()
+    for r in got:
+        assert tuple(r[c] for c in BASE) == brute_stats(r["text"]), (r["text"] or "")[:80]
+
+
+def test_quality_stats_edges(spark):
+    check_stats(edge_docs(spark))
+
+
+def test_quality_stats_real_texts(spark):
+    check_stats(spark.read.parquet(f"{ROOT}/documents.parquet"))
+
+
+@settings(max_examples=4, deadline=None)
+@given(st.lists(st.text(alphabet="ab \n\t|\u00a0é", max_size=40), min_size=1, max_size=30))
+def test_quality_stats_random(spark, texts):
+    check_stats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+
+
+def test_position_range_fallback(spark, monkeypatch):
+    monkeypatch.setattr(quality, "_POSITION_BITS", 3)
+    check_stats(spark.read.parquet(f"{ROOT}/documents.parquet").limit(60))
+    check_stats(edge_docs(spark))
+
+
+def planted(spark, n=600):
+    """Bad documents have many symbols, or many capitals; good ones have neither."""
+    rows, labels = [], []
+    for i in range(n):
+        words = [f"w{(i * 31 + k * k) % 997}x{k}" for k in range(80)]
+        bad = i % 5 == 0
+        if bad and i % 2:
+            words = [w + "%%%" for w in words]
+        elif bad:
+            words = [w.upper() for w in words]
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(not bad), 0))
+    return spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+
+
+def test_decision_list_learns_conditions_and_filters(spark):
+    docs, labels = planted(spark)
+    stats = quality.text_stats(docs)
+    rules = quality.fit(stats, labels)
+    assert 1 <= len(rules.rules) <= 10 and "reject if" in str(rules)
+    kept = {r[0] for r in quality.judge(stats, rules).where("kept").select("doc_id").collect()}
+    assert kept == {i for i in range(600) if i % 5}
+    out = quality.filter_documents(docs.withColumn("rule", F.lit("x")).withColumn("_words", F.lit("y")), labels)
+    assert out.columns == ["doc_id", "text", "rule", "_words"] and {r[0] for r in out.collect()} == kept
+
+
+def test_decision_list_without_training_data(spark):
+    docs, labels = planted(spark, 50)
+    for lab in (labels.limit(0), labels.where("quality = 1"), labels.withColumn("quality", F.lit(None).cast("int")),
+                labels.withColumn("doc_id", F.lit(None).cast("long"))):
+        rules = quality.fit(quality.text_stats(docs), lab)
+        assert rules.rules == [] and str(rules) == "keep"
+        assert quality.filter_documents(docs, lab).count() == docs.count()
+    assert quality.filter_documents(docs.limit(0), labels).count() == 0
+
+
+def test_quality_query(spark):
+    got = QUERIES["op3_quality_rules"](spark, ROOT).collect()
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{ROOT}/documents.parquet").collect()}
+    assert len(got) == len(docs)
+    for r in got:
+        b = brute_stats(docs[r["doc_id"]])
+        assert tuple(r[c] for c in BASE) == b
+        assert r["base_failed"] == (b[0] < 50 or 100 * b[4] > 50 * b[0]) and not (r["base_failed"] and r["kept"])
+
+
+# ---- secrets -----------------------------------------------------------------------------------------------
+
+def brute_spans(text, rules=secret_scan.RULES):
+    out = []
+    for k, r in enumerate(rules):
+        for m in re.finditer(r.pattern, text or "", re.ASCII):
+            if len(m.group(r.group)) >= r.least:
+                out.append((m.start(), k, r.kind, m.end()))
+    return sorted(out)
+
+
+SECRET_TEXTS = EDGE_TEXTS + [
+    'é password = "hunter2hunter2" and PASSWD:abc token=abcdefgh', "api_key: x" * 5, "APIKEY='0123456789'", "secret=secret=secret=",
+    "AKIAABCDEFGHIJKL AKIAAKIA" + "Z" * 20, "deadbeef" * 5 + "g" + "0" * 31, "ghp_" + "a" * 36, "xoxb-1234567890-abc",
+    "eyJhbGciOi1.eyJzdWIiOi.c2lnbmF0dXJl", "-----BEGIN RSA PRIVATE KEY-----", "https://user:pa55w@host/x", "token=ab " * 3000,
+    "token=[REDACTED] " + "\U0001f600" * 5 + "token=" + "a" * 9, "AIza" + "x" * 35, "sk_live_" + "a" * 20]
+
+
+def test_secret_spans_match_brute_force(spark):
+    docs = edge_docs(spark, SECRET_TEXTS)
+    got = {r["doc_id"]: [tuple(s) for s in r["spans"]] for r in secret_scan.scan(docs).collect()}
+    assert got == {i: brute_spans(t) for i, t in enumerate(SECRET_TEXTS)}
+
+
+def test_secret_rows_with_null_and_repeated_ids(spark):
+    docs = spark.createDataFrame([(None, "token=abcdefgh"), (None, None), (1, "x"), (1, "token=abcdefgh"), (1, "x")], "doc_id long, text string")
+    assert sorted(len(r["spans"]) for r in secret_scan.scan(docs).collect()) == [0, 0, 0, 1, 1]
+    assert secret_scan.scan(docs.limit(0)).count() == 0
+
+
+@settings(max_examples=4, deadline=None)
+@given(st.lists(st.text(alphabet="tokensecrpiky_=:'\" A0", max_size=40), min_size=1, max_size=40))
+def test_secret_spans_random(spark, texts):
+    texts = [f"token={t} api_key:{t}" if i % 2 else t for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: [tuple(s) for s in r["spans"]] for r in secret_scan.scan(docs).collect()}
+    assert got == {i: brute_spans(t) for i, t in enumerate(texts)}
+
+
+def test_trigram_queries():
+    assert secret_scan.trigram_query("[0-9a-f]{32,}") is True
+    assert secret_scan.trigram_query("abcd") == ("and", (("gram", "abc"), ("gram", "bcd")))
+    assert secret_scan.trigram_query("(abc|xy)z") == ("or", (("and", (("gram", "abc"), ("gram", "bcz"))), ("gram", "xyz")))
+    assert secret_scan.trigram_query("ab?c.def") == ("gram", "def")
+    assert secret_scan.trigram_query("(abc){2,}") == ("gram", "abc")
+    for r in secret_scan.RULES:  # mandatory: each find satisfies its query
+        q = secret_scan.trigram_query(r.pattern)
+        for t in SECRET_TEXTS:
+            for m in re.finditer(r.pattern, t or "", re.ASCII):
+                assert holds(q, m.group().lower()), (r.kind, m.group())
+
+
+def holds(q, s):
+    if q is True:
+        return True
+    if q[0] == "gram":
+        return q[1] in s
+    return (all if q[0] == "and" else any)(holds(p, s) for p in q[1])
+
+
+def test_index_postings(spark):
+    docs = edge_docs(spark, SECRET_TEXTS)
+    got = {(r["gram"], r["id"]) for r in secret_scan.postings(docs).collect()}
+    up = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    assert got == {(g, i) for i, t in enumerate(SECRET_TEXTS) for g in secret_scan.vocabulary(secret_scan.RULES) if g in (t or "").translate(up)}
+
+
+def test_redact(spark):
+    docs = edge_docs(spark, SECRET_TEXTS)
+    out = secret_scan.redact(docs)
+    assert out.columns == docs.columns
+    for r in out.collect():
+        assert not brute_spans(r["text"])
+        if not brute_spans(SECRET_TEXTS[r["doc_id"]]):
+            assert r["text"] == SECRET_TEXTS[r["doc_id"]]
+    assert out.where("doc_id = 25").first()["text"] is not None
+
+
+def test_prefix_sums(spark):
+    df = spark.sql("select transform(sequence(1, n), x -> x * 2) a, n from values (1), (255), (256), (257), (700) t(n)")
+    for r in df.select("a", secret_scan.prefix_sums(F.col("a")).alias("p")).collect():
+        assert r["p"] == [sum(r["a"][:k]) for k in range(len(r["a"]))]
+
+
+# ---- URLs --------------------------------------------------------------------------------------------------
+
+URLS = [None, "", "nothing", "http://A.Example.ORG/es/1?x#y", "https://example.org/en/12", "https://example.org/en/2", "//x/y",
+        "http://com/fr/1", "http://b.com/de/1", "http://b.com/fr", "ftp://h?x", "http://xcom/fr/", "http://u://v/w", "http://é.com/de/x"]
+
+
+def brute_url(url):
+    if url is None or "://" not in url:
+        return "", ""
+    rest = url[url.index("://") + 3:]
+    host = re.match(r"[^/?#]*", rest).group()
+    path = re.match(r"[^?#]*", rest[len(host):]).group()
+    return re.sub("[A-Z]", lambda m: m.group().lower(), host), path
+
+
+def test_url_parts_and_rules(spark):
+    pages = spark.createDataFrame([(i, u, "h") for i, u in enumerate(URLS)] + [(None, "http://a/b", "z")], "page_id long, url string, host string")
+    none = spark.createDataFrame([], "page_id long, good int")
+    got = {r["page_id"]: r for r in url_reputation.judge(pages, none, queries.URL_RULES).collect()}
+    assert len(got) == len(URLS) + 1
+    for i, u in enumerate(URLS):
+        host, path = brute_url(u)
+        fits = [(len(r), r, v) for v, r in queries.URL_RULES
+                if (host == r.split("/")[0] or host.endswith("." + r.split("/")[0])) and path.startswith(r[r.index("/"):])]
+        best = max(fits, default=(0, None, "allow"))
+        assert (got[i]["host"], got[i]["path"], got[i]["rule"], got[i]["verdict"]) == (host, path, best[1], best[2]), u
+
+
+def test_host_reputation_shrinks_and_blocks(spark):
+    rows, outcomes, k = [], [], 0
+    for host, n, good in (("bad.spam.net", 60, 0.02), ("one.spam.net", 1, 0.0), ("good.fine.net", 60, 0.97), ("one.fine.net", 1, 0.0), ("new.spam.net", 0, 0)):
+        for j in range(max(n, 1)):
+            rows.append((k, f"http://{host}/{j}"))
+            if n:
+                outcomes.append((k, int(j < good * n)))
+            k += 1
+    pages, out = spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame(outcomes, "page_id long, good int")
+    got = {r["host"]: r for r in url_reputation.judge(pages, out).collect()}
+    assert got["bad.spam.net"]["verdict"] == "block" and got["good.fine.net"]["verdict"] == "allow"
+    assert got["one.fine.net"]["verdict"] == "allow"  # one bad page does not condemn a host of a good domain
+    assert got["one.spam.net"]["rate"] < got["one.fine.net"]["rate"] and got["new.spam.net"]["rate"] < 0.5
+    assert url_reputation.judge(pages.limit(0), out).count() == 0
+
+
+def test_suffixes(spark):
+    h = spark.createDataFrame([("a.b.co.uk",), ("x.example.com",), ("com",), ("",)], "h string")
+    got = [tuple(r) for r in h.select(url_reputation.domain_of(F.col("h")), url_reputation.suffix_of(F.col("h"))).collect()]
+    assert got == [("b.co.uk", "co.uk"), ("example.com", "com"), ("com", "com"), ("", "")]
+
+
+# ---- chat --------------------------------------------------------------------------------------------------
+
+def brute_fold(events):
+    """Replays a log in order."""
+    convs = defaultdict(dict)
+    order = {"regenerate": 0, "edit": 1, "delta": 2}
+    for c, _, turn, kind, role, text in sorted(events, key=lambda e: (e[1], order[e[3]], e[5])):
+        ms = convs[c]
+        if kind == "regenerate":
+            for t in [t for t in ms if t >= turn]:
+                del ms[t]
+            continue
+        r, old = ms.get(turn, ("", ""))
+        ms[turn] = (r or role, text if kind == "edit" else old + text)
+    return {(c, t): m for c, ms in convs.items() for t, m in ms.items()}
+
+
+EVENTS = "conv_id long, seq long, turn long, kind string, role string, text string"
+
+
+@settings(max_examples=4, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 2), st.integers(0, 3), st.sampled_from(["delta", "delta", "edit", "regenerate"]),
+                          st.sampled_from(["a", "bc", ""])), max_size=40))
+def test_fold_replays_any_log(spark, drawn):
+    events = [(c, k, t, kind, ["user", "assistant"][t % 2], x) for k, (c, t, kind, x) in enumerate(drawn)]
+    got = {(r["conv_id"], r["turn"]): (r["role"], r["text"]) for r in chat_log.fold(spark.createDataFrame(events, EVENTS)).collect()}
+    assert got == brute_fold(events)
+
+
+def test_fold_nulls_ties_and_repeats(spark):
+    rows = [(None, None, None, None, None, None), (1, 5, 1, "delta", "user", "b"), (1, 5, 1, "delta", "user", "a"), (1, 5, 1, "delta", "user", "a"),
+            (1, 5, 1, "edit", "user", "X"), (2, 1, 0, "delta", "user", "gone"), (2, 2, 0, "regenerate", None, None)]
+    df = spark.createDataFrame([(*r, 9, "z") for r in rows], EVENTS + ", edit int, live string")
+    got = {(r["conv_id"], r["turn"], r["role"], r["text"]) for r in chat_log.fold(df).collect()}
+    assert got == {(None, None, "", ""), (1, 1, "user", "Xaab")}
+    assert chat_log.render(chat_log.fold(df.limit(0))).count() == 0
+
+
+@settings(max_examples=4, deadline=None)
+@given(st.lists(st.tuples(st.text(alphabet="<|\\im_startend>\nx ", max_size=20), st.text(alphabet="us\\ \n<|", max_size=6)), min_size=1, max_size=12))
+def test_render_reads_back(spark, drawn):
+    rows = [(0, k, "assistant" if k % 2 else role, text) for k, (text, role) in enumerate(drawn)]
+    out = chat_log.render(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    r = out.select("formatted", "segments", chat_log.read_back(F.col("formatted")).alias("t"), chat_log.loss_text(F.col("segments")).alias("l")).first()
+    assert [(x["role"], x["text"]) for x in r["t"]] == [(x[2], x[3]) for x in rows]
+    assert r["l"] == "".join(x[3] for x in rows if x[2] == "assistant")
+    assert "".join(s["chunk"] for s in r["segments"]) == r["formatted"] and r["formatted"].count(chat_log.START) == len(rows)
+
+
+@pytest.mark.parametrize("name", ["op4_secret_scan", "op6_url_reputation", "op7_chat_format"])
+def test_queries_match_oracle(spark, name):
+    from tests.oracle_harness import compare
+
+    from panelspark.registry import ORACLE
+    assert compare(spark, name, QUERIES[name], ORACLE[name], ROOT)["status"] == "exact"
