@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from panelspark.llm import chat_log, quality, queries_text, secret_scan, url_reputation  # noqa: F401
+from panelspark.llm import chat_log, quality, queries_dedup, queries_text, secret_scan, url_reputation  # noqa: F401
 from panelspark.llm.common import cut_lineage, documents, read_table
 from panelspark.registry import query
 
