@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from panelspark.llm import minhash
-from panelspark.llm.common import documents
+from panelspark.llm import minhash, tiling
+from panelspark.llm.common import documents, read_table
 from panelspark.registry import query
 
 
 @query("op10_minhash")
 def op10_minhash(spark, root):
     return minhash.near_duplicates(documents(spark, root), width=2, percent=80)
+
+
+@query("op9_decontamination")
+def op9_decontamination(spark, root):
+    return tiling.matches(documents(spark, root), read_table(spark, root, "benchmark")).drop("text_hash")

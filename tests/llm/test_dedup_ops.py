@@ -6,8 +6,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from panelspark.llm import minhash
+from panelspark.llm import minhash, queries, tiling  # noqa: F401
 from panelspark.llm.components import connected_components
+from panelspark.registry import QUERIES
 
 ROOT = "/root/testdata/sf0.001"
 
@@ -121,3 +122,69 @@ def test_near_duplicates_hot_group_of_chains(spark):
             t[rnd.randrange(len(t))] = f"n{rnd.randint(0, 10**6)}"
         texts.append(t)
     check(spark, [(k, " ".join(t)) for k, t in enumerate(texts)])
+
+
+# ---- tiling ------------------------------------------------------------------------------------------------
+
+def brute_tiles(item, doc, least):
+    """The longest unmarked common stretch, again and again; the first in the item, then in the document."""
+    fi, fd, out = [True] * len(item), [True] * len(doc), []
+    while True:
+        best = (0, 0, 0)
+        for p in range(len(item)):
+            for d in range(len(doc)):
+                n = 0
+                while p + n < len(item) and d + n < len(doc) and fi[p + n] and fd[d + n] and item[p + n] == doc[d + n]:
+                    n += 1
+                if n > best[0]:
+                    best = (n, p, d)
+        n, p, d = best
+        if n < least:
+            return out
+        out.append((p, d, n))
+        fi[p:p + n] = [False] * n
+        fd[d:d + n] = [False] * n
+
+
+def test_tiles_equal_brute_force():
+    rnd = random.Random(2)
+    for _ in range(400):
+        letters = rnd.choice([2, 3, 30])
+        item, doc = ([rnd.randrange(letters) + 1 for _ in range(rnd.randint(0, 40))] for _ in range(2))
+        if rnd.random() < 0.5 and len(item) > 10:
+            cut = rnd.randrange(len(item))
+            doc = doc[:5] + item[cut:] + doc[5:9] + item[:cut] + doc[9:]
+        least = rnd.choice([1, 2, 3, 5])
+        got, want = tiling.tile(item, doc, least), brute_tiles(item, doc, least)
+        assert [t[2] for t in got] == [t[2] for t in want] and sorted(got) == sorted(want)
+
+
+def test_matches_equal_brute_force(spark):
+    root = "/root/testdata/sf0.01"
+    docs = [(r["doc_id"], minhash.words_of(r["text"])) for r in spark.read.parquet(f"{root}/documents.parquet").collect()]
+    items = [(r["item_id"], minhash.words_of(r["text"])) for r in spark.read.parquet(f"{root}/benchmark.parquet").collect()]
+    want = {}
+    for d, dw in docs:
+        grams = {tuple(dw[k:k + 5]) for k in range(len(dw) - 4)}
+        for i, iw in items:
+            if any(tuple(iw[k:k + 5]) in grams for k in range(len(iw) - 4)):
+                n = sum(t[2] for t in brute_tiles(iw, dw, 5))
+                if n >= 0.5 * len(iw):
+                    want[d, i] = n
+    got = {(r["doc_id"], r["item_id"]): r["n_covered"] for r in QUERIES["op9_decontamination"](spark, root).collect()}
+    assert got == want and len(want) > 10
+
+
+def test_matches_edges_and_reordered_passages(spark):
+    item = [f"t{k}" for k in range(40)]
+    texts = [None, "", " \n", " ".join(item), " ".join(["x"] * 9 + item[20:] + ["y"] * 9 + item[:20]).upper(), " ".join(item[:12]), "short one here", "x " * 50_000]
+    rows = [(k, t, 1, None) for k, t in enumerate(texts)] + [(3, texts[3], 2, None), (None, texts[3], 3, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, item_id int, seeds string")
+    bench = spark.createDataFrame([(7, " ".join(item), "z"), (None, "Short ONE", None), (8, None, None), (9, "", None)], "item_id long, text string, doc_id string")
+    got = sorted((r["doc_id"], r["item_id"], r["coverage"], len(r["tiles"])) for r in tiling.matches(docs, bench).where("doc_id is not null").collect()
+                 if r["item_id"] is not None)
+    assert got == [(3, 7, 1.0, 1), (3, 7, 1.0, 1), (4, 7, 1.0, 2)]
+    assert [(r["doc_id"], r["coverage"]) for r in tiling.matches(docs, bench).where("item_id is null").collect()] == [(6, 1.0)]
+    clean = tiling.decontaminate(docs, bench)
+    assert clean.columns == docs.columns and sorted(r["doc_id"] for r in clean.collect()) == [0, 1, 2, 5, 7]
+    assert tiling.matches(docs.limit(0), bench).count() == 0 and tiling.matches(docs, bench.limit(0)).count() == 0
