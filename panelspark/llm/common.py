@@ -12,7 +12,7 @@ from panelspark.session import cut_lineage, ensure_checkpoint_dir
 from panelspark.sources.tables import read_table
 
 __all__ = ["cut_lineage", "documents", "ensure_checkpoint_dir", "lower_ascii", "map_rows", "read_table",
-           "text_or_empty", "words_of"]
+           "step", "text_or_empty", "words_of"]
 
 # White space between words: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
@@ -41,3 +41,16 @@ def words_of(col: Column) -> Column:
 def map_rows(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """``mapInArrow`` under one name: batches stream through a task, nothing is gathered."""
     return df.mapInArrow(fn, schema)
+
+
+def step(df: DataFrame) -> DataFrame:
+    """``df`` written to the checkpoint folder; the shuffle files of its making go at once instead of with
+    the driver's next garbage collection, so that a long job's disk use is that of its largest step."""
+    conf, name = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(name, None)
+    conf.set(name, "true")
+    try:
+        # a new frame: the setting is read when a query is planned
+        return cut_lineage(df.select("*"))
+    finally:
+        conf.unset(name) if before is None else conf.set(name, before)
