@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from pyspark.sql import functions as F
 
 from panelspark.llm import chat_log, quality, queries_dedup, queries_text, secret_scan, url_reputation  # noqa: F401
@@ -140,3 +141,8 @@ def op7_chat_format(spark, root):
     return back.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"),
                        F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"),
                        F.length("formatted").cast("long").alias("formatted_chars"))
+
+
+# ---- pipeline ----------------------------------------------------------------------------------------------
+
+query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
