@@ -80,9 +80,11 @@ def full_name(first: ColLike, last: ColLike, sep: str = " ") -> Column:
     return F.concat(col(first), F.lit(sep), col(last))
 
 
-def membership(c: ColLike, values: Iterable) -> Column:
-    """Literal membership test (``isin``)."""
-    return col(c).isin(list(values))
+def safe_corr(a: str, b: str) -> Column:
+    """Aggregate: Pearson correlation of the rows where both are known; null where one is constant
+    (``corr`` divides by zero there under ANSI rules)."""
+    x, y = F.when(F.col(b).isNotNull(), F.col(a).cast("double")), F.when(F.col(a).isNotNull(), F.col(b).cast("double"))
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
 
 
 def relevance(conditions: Iterable[Column]) -> Column:

@@ -20,7 +20,8 @@ from panelspark.functions.distributions import t_pvalue
 
 def regression_metrics(pred: DataFrame, label: str = "label", prediction: str = "prediction",
                        split: str | None = "split") -> DataFrame:
-    """R2, MAE, MSE, RMSE per split (R2 = 1 - SSE/SST within the split)."""
+    """R2, MAE, MSE, RMSE per split (R2 = 1 - SSE/SST within the split;
+    null where the label is constant)."""
     err = F.col(label) - F.col(prediction)
     keys = [split] if split else []
     agg = pred.groupBy(*keys).agg(
@@ -28,7 +29,7 @@ def regression_metrics(pred: DataFrame, label: str = "label", prediction: str =
         F.avg(F.abs(err)).alias("MAE"),
         F.avg(err * err).alias("MSE"),
         F.var_pop(label).alias("__var"))
-    return agg.select(*keys, "n", (1 - F.col("MSE") / F.col("__var")).alias("R2"), "MAE", "MSE",
+    return agg.select(*keys, "n", (1 - F.try_divide(F.col("MSE"), F.col("__var"))).alias("R2"), "MAE", "MSE",
                       F.sqrt("MSE").alias("RMSE"))
 
 
@@ -113,7 +114,7 @@ def _permuted_r2(model, base: DataFrame, features: str, label: str, n_blocks: in
     newx = F.transform("__x", lambda v, i: F.when(i == F.col("__f"), F.col("__v")).otherwise(v))
     scored = model.transform(permuted.withColumn(features, array_to_vector(newx)))
     err = F.col(label) - F.col("prediction")
-    return scored.groupBy("__f", "__r").agg((1 - F.avg(err * err) / F.var_pop(label)).alias("r2"))
+    return scored.groupBy("__f", "__r").agg((1 - F.try_divide(F.avg(err * err), F.var_pop(label))).alias("r2"))
 
 
 def closed_form_prediction(df: DataFrame, x: str, y: str, fit_rows=None) -> DataFrame:

@@ -19,7 +19,8 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import PCA, OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
+from pyspark.ml.feature import (PCA, OneHotEncoder, PCAModel, SQLTransformer, StringIndexer, StringIndexerModel,
+                                VectorAssembler)
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -97,7 +98,9 @@ def fit_feature_pipeline(train: DataFrame, spec: FeatureSpec) -> PipelineModel:
     num, cat = list(spec.numeric), list(spec.categorical)
     groups = {n: ([c for c in cols if c in num or c in train.columns], k)
               for n, (cols, k) in spec.pca_groups.items()}
-    groups = {n: (cols, min(k, len(cols))) for n, (cols, k) in groups.items() if cols}
+    for n, (cols, k) in groups.items():
+        if k > len(cols):
+            raise ValueError(f"group {n!r} has {len(cols)} columns, fewer than its {k} components (see fitting_groups)")
     all_num = list(dict.fromkeys(num + [c for cols, _ in groups.values() for c in cols]))
     # pass 1: medians + which columns have nulls
     med = medians(train, all_num)
@@ -135,36 +138,57 @@ def fit_feature_pipeline(train: DataFrame, spec: FeatureSpec) -> PipelineModel:
     parts = ([c + "__oh" for c in cat] + [c + "__z" for c in num] + [f"missing_indicator_{c}" for c in null_num]
              + [f"missing_indicator_{c}" for c in null_cat] + [f"{n}__pca" for n in groups])
     stages.append(VectorAssembler(inputCols=parts, outputCol=spec.output, handleInvalid="error"))
-    model = Pipeline(stages=stages).fit(train)
-    model._panel_meta = {"num": num, "cat": cat, "null_num": null_num, "null_cat": null_cat,
-                         "groups": {n: k for n, (_, k) in groups.items()}}
-    return model
+    return Pipeline(stages=stages).fit(train)
+
 
+def feature_names(model: PipelineModel, output: str = "features") -> list[str]:
+    """F8: output feature names in vector order (one-hot, numeric, indicators, PCA).
 
-def feature_names(model: PipelineModel) -> list[str]:
-    """F8: output feature names in vector order (one-hot, numeric, indicators, PCA)."""
-    meta = model._panel_meta
+    Read from the stages themselves, so it works on fitted, extended (``fit_final``)
+    and reloaded models alike.
+    """
+    assembled = next(s for s in model.stages if isinstance(s, VectorAssembler) and s.getOutputCol() == output)
+    labels, components = {}, {}
+    for s in model.stages:
+        if isinstance(s, StringIndexerModel):
+            labels.update(zip(s.getOutputCols(), s.labelsArray))
+        elif isinstance(s, PCAModel):
+            components[s.getOutputCol()] = s.getK()
     names: list[str] = []
-    if meta["cat"]:
-        idx = next(s for s in model.stages if hasattr(s, "labelsArray"))
-        for c, labels in zip(meta["cat"], idx.labelsArray):
-            names += [f"{c}_{v}" for v in labels]  # unseen slot dropped (dropLast)
-    names += list(meta["num"])
-    names += [f"missing_indicator_{c}" for c in meta["null_num"] + meta["null_cat"]]
-    for n, k in meta["groups"].items():
-        names += [f"{n}_pca_{i + 1}" for i in range(k)]
+    for c in assembled.getInputCols():
+        if c.endswith("__oh"):  # unseen slot dropped (dropLast)
+            names += [f"{c[:-4]}_{v}" for v in labels[c[:-4] + "__i"]]
+        elif c in components:
+            names += [f"{c[:-5]}_pca_{i + 1}" for i in range(components[c])]
+        else:
+            names.append(c.removesuffix("__z"))
     return names
 
 
-def reference_groups(numeric: Sequence[str], team_cols: Sequence[str]) -> dict[str, tuple[list[str], int]]:
-    """The five PCA groups (all=5, team=3, expected=3, rolling=5, other=3).
+# Which PCA group a column belongs to: the first rule that holds. Group names and sizes are fixed values.
+GROUP_COMPONENTS = {"pca_all": 5, "pca_team": 3, "pca_expected": 3, "pca_rolling_avg": 5, "other_pca": 3}
 
-    'other' is the real complement of the team/expected/rolling groups.
-    """
-    numeric = list(numeric)
-    team = [c for c in team_cols if c in numeric]
-    expected = [c for c in numeric if "expected_" in c and c not in team]
-    rolling = [c for c in numeric if "_rolling_avg" in c and c not in team + expected]
-    other = [c for c in numeric if c not in team + expected + rolling]
-    return {"pca_all": (numeric, 5), "pca_team": (team, 3), "pca_expected": (expected, 3),
-            "pca_rolling_avg": (rolling, 5), "other_pca": (other, 3)}
+
+def column_group(c: str, team_cols: frozenset[str]) -> str:
+    if c in team_cols:
+        return "pca_team"
+    for mark, group in (("expected_", "pca_expected"), ("_rolling_avg", "pca_rolling_avg")):
+        if mark in c:
+            return group
+    return "other_pca"
+
+
+def pca_groups(numeric: Sequence[str], team_cols: Sequence[str]) -> dict[str, tuple[list[str], int]]:
+    """Every numeric column in one of four groups, and all of them in a fifth."""
+    team = frozenset(team_cols)
+    members: dict[str, list[str]] = {g: [] for g in GROUP_COMPONENTS}
+    for c in numeric:
+        members["pca_all"].append(c)
+        members[column_group(c, team)].append(c)
+    return {g: (cols, GROUP_COMPONENTS[g]) for g, cols in members.items()}
+
+
+def fitting_groups(groups: dict[str, tuple[list[str], int]]) -> tuple[dict[str, tuple[list[str], int]], list[str]]:
+    """The groups with enough columns for their components, and the names of the others."""
+    good = {n: (cols, k) for n, (cols, k) in groups.items() if len(cols) >= k}
+    return good, [n for n in groups if n not in good]

@@ -28,6 +28,16 @@ def sized_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> Da
     return F.broadcast(df) if row_count_at_most(df, max_rows) else df
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join on ``keys`` in which null equals null; the left keys are kept."""
+    r = right.select(*[F.col(k).alias(f"__rk{i}") for i, k in enumerate(keys)], *[c for c in right.columns if c not in keys])
+    cond = F.lit(True)
+    for i, k in enumerate(keys):
+        cond = cond & F.col(k).eqNullSafe(F.col(f"__rk{i}"))
+    out = left.join(r, cond, how)
+    return out if how in ("left_semi", "left_anti") else out.drop(*[f"__rk{i}" for i in range(len(keys))])
+
+
 def lookup(df: DataFrame, dim: DataFrame, dim_key: str, value: str,
            roles: dict[str, str], max_dim_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
     """Map id -> label for several id columns (``roles``: id column -> output name).
@@ -106,7 +116,8 @@ def asof_join(left: DataFrame, right: DataFrame, by: Sequence[str], left_on: str
         cw = Window.partitionBy(*by).orderBy("__g", "__k").rowsBetween(Window.unboundedPreceding, -1)
         carry = (src.select(*by, "__g", "__k", F.last("__tail", ignorenulls=True).over(cw).alias("__carry"))
                     .filter(F.col("__k") == 0).drop("__k"))
-        filled = (within.join(carry, [*by, "__g"], "left")
+        # a null key or time is a group of its own, as in the plain window
+        filled = (null_safe_join(within, carry, [*by, "__g"], "left")
                         .select(*by, "__side", "__l", F.coalesce("__m", "__carry").alias("__m")))
     if how == "inner":
         filled = filled.filter(F.col("__m").isNotNull())

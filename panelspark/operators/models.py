@@ -23,7 +23,10 @@ from pyspark.ml.regression import (DecisionTreeRegressor, GBTRegressor, LinearRe
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# The reference's search grids (names kept; values as given).
+# Search grids under the reference's parameter names, as far as Spark has the parameter. Without an
+# equivalent, and therefore not in the grids: min_samples_split and criterion (trees), num_leaves, reg_alpha and
+# reg_lambda (leaf-wise growth and leaf penalties), l2_leaf_reg. min_child_weight is the least row count of a
+# child under squared error (minInstancesPerNode); gamma is the least gain of a split (minInfoGain).
 GRIDS = {
     "linear": {"fit_intercept": [True, False]},
     "ridge": {"alpha": [0.001, 0.01, 0.1, 1, 10], "max_iter": [1000, 5000, 10000]},
@@ -47,6 +50,10 @@ MAX_TREE_DEPTH = 30  # Spark's limit; stands for "no limit"
 GUARD = (0.7, 1.3)   # accepted train/test MSE ratio in the guarded choice
 
 
+class UnsupportedSetting(ValueError):
+    """A setting that has no Spark equivalent."""
+
+
 @dataclass
 class LabelStats:
     n: int
@@ -60,7 +67,11 @@ def label_stats(df: DataFrame, label: str) -> LabelStats:
 
 
 def _depth(d):
-    return MAX_TREE_DEPTH if d is None else min(int(d), MAX_TREE_DEPTH)
+    if d is None or int(d) == -1:
+        return MAX_TREE_DEPTH
+    if int(d) > MAX_TREE_DEPTH:
+        raise UnsupportedSetting(f"max_depth {d} is above Spark's limit of {MAX_TREE_DEPTH}")
+    return int(d)
 
 
 def build_estimator(algo: str, params: dict, stats: LabelStats | None = None,
@@ -69,12 +80,13 @@ def build_estimator(algo: str, params: dict, stats: LabelStats | None = None,
     p = dict(params)
     common = dict(featuresCol=features, labelCol=label)
     if algo == "linear":
-        return LinearRegression(regParam=0.0, solver="normal", fitIntercept=bool(p.get("fit_intercept", True)), **common)
+        # auto: normal equations up to 4,096 features, l-bfgs beyond
+        return LinearRegression(regParam=0.0, solver="auto", fitIntercept=bool(p.get("fit_intercept", True)), **common)
     if algo == "ridge":
         a = float(p["alpha"])
         # sum-of-squares + alpha*|w|^2  ==  Spark's 1/(2n) loss + regParam/2 * |w|^2 with label scaling
         reg = a * stats.std_pop / stats.n
-        return LinearRegression(regParam=reg, elasticNetParam=0.0, standardization=False, solver="normal",
+        return LinearRegression(regParam=reg, elasticNetParam=0.0, standardization=False, solver="auto",
                                 maxIter=int(p.get("max_iter", 100)), **common)
     if algo == "lasso":
         return LinearRegression(regParam=float(p["alpha"]), elasticNetParam=1.0, standardization=False,
@@ -97,14 +109,14 @@ def build_estimator(algo: str, params: dict, stats: LabelStats | None = None,
     if algo.startswith("gbt"):
         loss = p.get("loss", "squared_error")
         if loss not in ("squared_error", "absolute_error"):
-            raise ValueError(f"loss {loss!r} has no Spark GBT equivalent")
+            raise UnsupportedSetting(f"loss {loss!r} has no Spark GBT equivalent")
         return GBTRegressor(
             lossType="squared" if loss == "squared_error" else "absolute",
             stepSize=float(p.get("learning_rate", 0.1)),
             maxDepth=_depth(p.get("max_depth", p.get("depth", 3))),
             maxIter=int(p.get("n_estimators", p.get("iterations", 100))),
-            minInstancesPerNode=int(p.get("min_samples_leaf", p.get("min_child_samples", 1))),
-            minWeightFractionPerNode=0.0,
+            minInstancesPerNode=int(p.get("min_samples_leaf", p.get("min_child_samples", p.get("min_child_weight", 1)))),
+            minInfoGain=float(p.get("gamma", 0.0)),
             subsamplingRate=float(p.get("subsample", 1.0)),
             featureSubsetStrategy="all" if float(p.get("colsample_bytree", 1.0)) >= 1.0
             else str(p.get("colsample_bytree")),
@@ -132,7 +144,7 @@ def grid_search(spark: SparkSession, data: DataFrame, algo: str, grid: dict, lab
 
     ``fold_col`` holds the fold id of each row. Value -1 marks rows that are
     always in training (X5 predefined split: train = -1, validation = 0); with
-    folds 0..k-1 only, it is k-fold CV (X4). A setting whose fit fails scores NaN.
+    folds 0..k-1 only, it is k-fold CV (X4). A setting without a Spark equivalent scores NaN.
     Returns one row per setting: params, mean_train_score, mean_test_score, rank.
     ``parallelism`` settings are fitted concurrently (each fit is a distributed
     job; the driver threads only submit them), like ``CrossValidator``.
@@ -150,7 +162,7 @@ def grid_search(spark: SparkSession, data: DataFrame, algo: str, grid: dict, lab
                 m = build_estimator(algo, p, stats, features, label, seed).fit(train)
                 tr_scores.append(-_mse(m.transform(train), label))
                 te_scores.append(-_mse(m.transform(test), label))
-        except Exception:  # noqa: BLE001 - a failed setting scores NaN, as the reference's error_score
+        except UnsupportedSetting:  # scores NaN and ranks last; every other failure is raised
             tr_scores, te_scores = [math.nan], [math.nan]
         return (i, json.dumps(p, sort_keys=True), float(sum(tr_scores) / len(tr_scores)),
                 float(sum(te_scores) / len(te_scores)))
@@ -172,8 +184,8 @@ def grid_search(spark: SparkSession, data: DataFrame, algo: str, grid: dict, lab
 
 def guarded_choice(results: DataFrame, lo: float = GUARD[0], hi: float = GUARD[1]) -> DataFrame:
     """M9: best-ranked setting whose train/test score ratio is in [lo, hi], else the best."""
-    r = results.withColumn("div", F.col("mean_train_score") / F.col("mean_test_score"))
-    r = r.withColumn("ok", ((F.col("div") >= lo) & (F.col("div") <= hi)).cast("int"))
+    r = results.withColumn("div", F.try_divide(F.col("mean_train_score"), F.col("mean_test_score")))
+    r = r.withColumn("ok", F.coalesce((F.col("div") >= lo) & (F.col("div") <= hi), F.lit(False)).cast("int"))
     return (r.orderBy(F.col("ok").desc(), F.col("rank_test_score"), F.col("setting")).limit(1))
 
 
@@ -198,8 +210,14 @@ def leaderboard(spark: SparkSession, scores: Sequence[tuple[str, float]]) -> Dat
     return df.withColumn("is_best", F.col("algorithm") == best).orderBy("mse", "algorithm")
 
 
+def score_all(model: PipelineModel, rows: DataFrame, report: Sequence[str],
+              name: str = "predicted_points_next_game") -> DataFrame:
+    """The prediction of every scoring row next to its ``report`` columns."""
+    return model.transform(rows).select(*report, F.col("prediction").alias(name))
+
+
 def score_topk(model: PipelineModel, rows: DataFrame, report: Sequence[str], k: int = 10,
                name: str = "predicted_points_next_game") -> DataFrame:
-    """Predictions for scoring rows, top ``k`` by prediction (TakeOrdered)."""
-    pred = model.transform(rows).select(*report, F.col("prediction").alias(name))
+    """The top ``k`` of ``score_all`` by prediction (TakeOrdered)."""
+    pred = score_all(model, rows, report, name)
     return pred.orderBy(F.col(name).desc(), *report).limit(k)

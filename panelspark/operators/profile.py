@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panelspark.functions.expr import safe_corr
 from panelspark.operators.quantiles import quantile_array
 
 QUARTILES = (0.25, 0.5, 0.75)
@@ -106,15 +107,16 @@ def describe_numeric(df: DataFrame, cols: Sequence[str], digits: int | None = 6)
                       r(F.col("quantiles")[2]).alias("p75"), "max")
 
 
-def percentile_edges(df: DataFrame, c: str) -> DataFrame:
-    """A11 (edges): one row with the bin edges of ``c`` as an array.
+def bin_edges(df: DataFrame, features: Sequence[str]) -> DataFrame:
+    """A11 (edges) for several numeric features at once: (feature, edges).
 
     Percentiles 0/20/40/60/80/100 with linear interpolation; duplicates removed
     keeping order; with exactly two edges left, a middle edge is added 0.1
     inside the edge equal to the 60th percentile; outer edges widened by 0.1.
     """
-    q = quantile_array(df.select(c), [], c, BIN_PERCENTILES)
-    e = q.select(F.array_distinct("quantiles").alias("e"), F.col("quantiles")[3].alias("mid"))
+    long = melt(df, [], features, "feature", "x", cast="double").filter(F.col("x").isNotNull())
+    q = quantile_array(long, ["feature"], "x", BIN_PERCENTILES)
+    e = q.select("feature", F.array_distinct("quantiles").alias("e"), F.col("quantiles")[3].alias("mid"))
     two = F.size("e") == 2
     fixed = (F.when(two & (F.col("e")[0] == F.col("mid")),
                     F.array(F.col("e")[0], F.col("e")[0] + EDGE_PAD, F.col("e")[1]))
@@ -123,7 +125,12 @@ def percentile_edges(df: DataFrame, c: str) -> DataFrame:
               .otherwise(F.col("e")))
     widened = F.transform(fixed, lambda x, i: F.when(i == 0, x - EDGE_PAD)
                           .when(i == F.size(fixed) - 1, x + EDGE_PAD).otherwise(x))
-    return e.select(widened.alias("edges"))
+    return e.select("feature", widened.alias("edges"))
+
+
+def percentile_edges(df: DataFrame, c: str) -> DataFrame:
+    """A11 (edges): one row with the bin edges of ``c`` as an array."""
+    return bin_edges(df, [c]).select("edges")
 
 
 def assign_bins(df: DataFrame, c: str, edges: DataFrame, out: str = "bin") -> DataFrame:
@@ -163,18 +170,20 @@ def target_by_bin(df: DataFrame, c: str, target: str) -> DataFrame:
 
 
 def corr_matrix(df: DataFrame, cols: Sequence[str], digits: int | None = 6) -> DataFrame:
-    """Pearson correlation of every column pair (pairwise-complete rows), one ``agg``."""
-    pairs = [(a, b) for a in cols for b in cols]
-    agg = df.agg(*[F.corr(a, b).alias(f"c__{i}") for i, (a, b) in enumerate(pairs)])
+    """Pearson correlation of every column pair (pairwise-complete rows), one ``agg``.
+
+    Each unordered pair is aggregated once; null where a column is constant."""
+    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
+    agg = df.agg(*[safe_corr(a, b).alias(f"c__{i}") for i, (a, b) in enumerate(pairs)])
     r = (lambda x: F.round(x, digits)) if digits is not None else (lambda x: x)
     return agg.select(F.inline(F.array(*[
-        F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), r(F.col(f"c__{i}")).alias("corr"))
-        for i, (a, b) in enumerate(pairs)])))
+        F.struct(F.lit(x).alias("a"), F.lit(y).alias("b"), r(F.col(f"c__{i}")).alias("corr"))
+        for i, (a, b) in enumerate(pairs) for x, y in dict.fromkeys([(a, b), (b, a)])])))
 
 
 def corr_topk(df: DataFrame, cols: Sequence[str], target: str, k: int = 20, digits: int | None = 6) -> DataFrame:
     """The ``k`` features most correlated with ``target`` (descending)."""
-    agg = df.agg(*[F.corr(c, target).alias(f"c__{i}") for i, c in enumerate(cols)])
+    agg = df.agg(*[safe_corr(c, target).alias(f"c__{i}") for i, c in enumerate(cols)])
     r = (lambda x: F.round(x, digits)) if digits is not None else (lambda x: x)
     long = agg.select(F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), r(F.col(f"c__{i}")).alias("corr"))
                                          for i, c in enumerate(cols)])))

@@ -5,41 +5,45 @@ merge it in one task per group: unbounded for high-cardinality columns. Here
 the order statistics are found by narrowing brackets instead:
 
 1. per (group, quantile) the target ranks floor/ceil of q*(n-1) are known;
-2. while a bracket holds more than ``max_candidates`` values, a sketch
+2. while a bracket holds more than ``max_candidates`` rows and more than one value, a sketch
    (``percentile_approx`` over a grid of fractions, memory O(accuracy)) of the
    values inside it gives a narrower bracket around the target rank; the new
    bracket is kept only after exact counts confirm it still contains the
    target (so the sketch's error never affects the result);
-3. the values left in each bracket (at most ``max_candidates``) are ranked
-   with a window and the two order statistics are interpolated.
+3. the values left in each bracket are counted per distinct value, and the
+   order statistics follow from running counts over the distinct values.
 
-Each round shrinks a bracket by about ``grid / 4``; a few rounds suffice for
-any table size. Every step is a distributed scan + aggregate; the bracket
-table (one row per group and quantile) is broadcast.
+Each round shrinks a bracket by about ``grid / 4``; the rounds end when no bracket
+can be narrowed any more: it is small, holds one value, or a few values hold almost all of its rows. Repeated values
+cost one row each, however often they occur. Every step is a distributed scan + aggregate; the
+bracket table (one row per group and quantile) stays distributed and is broadcast only behind a size check.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelspark.operators.joins import sized_broadcast
+from panelspark.session import cut_lineage
+
 MAX_CANDIDATES = 1_000_000
 GRID = 1000
 ACCURACY = 20_000
-MAX_ROUNDS = 8
-MAX_GROUPS = 100_000  # the bracket table (groups x quantiles) is broadcast and read on the driver
+BROADCAST_BRACKETS = 100_000  # bracket rows that may be broadcast
+
+
+def _inside() -> Column:
+    return (F.col("__x") >= F.col("__lo")) & (F.col("__x") <= F.col("__hi"))
 
 
 def exact_quantiles(long: DataFrame, groups: Sequence[str], value: str, qs: Sequence[float],
-                    max_candidates: int = MAX_CANDIDATES, grid: int = GRID, accuracy: int = ACCURACY,
-                    max_rounds: int = MAX_ROUNDS) -> DataFrame:
+                    max_candidates: int = MAX_CANDIDATES, grid: int = GRID, accuracy: int = ACCURACY) -> DataFrame:
     """(groups..., qi, q, value): the q-quantiles of ``value`` per group, nulls ignored.
 
-    Same definition as numpy/pandas 'linear' and SQL ``quantile_cont``. Meant
-    for a bounded number of groups (columns, features, bins: at most
-    ``MAX_GROUPS``), whose bracket table is broadcast.
+    Same definition as numpy/pandas 'linear' and SQL ``quantile_cont``. A null group is a group.
     """
     out_groups = list(groups)
     if out_groups:
@@ -51,72 +55,70 @@ def exact_quantiles(long: DataFrame, groups: Sequence[str], value: str, qs: Sequ
         x = long.select(F.col(value).cast("double").alias("__x")).unpivot([], ["__x"], "__all", "__v") \
                 .select("__all", F.col("__v").alias("__x"))
     x = x.filter(F.col("__x").isNotNull())
-    n = x.groupBy(*groups).agg(F.count(F.lit(1)).alias("__n"))
+    n = x.groupBy(*groups).agg(F.count(F.lit(1)).alias("__n"), F.min("__x").alias("__lo"), F.max("__x").alias("__hi"))
     pos = F.col("__q") * (F.col("__n") - 1)
-    state = (n.select(*groups, "__n", F.posexplode(F.array(*[F.lit(float(q)) for q in qs])).alias("__qi", "__q"))
+    state = (n.select("*", F.posexplode(F.array(*[F.lit(float(q)) for q in qs])).alias("__qi", "__q"))
               .select(*groups, "__qi", "__q", F.floor(pos).cast("long").alias("__klo"),
-                      F.ceil(pos).cast("long").alias("__khi"), (pos - F.floor(pos)).alias("__frac"),
-                      F.lit(float("-inf")).alias("__lo"), F.lit(float("inf")).alias("__hi"),
+                      F.ceil(pos).cast("long").alias("__khi"), (pos - F.floor(pos)).alias("__frac"), "__lo", "__hi",
                       F.lit(0).cast("long").alias("__below"), F.col("__n").alias("__size")))
     keys = [*groups, "__qi"]
-    spark = long.sparkSession
-    for _ in range(max_rounds):
-        # the bracket table has one row per (group, quantile): rebuilt from its rows
-        # each round, which keeps the plan of the next round short
-        rows = state.limit(MAX_GROUPS * len(qs) + 1).collect()
-        if len(rows) > MAX_GROUPS * len(qs):
-            raise ValueError(f"more than {MAX_GROUPS} groups: use percentile_approx for per-key quantiles")
-        state = spark.createDataFrame(rows, state.schema)
-        if not rows or max(r["__size"] for r in rows) <= max_candidates:
+    state = cut_lineage(state)
+    is_open = (F.col("__size") > max_candidates) & (F.col("__lo") < F.col("__hi"))
+    stuck = F.lit(False)
+    while True:
+        wanted = state.filter(is_open & ~stuck)
+        if wanted.isEmpty():
             break
-        inside = (x.join(F.broadcast(state.filter(F.col("__size") > max_candidates)), groups)
-                   .filter((F.col("__x") >= F.col("__lo")) & (F.col("__x") <= F.col("__hi"))))
+        inside = null_safe_groups(x, sized_broadcast(wanted.drop("__n"), BROADCAST_BRACKETS), groups).filter(_inside())
         fr = F.array(*[F.lit(i / grid) for i in range(grid + 1)])
-        sk = inside.groupBy(*keys).agg(F.percentile_approx("__x", fr, accuracy).alias("__sk"))
+        sk = inside.groupBy(*keys, "__klo", "__khi", "__below", "__size", "__lo", "__hi").agg(F.percentile_approx("__x", fr, accuracy).alias("__sk"))
         # sketch positions around the targets' relative ranks, widened by two grid steps
-        s2 = state.join(sk, keys, "left")
         rel_lo = (F.col("__klo") - F.col("__below")) / F.col("__size")
         rel_hi = (F.col("__khi") - F.col("__below")) / F.col("__size")
         i_lo = F.greatest(F.floor(rel_lo * grid) - 2, F.lit(0)).cast("int")
         i_hi = F.least(F.ceil(rel_hi * grid) + 2, F.lit(grid)).cast("int")
-        prop = s2.select(*state.columns, F.when(F.col("__sk").isNull(), F.col("__lo"))
-                         .otherwise(F.element_at("__sk", i_lo + 1)).alias("__nlo"),
-                         F.when(F.col("__sk").isNull(), F.col("__hi"))
-                         .otherwise(F.element_at("__sk", i_hi + 1)).alias("__nhi"))
-        # exact counts for the proposal: below the new low, and inside the new bracket
-        cnt = (x.join(F.broadcast(prop), groups)
-                .filter((F.col("__x") >= F.col("__lo")) & (F.col("__x") <= F.col("__hi")))
-                .groupBy(*keys).agg(F.count_if(F.col("__x") < F.col("__nlo")).alias("__cb"),
-                                    F.count_if((F.col("__x") >= F.col("__nlo")) & (F.col("__x") <= F.col("__nhi")))
-                                    .alias("__ci")))
-        p2 = prop.join(cnt, keys, "left")
-        nb = F.col("__below") + F.coalesce(F.col("__cb"), F.lit(0))
-        ok = (nb <= F.col("__klo")) & (nb + F.coalesce(F.col("__ci"), F.lit(0)) - 1 >= F.col("__khi")) & \
-             (F.coalesce(F.col("__ci"), F.lit(0)) < F.col("__size"))
-        state = p2.select(*keys, "__q", "__klo", "__khi", "__frac",
-                          F.when(ok, F.col("__nlo")).otherwise(F.col("__lo")).alias("__lo"),
-                          F.when(ok, F.col("__nhi")).otherwise(F.col("__hi")).alias("__hi"),
-                          F.when(ok, nb).otherwise(F.col("__below")).alias("__below"),
-                          F.when(ok, F.col("__ci")).otherwise(F.col("__size")).alias("__size"))
-    # quantiles sharing a bracket share one ranking: rank each distinct bracket once
-    br = state.select(*groups, "__lo", "__hi", "__below").distinct()
+        prop = cut_lineage(sk.select(*keys, "__lo", "__hi", F.element_at("__sk", i_lo + 1).alias("__nlo"), F.element_at("__sk", i_hi + 1).alias("__nhi")))
+        # exact counts for the proposals: below the new low, and inside the new bracket
+        cnt = (null_safe_groups(x, sized_broadcast(prop, BROADCAST_BRACKETS), groups).filter(_inside())
+                .groupBy(*keys, "__nlo", "__nhi").agg(
+                    F.count_if(F.col("__x") < F.col("__nlo")).alias("__cb"),
+                    F.count_if((F.col("__x") >= F.col("__nlo")) & (F.col("__x") <= F.col("__nhi"))).alias("__ci")))
+        p2 = null_safe_groups(state, cnt, keys, "left")
+        nb = F.col("__below") + F.col("__cb")
+        ok = F.coalesce((nb <= F.col("__klo")) & (nb + F.col("__ci") - 1 >= F.col("__khi")) & (F.col("__ci") < F.col("__size")), F.lit(False))
+        kept = ["__lo", "__hi", "__below", "__size"]
+        state = cut_lineage(p2.select(
+            *keys, "__q", "__klo", "__khi", "__frac",
+            *[F.when(ok, c).otherwise(F.col(k)).alias(k) for k, c in zip(kept, (F.col("__nlo"), F.col("__nhi"), nb, F.col("__ci")))],
+            # a bracket that did not shrink is counted as it is
+            (F.col("__cb").isNotNull() & ~ok | (F.col("__stuck") if "__stuck" in state.columns else F.lit(False))).alias("__stuck")))
+        stuck = F.col("__stuck")
+    # quantiles sharing a bracket share one ranking of its distinct values
     bkeys = [*groups, "__lo", "__hi"]
-    cand = (x.join(F.broadcast(br), groups)
-             .filter((F.col("__x") >= F.col("__lo")) & (F.col("__x") <= F.col("__hi"))))
-    # each bracket holds at most max_candidates values here
-    rn = F.row_number().over(Window.partitionBy(*bkeys).orderBy("__x")) - 1 + F.col("__below")
-    ranked = cand.select(*bkeys, rn.alias("__r"), "__x")
-    targets = state.select(*keys, *bkeys[len(groups):], "__q", "__frac", "__klo", "__khi",
-                           F.explode(F.array_distinct(F.array("__klo", "__khi"))).alias("__r"))
-    picked = ranked.join(F.broadcast(targets), [*bkeys, "__r"])
-    agg = picked.groupBy(*keys, "__q", "__frac").agg(
-        F.max(F.when(F.col("__r") == F.col("__klo"), F.col("__x"))).alias("__vlo"),
-        F.max(F.when(F.col("__r") == F.col("__khi"), F.col("__x"))).alias("__vhi"))
+    br = state.select(*bkeys, "__below").distinct()
+    counts = (null_safe_groups(x, sized_broadcast(br, BROADCAST_BRACKETS), groups).filter(_inside())
+              .groupBy(*bkeys, "__below", "__x").agg(F.count(F.lit(1)).alias("__c")))
+    w = Window.partitionBy(*bkeys).orderBy("__x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    last = F.col("__below") + F.sum("__c").over(w) - 1
+    ranked = counts.select(*bkeys, "__x", (last - F.col("__c") + 1).alias("__first"), last.alias("__last"))
+    targets = state.select(*keys, "__lo", "__hi", "__q", "__frac", "__klo", "__khi")
+    hit = null_safe_groups(ranked, sized_broadcast(targets, BROADCAST_BRACKETS), bkeys)
+
+    def at(rank: str) -> Column:
+        return F.max(F.when((F.col(rank) >= F.col("__first")) & (F.col(rank) <= F.col("__last")), F.col("__x")))
+
+    agg = hit.groupBy(*keys, "__q", "__frac").agg(at("__klo").alias("__vlo"), at("__khi").alias("__vhi"))
     val = F.when(F.col("__frac") == 0, F.col("__vlo")).otherwise(
         F.col("__vlo") + F.col("__frac") * (F.col("__vhi") - F.col("__vlo")))
     return agg.select(*out_groups, F.col("__qi").alias("qi"), F.col("__q").alias("q"), val.alias("value"))
 
 
+def null_safe_groups(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on ``keys`` (null equals null); right columns that ``left`` has too are dropped from the right."""
+    from panelspark.operators.joins import null_safe_join
+    return null_safe_join(left, right.select(*keys, *[c for c in right.columns if c not in left.columns]), keys, how)
+
+
 def quantile_array(long: DataFrame, groups: Sequence[str], value: str, qs: Sequence[float], **kw) -> DataFrame:
     """(groups..., quantiles: array<double> in the order of ``qs``)."""
     q = exact_quantiles(long, groups, value, qs, **kw)

@@ -27,6 +27,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from panelspark.operators.joins import null_safe_join, sized_broadcast
+
 SEG = "__seg"
 HALO = "__halo"
 
@@ -67,7 +69,7 @@ def with_halo(d: DataFrame, part: Sequence[str], order: Sequence, back: int, fwd
         targets = (per_seg.select(*part, F.col(SEG).alias("__to"), lo.alias("__lo"), hi.alias("__hi"))
                           .filter(F.col("__hi") >= F.col("__lo"))
                           .select(*part, "__to", F.explode(F.sequence("__lo", "__hi")).alias("__s")))
-        halo = (edges.drop(SEG).join(targets, [*part, "__s"])
+        halo = (null_safe_join(edges.drop(SEG), targets, [*part, "__s"])
                      .withColumnRenamed("__to", SEG).withColumn(HALO, F.lit(True)).select(*cols))
         out = out.unionByName(halo)
     return out
@@ -118,7 +120,7 @@ def running_totals(df: DataFrame, part: Sequence[str], order: Sequence, segment:
     pw = Window.partitionBy(*part).orderBy(SEG).rowsBetween(Window.unboundedPreceding, -1)
     names = list(sums) + (["rn"] if row_number else [])
     pre = tot.select(*part, SEG, *[F.coalesce(F.sum(f"__t_{n}").over(pw), F.lit(0)).alias(f"__p_{n}") for n in names])
-    j = within.join(pre, [*part, SEG])
+    j = null_safe_join(within, pre, [*part, SEG])
     out_cols = [c for c in within.columns if c not in sums and c != row_number and c != SEG]
     adds = [(F.col(n) + F.col(f"__p_{n}")).alias(n) for n in sums]
     if row_number:
@@ -131,7 +133,8 @@ def time_segment(c: str, unit: str | None) -> Column | None:
     return None if unit is None else F.date_trunc(unit, F.col(c))
 
 
-UNITS = ("month", "week", "day", "hour")
+UNITS = ("month", "week", "day", "hour", "minute", "second", "millisecond", "microsecond")
+HOT_KEYS_BROADCAST = 100_000  # rows of the hot-key list that may be broadcast
 MAX_ROWS_PER_TASK = 2_000_000
 
 
@@ -141,28 +144,23 @@ def choose_segment(df: DataFrame, keys: Sequence[str], time_col: str, max_rows:
 
     Phase 1: rows per key (one aggregate, partial aggregation before the
     shuffle). If no key holds more than ``max_rows`` rows, returns None: plain
-    windows, one shuffle. Phase 2 only looks at the hot keys. There are at most
-    total rows / ``max_rows`` of them, so their list is small and is broadcast
-    behind a size check. Their rows are counted per (key, hour), rolled up to
-    day, week and month, and the coarsest unit whose largest group fits is
-    returned, else the finest unit.
+    windows, one shuffle. Phase 2 only looks at the hot keys (at most total rows /
+    ``max_rows``): rows per (key, unit) from the coarsest unit on, until the
+    largest group fits. Beyond the finest unit only rows at one instant are left
+    together; their order comes from tie-break columns, which no time can split.
+    Null keys and null times are groups like any other.
     """
-    from panelspark.operators.joins import sized_broadcast
     per_key = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
     hot = per_key.filter(F.col("__n") > max_rows).select(*keys)
     if hot.limit(1).count() == 0:
         return None
-    finest = units[-1]
-    sub = df.join(sized_broadcast(hot, 10_000_000), list(keys), "left_semi")
-    per = sub.groupBy(*keys, F.date_trunc(finest, F.col(time_col)).alias("__u")).agg(F.count(F.lit(1)).alias("__n"))
-    sums = [F.sum("__n").over(Window.partitionBy(*keys, F.date_trunc(u, F.col("__u")))).alias(f"__{u}")
-            for u in units[:-1]]
-    row = per.select("__n", *sums).agg(*[F.max(f"__{u}").alias(u) for u in units[:-1]],
-                                       F.max("__n").alias(finest)).first()
+    sub = null_safe_join(df.select(*keys, time_col), sized_broadcast(hot, HOT_KEYS_BROADCAST), list(keys), "left_semi")
     for u in units:
-        if row[u] <= max_rows:
+        largest = (sub.groupBy(*keys, F.date_trunc(u, F.col(time_col)).alias("__u")).agg(F.count(F.lit(1)).alias("__n"))
+                   .agg(F.max("__n")).first()[0])
+        if largest <= max_rows:
             return u
-    return finest
+    return units[-1]
 
 
 def resolve_segment(segment: str | None, df: DataFrame, keys: Sequence[str], time_col: str,

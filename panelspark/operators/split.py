@@ -41,8 +41,9 @@ def fold_column(key: Sequence[str], n_folds: int = 5, seed: int = 42) -> Column:
     return (hash_bucket(key, seed + 1, BUCKETS) % n_folds).cast("int")
 
 
-def sample_rows(df: DataFrame, fraction: float, seed: int = 42) -> DataFrame:
-    """Bernoulli sample with a mandatory seed (per-partition, no shuffle)."""
+def sample_rows(df: DataFrame, fraction: float, key: Sequence[str], seed: int = 42) -> DataFrame:
+    """The rows whose key hash lies in the first ``fraction`` of the buckets: a filter
+    without a shuffle that picks the same rows whatever the partition layout."""
     if not 0 < fraction <= 1:
         raise ValueError("fraction must be in (0, 1]")
-    return df if fraction == 1.0 else df.sample(fraction=fraction, seed=seed)
+    return df if fraction == 1.0 else df.filter(hash_bucket(key, seed + 2) < int(round(fraction * BUCKETS)))

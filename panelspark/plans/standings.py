@@ -23,13 +23,14 @@ from pyspark.sql import functions as F
 from panelspark.functions import expr as X
 from panelspark.operators import windows as W
 from panelspark.operators.joins import asof_join, sized_broadcast
-from panelspark.operators.segmented import (MAX_ROWS_PER_TASK, halo_window, resolve_segment, running_totals,
+from panelspark.operators.segmented import (MAX_ROWS_PER_TASK, UNITS, halo_window, resolve_segment, running_totals,
                                             time_segment)
 
 # Table positions whose points are reported per time, with the
 # names the reference gives them, and its season length.
 THRESHOLDS = {"win": 1, "cl": 4, "euro": 7, "regulation": 18}
 SEASON_LENGTH = 38
+# Names of the rolled, form and table columns.
 TEAM_ROLLING = ["team_scored", "team_conceded", "home", "win", "draw", "loss"]
 FORM_COLS = {"win": "win_rate_home_away_2", "draw": "draw_rate_home_away_2",
              "loss": "loss_rate_home_away_2", "team_scored": "avg_team_scored_home_away_2",
@@ -150,13 +151,21 @@ def league_table(games: DataFrame, g: GameSpec | None = None, t: TableSpec | Non
 
 
 def resolve_table_segment(games: DataFrame, g: GameSpec | None, t: TableSpec | None) -> TableSpec:
-    """Fix ``t.segment`` ('auto' -> measured) from the perspective rows of ``games``."""
+    """Fix ``t.segment`` ('auto' -> measured).
+
+    The largest window is that of the as-of grid: per (season, team) all kickoff
+    times of the season plus the team's own games, so both are measured.
+    """
     t = t or TableSpec()
     if t.segment != "auto":
         return t
-    unit = resolve_segment("auto", team_perspective(games, g), ["season", "team"], "kickoff_time",
-                           t.max_rows_per_task)
-    return replace(t, segment=unit)
+    g = g or GameSpec()
+    half = max(1, t.max_rows_per_task // 2)
+    times = games.select(F.col(g.season).alias("season"), F.col(g.time).alias("kickoff_time")).distinct()
+    units = [resolve_segment("auto", times, ["season"], "kickoff_time", half),
+             resolve_segment("auto", team_perspective(games, g), ["season", "team"], "kickoff_time", half)]
+    picked = [u for u in units if u is not None]
+    return replace(t, segment=max(picked, key=UNITS.index) if picked else None)
 
 
 def league_table_from_setup(setup: DataFrame, t: TableSpec | None = None) -> DataFrame:
@@ -215,11 +224,14 @@ def team_features(games: DataFrame, g: GameSpec | None = None, t: TableSpec | No
     tt = table.select("season", F.col("next_kickoff_time").alias("kickoff_time"), "team",
                       *[F.col(src).alias(dst) for src, dst in cols.items()])
     own = setup.join(tt, ["season", "kickoff_time", "team"], "left")
-    game_w = Window.partitionBy("season", "kickoff_time", F.least("team", "opponent"),
-                                F.greatest("team", "opponent")).orderBy("team")
-    opp = [F.coalesce(F.lead(F.struct(*cols.values())).over(game_w),
-                      F.lag(F.struct(*cols.values())).over(game_w)).alias("__opp")]
-    own = own.select("*", *opp)
+    # The pair may meet more than once at one time: the opponent's standing is that of the
+    # other team's rows, whichever game they belong to.
+    first, second = F.least("team", "opponent"), F.greatest("team", "opponent")
+    game_w = Window.partitionBy("season", "kickoff_time", first, second)
+    standing = F.struct(*cols.values())
+    of_first = F.max(F.when(F.col("team") == first, standing)).over(game_w)
+    of_second = F.max(F.when(F.col("team") == second, standing)).over(game_w)
+    own = own.select("*", F.when(F.col("opponent") == first, of_first).otherwise(of_second).alias("__opp"))
     rolled = [f"{c}_rolling_avg" for c in TEAM_ROLLING]
     return own.select(*[c for c in own.columns if c != "__opp" and c not in rolled],
                       *[F.col(f"__opp.{c}").alias(f"opponent_{c}") for c in cols.values()], *rolled)

@@ -198,7 +198,7 @@ def q_grid_search(spark, root):
     """Random settings, predefined split (train = -1, val = 0), tuning sample."""
     d = _search_input(spark, root).filter(F.col("split").isin("train", "val"))
     d = d.withColumn("fold", F.when(F.col("split") == "train", -1).otherwise(0))
-    d = X.sample_rows(d, 0.5, seed=42).cache()
+    d = X.sample_rows(d, 0.5, KEY, seed=42).cache()
     return M.grid_search(spark, d, "ridge", M.GRIDS["ridge"], n_random=4, fold_col="fold", parallelism=2)
 
 
@@ -344,7 +344,7 @@ def q_model_end_to_end(spark, root):
     from panelspark.plans.panel import feature_table_from
     ft = cut_lineage(feature_table_from(spark, root))
     rows, numeric, categorical = P.prepare(ft)
-    numeric, categorical, _ = P.select(rows.filter(F.col("split") == "train"), numeric, categorical)
+    numeric, categorical, _ = P.select(rows.filter(F.col("split") == "train"), numeric, categorical, all_if_none=True)
     trained = P.train_models(spark, rows, numeric, categorical,
                              P.TrainSpec(algorithms=("linear", "ridge"), n_random=2))
     return E.regression_metrics(trained.models[trained.best].transform(rows), "label", "prediction", "split")

@@ -67,11 +67,6 @@ def test_rolling_avg_skips_nulls(spark):
     assert got == [2.0, 2.0, 4.0]
 
 
-def test_running_sum_range_frame_includes_ties(spark):
-    df = spark.createDataFrame([(1, 0, 1), (1, 1, 2), (1, 1, 3)], "e int, t int, x int")
-    got = sorted(r[0] for r in df.select(W.running_sum(F.col("x"), ["e"], ["t"])).collect())
-    assert got == [1, 6, 6]
-
 
 def naive_asof(left, right, strict):
     out = []

@@ -219,15 +219,19 @@ def test_training_flow_on_the_panel(spark):
     ft = feature_table_from(spark, ROOT).cache()
     rows, numeric, categorical = P.prepare(ft)
     assert "target" not in numeric and "label" not in numeric and numeric
-    numeric, categorical, sig = P.select(rows.filter(F.col("split") == "train"), numeric, categorical)
+    numeric, categorical, sig = P.select(rows.filter(F.col("split") == "train"), numeric, categorical, all_if_none=True)
     assert sig.count() > 0
     trained = P.train_models(spark, rows, numeric, categorical,
                              P.TrainSpec(algorithms=("linear", "ridge"), n_random=2, pca_groups=False))
     board = trained.leaderboard.collect()
     assert {r.algorithm for r in board} == {"linear", "ridge"}
     assert sum(r.is_best for r in board) == 1 and trained.best in trained.models
-    top = P.score(trained.models[trained.best], ft, ["element", "team", "next_kickoff_time"], k=5)
-    assert top.count() <= 5
+    scored = P.score(trained.models[trained.best], ft, ["element", "team", "next_kickoff_time"])
+    assert scored.count() == ft.filter(F.col("data") == "score").count()
+    assert {(r.algorithm, r.split) for r in trained.metrics.collect()} == {(a, x) for a in ("linear", "ridge") for x in ("train", "test", "val")}
+    tables = P.results(spark, trained, sig)
+    assert set(tables) == {"leaderboard", "metrics", "parameters", "features", "significance"}
+    assert tables["features"].count() > 0 and tables["parameters"].filter("is_best").count() == 1
 
 
 def test_feature_table_sample_thins_train_rows_only(spark):
