@@ -13,7 +13,7 @@ def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
     return (both.join(least, "a").where(F.col("b") > F.col("a"))
-            .select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct())
+            .select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:

@@ -8,11 +8,11 @@ similarity with binomial concentration. ``BANDS`` bands of ``ROWS`` coordinates
 misses all buckets with probability 5e-8.
 
 Links are confirmed on the full sets. Only the components of the link graph are wanted, so a bucket needs no all-pairs
-output: (1) every member is compared with the bucket's hub, the member whose buckets are largest; (2) in
-buckets that still hold several components, members are compared with a random member of another component;
-(3) in buckets that still do, members outside the bucket's main component are compared with the members of other
-components, so that no candidate link between components is left out. Before texts are read, pairs whose 8-bit
-sketches agree in less than ``LEAST_AGREEMENT`` of the coordinates go (over 5 standard deviations below 0.8).
+output: (1) every member is compared with the bucket's hub, the member whose buckets are largest, and in larger
+buckets with a random member; (2) in buckets that still hold several components, members outside the bucket's main component are compared with the members of other
+components, so that no candidate link between components is left out. Crowded buckets are first replaced by finer ones.
+Before texts are read, pairs whose 8-bit sketches agree in less than ``LEAST_AGREEMENT`` of the coordinates go (over 5
+standard deviations below 0.8).
 
 Scale: sketches are one map over the texts; classes, buckets and pairs are aggregated and joined by hash; nothing is gathered
 per group in a task, and hot buckets give rows in proportion to their members. Rounds are written to
@@ -25,25 +25,23 @@ component (null if there is none; such rows are kept); an empty table gives an e
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
+from functools import lru_cache
 from hashlib import md5
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelspark.llm.common import SPACE_CLASS, WORD_PATTERN, cut_lineage, lower_ascii, map_rows, text_or_empty
+from panelspark.llm.common import SPACE_CLASS, cut_lineage, lower_ascii, map_rows, text_or_empty
 from panelspark.llm.components import connected_components
 
 SIZE, ROWS = 128, 4
 BANDS = SIZE // ROWS
 LEAST_AGREEMENT = 0.6
-CACHE_WORDS = 300_000
-_UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-_WORD = re.compile(WORD_PATTERN)
+CROWDED = 64  # members of a bucket beyond which it is replaced by finer ones
+FEW = 8  # members up to which a bucket's hub alone is compared first
 _U = np.uint64
 
 
@@ -58,30 +56,44 @@ _SEEDS = _mix(np.arange(1, 2 * SIZE + 1, dtype=_U) * _U(0x9E3779B97F4A7C15))
 _PLACES = _mix(np.arange(1, 65, dtype=_U) * _U(0xC2B2AE3D27D4EB4F)) | _U(1)
 
 
-class WordHashes:
-    """64-bit word hashes with a bounded cache."""
+_BASE = 0x9E3779B97F4A7C15
+_SPACE = np.zeros(256, bool)
+_SPACE[list(b" \t\n\x0b\x0c\r")] = True
 
-    def __init__(self) -> None:
-        self.known: dict[str, int] = {}
 
-    def __call__(self, words: list[str]) -> np.ndarray:
-        known = self.known
-        if len(known) > CACHE_WORDS:
-            known.clear()
-        out = []
-        for w in words:
-            h = known.get(w)
-            if h is None:
-                h = xxhash.xxh3_64_intdigest(w)
-                if len(w) <= 64:
-                    known[w] = h
-            out.append(h)
-        return np.array(out, _U)
+@lru_cache(maxsize=4)
+def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first 2**bits powers of the base and of its inverse, modulo 2**64."""
+    def table(x: int) -> np.ndarray:
+        out = np.ones(1, _U)
+        while len(out) < 1 << bits:
+            out = np.concatenate((out, out * _U(pow(x, len(out), 1 << 64))))
+        return out
 
+    return table(_BASE), table(pow(_BASE, -1, 1 << 64))
 
-def words_of(text: str | None) -> list[str]:
-    text = text or ""
-    return _WORD.findall(text.lower() if text.isascii() else text.translate(_UPPER))
+
+def word_hashes(text: bytes | str | None) -> np.ndarray:
+    """64-bit hash of every word of ``words_of(text)``: differences of one running polynomial over the bytes."""
+    raw = (text.encode() if isinstance(text, str) else text or b"").lower()
+    n = len(raw)
+    if not n:
+        return np.empty(0, _U)
+    power, inverse = _powers(max(14, (n - 1).bit_length()))
+    a = np.frombuffer(raw, np.uint8)
+    space = np.ones(n + 2, bool)
+    space[1:-1] = _SPACE[a]
+    edge = np.flatnonzero(space[1:] != space[:-1])
+    start, end = edge[::2], edge[1::2]
+    total = np.zeros(n + 1, _U)
+    np.cumsum(a * power[:n], out=total[1:])
+    return _mix((total[end] - total[start]) * inverse[start] + (end - start).astype(_U) * _U(0xC2B2AE3D27D4EB4F))
+
+
+def words_of(text: bytes | str | None) -> list[bytes]:
+    """Words of a text (UTF-8) with A-Z lower-cased. Byte strings lower-case and split at ASCII characters only, and their
+    white space is the six characters meant."""
+    return (text.encode() if isinstance(text, str) else text or b"").lower().split()
 
 
 def shingles(words: np.ndarray, width: int) -> np.ndarray:
@@ -92,7 +104,8 @@ def shingles(words: np.ndarray, width: int) -> np.ndarray:
     total = np.zeros(len(words) - k + 1, _U)
     for j in range(k):
         total += words[j:len(words) - k + 1 + j] * _PLACES[j]
-    return np.unique(_mix(total + _U(k)))
+    s = np.sort(_mix(total + _U(k)))
+    return s[np.concatenate(([True], s[1:] != s[:-1]))]
 
 
 def sketch(s: np.ndarray) -> np.ndarray:
@@ -128,17 +141,16 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
     src = docs.select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in batches:
             keys, sizes, marks, buckets = [], [], [], []
-            for t in batch.column(1):
-                words = words_of(t.as_py())
-                if not words:
+            for t in batch.column(1).cast(pa.binary()).to_pylist():
+                h = word_hashes(t)
+                if not len(h):
                     keys.append(None), sizes.append(0), marks.append(None), buckets.append(None)
                     continue
-                s = shingles(hashes(words), width)
+                s = shingles(h, width)
                 c = sketch(s)
-                keys.append(md5(" ".join(words).encode(), usedforsecurity=False).digest())
+                keys.append(md5(b" ".join(words_of(t)), usedforsecurity=False).digest())
                 sizes.append(len(s))
                 marks.append(marks_of(c))
                 buckets.append(buckets_of(c))
@@ -167,13 +179,14 @@ def _agreeing(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return map_rows(both, run, "a binary, b binary")
 
 
-def jaccard_parts(a: str | None, b: str | None, width: int) -> tuple[int, int]:
-    """Sizes of the intersection and the union of two texts' shingle sets, by the words themselves."""
-    def full(t: str | None) -> set[tuple[str, ...]]:
-        w = words_of(t)
-        return set(zip(*[w[j:] for j in range(width)])) if len(w) >= width else ({tuple(w)} if w else set())
+def shingle_set(text: bytes | str | None, width: int) -> set[tuple[bytes, ...]]:
+    w = words_of(text)
+    return set(zip(*[w[j:] for j in range(width)])) if len(w) >= width else ({tuple(w)} if w else set())
+
 
-    x, y = full(a), full(b)
+def jaccard_parts(a: bytes | str | None, b: bytes | str | None, width: int) -> tuple[int, int]:
+    """Sizes of the intersection and the union of two texts' shingle sets, by the words themselves."""
+    x, y = shingle_set(a, width), shingle_set(b, width)
     both = len(x & y)
     return both, len(x) + len(y) - both
 
@@ -195,6 +208,37 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
     return map_rows(rows, run, "a binary, b binary")
 
 
+def _memberships(nodes: DataFrame) -> DataFrame:
+    """(bucket, node, n, c): who shares a bucket with whom; c: members of the bucket.
+
+    A bucket of over ``CROWDED`` members (texts that share one common passage, say) is replaced by buckets of two
+    bands, the band and one of the next three: a pair at the threshold meets in one of these 96 with all but 2e-8 probability, while
+    texts with little in common part."""
+    def counted(m: DataFrame) -> DataFrame:
+        return m.join(m.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1"), "bucket")
+
+    m = cut_lineage(counted(nodes.select("node", "n", F.posexplode("buckets").alias("band", "bucket"))))
+    crowded = (m.where(F.col("c") > CROWDED).groupBy("node", "n")
+               .agg(F.sort_array(F.collect_list(F.struct("band", "bucket"))).alias("own")))  # a row per band at most
+    two = F.flatten(F.transform("own", lambda x: F.transform(
+        F.filter("own", lambda y: F.pmod(y["band"] - x["band"], F.lit(BANDS)).isin(1, 2, 3)),
+        lambda y: F.xxhash64(x["band"], x["bucket"], y["band"], y["bucket"]))))
+    fine = counted(crowded.select("node", "n", F.explode(two).alias("bucket")))
+    cols = ["bucket", "node", "n", "c"]
+    return cut_lineage(m.where(F.col("c") <= CROWDED).select(*cols).unionByName(fine.select(*cols)))
+
+
+def _texts(docs: DataFrame, nodes: DataFrame, m: DataFrame) -> DataFrame:
+    """(node, text) of the classes that share a bucket, from the document with the class's least id."""
+    wanted = m.select("node").distinct().join(nodes.select("node", "first_id"), "node")
+    normal = F.trim(F.regexp_replace(lower_ascii(text_or_empty("text")), SPACE_CLASS, " "))
+    key = F.unhex(F.md5(normal.cast("binary")))
+    # the comparison of keys is no join key, so only rows that met are normalised; it tells texts under one id apart
+    named = docs.select("doc_id", "text").join(wanted, F.col("doc_id") == F.col("first_id")).where(F.coalesce(key == F.col("node"), F.lit(False)))
+    nameless = docs.where("doc_id is null").select("text", key.alias("key")).join(wanted.where("first_id is null"), F.col("key") == F.col("node"))
+    return cut_lineage(named.select("node", "text").unionByName(nameless.groupBy("node").agg(F.first("text").alias("text"))))
+
+
 def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept; one row per row of ``docs``."""
     rows = cut_lineage(sketches(docs, width))
@@ -202,60 +246,38 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80) -> Da
     nodes = cut_lineage(full.groupBy(F.col("key").alias("node")).agg(
         F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n"), F.first("marks").alias("marks"),
         F.first("buckets").alias("buckets")))
-    m = nodes.select("node", "n", F.explode("buckets").alias("bucket"))
-    shared = m.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1")
-    m = cut_lineage(m.join(shared, "bucket"))
-    # (1) hubs
-    score = m.groupBy("node").agg(F.sum("c").alias("score"))
-    hub = m.join(score, "node").groupBy("bucket").agg(F.max(F.struct("score", "node"))["node"].alias("hub"))
+    m = _memberships(nodes)
     close = (F.col("n") * 100 >= F.col("n_other") * percent) & (F.col("n_other") * 100 >= F.col("n") * percent)
 
-    def pairs_of(df: DataFrame, other: str) -> DataFrame:
-        return (df.where(F.col("node") != F.col(other))
-                .select(F.least("node", other).alias("a"), F.greatest("node", other).alias("b")).distinct())
+    def pairs_of(df: DataFrame) -> DataFrame:
+        return (df.where((F.col("node") != F.col("other")) & close)
+                .select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct())
 
-    tested = cut_lineage(pairs_of(m.join(hub, "bucket"), "hub"))
-    near = cut_lineage(_agreeing(tested, nodes))
-    # texts of classes that share a bucket; the id in the join key spreads a class of many copies
-    wanted = m.select("node").distinct().join(nodes.select("node", "first_id"), "node")
-    normal = F.trim(F.regexp_replace(lower_ascii(text_or_empty("text")), SPACE_CLASS, " "))
-    texts = (docs.select("doc_id", "text", F.unhex(F.md5(normal.cast("binary"))).alias("key"))
-             .join(wanted, (F.col("key") == F.col("node")) & F.col("doc_id").eqNullSafe(F.col("first_id")))
-             .select("node", "text").dropDuplicates(["node"]))
-    texts = cut_lineage(texts)
-    links = cut_lineage(_verified(near, texts, width, percent))
+    # (1) hub and, in larger buckets, a random member
+    score = m.groupBy("node").agg(F.sum("c").alias("score"))
+    picks = m.join(score, "node").groupBy("bucket").agg(
+        F.max(F.struct("score", "node", "n")).alias("hub"),
+        F.max(F.when(F.col("c") > FEW, F.struct(F.xxhash64("node", "bucket").alias("score"), "node", "n"))).alias("any"))
+    picks = picks.select("bucket", F.inline(F.array_compact(F.array("hub", "any")))).select(
+        "bucket", F.col("node").alias("other"), F.col("n").alias("n_other"))
+    tested = cut_lineage(pairs_of(m.join(picks, "bucket")))
+    texts = _texts(docs, nodes, m)
+    links = cut_lineage(_verified(_agreeing(tested, nodes), texts, width, percent))
     found = cut_lineage(connected_components(links))
-
-    def open_members(found: DataFrame) -> DataFrame:
-        """Members of buckets of three or more that hold several components (pairs are settled by the hub)."""
-        c = (m.where("c > 2").join(found, "node", "left")
-             .select("bucket", "node", "n", F.coalesce("component", "node").alias("component")))
-        mixed = c.groupBy("bucket").agg((F.min("component") != F.max("component")).alias("mixed")).where("mixed")
-        return c.join(mixed.select("bucket"), "bucket")
-
-    def settle(pairs: DataFrame) -> None:
-        nonlocal tested, links, found
-        fresh = cut_lineage(pairs.join(tested, ["a", "b"], "left_anti"))
-        new = cut_lineage(_verified(_agreeing(fresh, nodes), texts, width, percent))
-        tested = tested.unionByName(fresh)
-        if new.isEmpty():
-            return
-        stars = found.where("node != component").select(F.col("node").alias("a"), F.col("component").alias("b"))
-        found = cut_lineage(connected_components(stars.unionByName(new)))
-
-    # (2) a random member of each open bucket
-    o = cut_lineage(open_members(found))
+    # (2) buckets that still hold several components: members outside the main one against the others
+    c = (m.where("c > 2").join(found, "node", "left").select("bucket", "node", "n", F.coalesce("component", "node").alias("component")))
+    mixed = c.groupBy("bucket").agg((F.min("component") != F.max("component")).alias("mixed")).where("mixed").select("bucket")
+    o = cut_lineage(c.join(mixed, "bucket"))
     if not o.isEmpty():
-        pick = o.groupBy("bucket").agg(F.max(F.struct(F.xxhash64("node", "bucket").alias("h"), "node", "n", "component")).alias("p")).select(
-            "bucket", F.col("p.node").alias("other"), F.col("p.n").alias("n_other"), F.col("p.component").alias("c_other"))
-        settle(pairs_of(o.join(pick, "bucket").where((F.col("component") != F.col("c_other")) & close), "other"))
-        # (3) members outside the main component of a bucket against the other components
-        o = cut_lineage(open_members(found))
         main = (o.groupBy("bucket", "component").agg(F.count("*").alias("k")).groupBy("bucket")
                 .agg(F.max(F.struct("k", "component"))["component"].alias("main")))
         aside = o.join(main, "bucket").where("component != main").drop("main")
         against = o.select("bucket", F.col("node").alias("other"), F.col("n").alias("n_other"), F.col("component").alias("c_other"))
-        settle(pairs_of(aside.join(against, "bucket").where((F.col("component") != F.col("c_other")) & close), "other"))
+        pairs = pairs_of(aside.join(against, "bucket").where((F.col("component") != F.col("c_other")) & close))
+        more = cut_lineage(_verified(_agreeing(pairs.join(tested, ["a", "b"], "left_anti"), nodes), texts, width, percent))
+        if not more.isEmpty():
+            stars = found.where("node != component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+            found = cut_lineage(connected_components(stars.unionByName(more)))
 
     label = (nodes.join(found, "node", "left").select("node", "first_id", F.coalesce("component", "node").alias("component")))
     named = label.join(label.groupBy("component").agg(F.min("first_id").alias("component_id")), "component").select("node", "component_id")

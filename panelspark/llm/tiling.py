@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelspark.llm.common import cut_lineage, map_rows, text_or_empty
-from panelspark.llm.minhash import _PLACES, WordHashes, _mix, words_of
+from panelspark.llm.minhash import _PLACES, _mix, word_hashes, words_of
 
 MIN_MATCH = 5
 MIN_COVERAGE = 0.5
@@ -109,21 +109,20 @@ def tile(item: list[int], doc: list[int], min_match: int) -> list[tuple[int, int
     return tiles
 
 
-def _ids(words: list[str], known: dict[str, int]) -> list[int]:
+def _ids(words: list[bytes], known: dict[bytes, int]) -> list[int]:
     return [known.setdefault(w, len(known) + 1) for w in words]
 
 
 def _seeds(items: DataFrame, min_match: int) -> DataFrame:
     """iid, seed, n_seed (how often the item has it), width, one row per item and seed."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in batches:
             iid, seed, width = [], [], []
-            for i, t in zip(batch.column(0).to_pylist(), batch.column(1)):
-                words = words_of(t.as_py())
-                if words:
+            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                words = word_hashes(t)
+                if len(words):
                     w = min(min_match, len(words))
-                    found = window_hashes(hashes(words), w)
+                    found = window_hashes(words, w)
                     iid += [i] * len(found)
                     width += [w] * len(found)
                     seed += found.tolist()
@@ -150,11 +149,11 @@ def matches(docs: DataFrame, benchmark: DataFrame, *, min_match: int = MIN_MATCH
     src = docs.select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, bits = WordHashes(), np.frombuffer(spread.value, np.uint8)
+        bits = np.frombuffer(spread.value, np.uint8)
         for batch in batches:
             rows, found = [], []
-            for k, t in enumerate(batch.column(1)):
-                h = hashes(words_of(t.as_py()))
+            for k, t in enumerate(batch.column(1).cast(pa.binary()).to_pylist()):
+                h = word_hashes(t)
                 hit = []
                 for w in widths:
                     s = window_hashes(h, w)
@@ -180,7 +179,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, *, min_match: int = MIN_MATCH
         for batch in batches:
             size, covered, tiles = [], [], []
             for t, i in zip(batch.column(1), batch.column(3)):
-                known: dict[str, int] = {}
+                known: dict[bytes, int] = {}
                 item, doc = _ids(words_of(i.as_py()), known), _ids(words_of(t.as_py()), known)
                 got = tile(item, doc, min(min_match, max(1, len(item))))
                 size.append(len(item))

@@ -111,8 +111,10 @@ def test_near_duplicates_edges(spark):
     assert kept.columns == df.columns and {r["doc_id"] for r in kept.collect()} == {None, 0, 1, 2, 3, 4, 6, 8, 9, 10, 11, 13}
 
 
-def test_near_duplicates_hot_group_of_chains(spark):
+@pytest.mark.parametrize("crowded", [64, 4])
+def test_near_duplicates_hot_group_of_chains(spark, monkeypatch, crowded):
     """Copies of copies: many members are far from any one hub, chains hold them together."""
+    monkeypatch.setattr(minhash, "CROWDED", crowded)
     rnd = random.Random(9)
     base = [f"w{rnd.randint(0, 10**6)}" for _ in range(120)]
     texts = [base]
@@ -188,3 +190,12 @@ def test_matches_edges_and_reordered_passages(spark):
     clean = tiling.decontaminate(docs, bench)
     assert clean.columns == docs.columns and sorted(r["doc_id"] for r in clean.collect()) == [0, 1, 2, 5, 7]
     assert tiling.matches(docs.limit(0), bench).count() == 0 and tiling.matches(docs, bench.limit(0)).count() == 0
+
+
+def test_words_split_at_six_characters_only():
+    import re
+    word = re.compile(r"[^\x20\x09-\x0D]+")
+    for t in ("A b\tC\x1cd\x85e\u00a0f\n\x0bg\x0c h\r i", "É\x1f Ab\u2003c", "", "  ", "\x1c"):
+        h = minhash.word_hashes(t)
+        assert len(h) == len(minhash.words_of(t)) and all(h[i] == minhash.word_hashes(w)[0] for i, w in enumerate(minhash.words_of(t)))
+        assert [w.decode() for w in minhash.words_of(t)] == [re.sub("[A-Z]", lambda m: m.group().lower(), w) for w in word.findall(t)]
