@@ -10,7 +10,7 @@ from __future__ import annotations
 import os
 import uuid
 
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.pipeline import PipelineModel
 from pyspark.sql import functions as F
 
@@ -188,6 +188,71 @@ def q_fit_gbt(spark, root):
                                           "n_estimators": 20, "min_samples_leaf": 2})
 
 
+# ---- models with one feature, where the optimum has a closed form ----
+
+ONE_SQL = """
+with d as (select l_quantity as x, l_extendedprice / 1000.0 as y from lineitem where l_quantity is not null and l_extendedprice is not null),
+m as (select avg(x) as mx, avg(y) as my, count(*) as n from d),
+s as (select sum((x - mx) * (x - mx)) as sxx, sum((x - mx) * (y - my)) as sxy, sum((y - my) * (y - my)) as syy,
+             any_value(mx) as mx, any_value(my) as my, any_value(n) as n from d, m),
+w as (select {w} as w, * from s)
+select round(w, 5) as coefficient, round(my - w * mx, 4) as intercept from w"""
+
+
+def _one_feature(spark, root, algo, params):
+    d = read_table(spark, root, "lineitem").select(array_to_vector(F.array("l_quantity")).alias("features"),
+                                                   (F.col("l_extendedprice") / 1000.0).alias("label"))
+    model = M.build_estimator(algo, params, M.label_stats(d, "label")).fit(d)
+    return (spark.createDataFrame([(float(model.coefficients[0]), float(model.intercept))], "w double, b double")
+            .select(F.round("w", 5).alias("coefficient"), F.round("b", 4).alias("intercept")))
+
+
+@query("linear_closed_form", ONE_SQL.format(w="sxy / sxx"))
+def q_linear_closed_form(spark, root):
+    """M1 against least squares."""
+    return _one_feature(spark, root, "linear", {"fit_intercept": True})
+
+
+@query("ridge_closed_form", ONE_SQL.format(w="sxy / (sxx + 100000.0)"))
+def q_ridge_closed_form(spark, root):
+    """M2: the penalty adds to the feature's sum of squares."""
+    return _one_feature(spark, root, "ridge", {"alpha": 100_000.0, "max_iter": 1000})
+
+
+@query("lasso_closed_form", ONE_SQL.format(w="sign(sxy) * greatest(abs(sxy / n) - 50.0, 0) / (sxx / n)"))
+def q_lasso_closed_form(spark, root):
+    """M3: the mean cross product shrinks by the penalty."""
+    return _one_feature(spark, root, "lasso", {"alpha": 50.0, "max_iter": 1000})
+
+
+@query("elasticnet_closed_form", ONE_SQL.format(w="sign(sxy) * greatest(abs(sxy / n) - 20.0 * 0.25, 0) / (sxx / n + 20.0 * 0.75)"))
+def q_elasticnet_closed_form(spark, root):
+    """M4: both at once."""
+    return _one_feature(spark, root, "elasticnet", {"alpha": 20.0, "l1_ratio": 0.25, "max_iter": 1000})
+
+
+@query("coef_closed_form", ONE_SQL.split("w as (select")[0] + """
+c as (select sxy / sxx as b, sqrt((syy - sxy * sxy / sxx) / (n - 2) / sxx) as se_b, my - sxy / sxx * mx as a,
+             sqrt((syy - sxy * sxy / sxx) / (n - 2) * (1.0 / n + mx * mx / sxx)) as se_a from s)
+select 'l_quantity' as feature, round(b, 6) as coefficient, round(se_b, 6) as std_error, round(b / se_b, 3) as t from c
+union all select 'Intercept', round(a, 6), round(se_a, 6), round(a / se_a, 3) from c""")
+def q_coef_closed_form(spark, root):
+    """E2 with one feature against the textbook formulas."""
+    d = read_table(spark, root, "lineitem").select(array_to_vector(F.array("l_quantity")).alias("features"),
+                                                   (F.col("l_extendedprice") / 1000.0).alias("label"))
+    return E.coef_table(spark, d, ["l_quantity"]).select(
+        "feature", F.round("coefficient", 6).alias("coefficient"), F.round("std_error", 6).alias("std_error"), F.round("t", 3).alias("t"))
+
+
+@query("fold_column", """
+select l_orderkey, l_linenumber, l_partkey, l_suppkey,
+  cast(cast(('0x' || substr(md5(concat_ws('|', '43', cast(l_orderkey as varchar), cast(l_linenumber as varchar),
+  cast(l_partkey as varchar), cast(l_suppkey as varchar))), 1, 8)) as bigint) % 10000 % 5 as integer) as fold from lineitem""")
+def q_fold_column(spark, root):
+    """Five hash folds."""
+    return read_table(spark, root, "lineitem").select(*KEY, X.fold_column(KEY, 5, seed=42).alias("fold"))
+
+
 def _search_input(spark, root):
     data, fm = _fitted(spark, root, groups=False)
     return fm.transform(data).select(*KEY, "features", "label", "split")

@@ -12,6 +12,7 @@ from panelspark.functions.expr import full_name
 from panelspark.operators import profile, selection
 from panelspark.operators import split as X
 from panelspark.operators.joins import keep_members, lookup
+from panelspark.queries_core import FEATURE_TABLE_SQL
 from panelspark.registry import query
 from panelspark.session import ensure_checkpoint_dir
 from panelspark.sources import fixtures, ingest
@@ -131,7 +132,14 @@ def q_season_bounds(spark, root):
     return ingest.season_bounds(read_table(spark, root, "events"), "ts", 4)
 
 
-@query("column_catalog")
+CATALOG_SQL = "with ft as (" + FEATURE_TABLE_SQL + """),
+c as (select count(columns(*)) from ft),
+u as (unpivot c on columns(*) into name col value n_non_null)
+select case when col = 'target' then 'target' when col = 'player_position' then 'categorical' else 'numeric' end as type, col, n_non_null
+from u where col not in ('kickoff_time', 'player_id', 'next_kickoff_time', 'data', 'value', 'selected')"""
+
+
+@query("column_catalog", CATALOG_SQL)
 def q_column_catalog(spark, root):
     """S9 (+A7): (type, col) of the feature table, non-null counts from one pass."""
     from panelspark.plans.panel import feature_columns, feature_table_from
