@@ -384,7 +384,7 @@ def _panel_model(spark, root):
     # the panel is materialised once (reliable checkpoint in the shared folder):
     # statistics, encoders, PCA and the model fit each read it again
     ft = cut_lineage(feature_table_from(spark, root).withColumn("label", F.col("target").cast("double")))
-    numeric, categorical = feature_columns(ft, exclude=["target", "label", "kickoff_time", "player_id", "next_kickoff_time",
+    numeric, categorical = feature_columns(ft, exclude=["target", "label", "kickoff_time", "player_id", "playername", "next_kickoff_time",
                                                         "data", "value", "selected", "element", "fixture", "season"])
     train = ft.filter(F.col("data") == "train")
     fm = FE.fit_feature_pipeline(train, FE.FeatureSpec(numeric, categorical))
@@ -396,7 +396,8 @@ def q_score_topk(spark, root):
     """Fit on train rows of the panel, score the 'score' rows, top 10."""
     ft, train, fm = _panel_model(spark, root)
     m = M.fit_final(train, fm, "linear", {"fit_intercept": True})
-    report = ["next_kickoff_time", "element", "team", "next_game_home", "next_opponent", "player_position", "value"]
+    report = ["next_kickoff_time", "element", "playername", "team", "next_game_home", "next_opponent", "player_position", "starts",
+              "starts_rolling_avg", "value"]
     return M.score_topk(m, ft.filter(F.col("data") == "score"), report, k=10)
 
 

@@ -136,7 +136,7 @@ CATALOG_SQL = "with ft as (" + FEATURE_TABLE_SQL + """),
 c as (select count(columns(*)) from ft),
 u as (unpivot c on columns(*) into name col value n_non_null)
 select case when col = 'target' then 'target' when col = 'player_position' then 'categorical' else 'numeric' end as type, col, n_non_null
-from u where col not in ('kickoff_time', 'player_id', 'next_kickoff_time', 'data', 'value', 'selected')"""
+from u where col not in ('kickoff_time', 'player_id', 'playername', 'next_kickoff_time', 'data', 'value', 'selected')"""
 
 
 @query("column_catalog", CATALOG_SQL)

@@ -17,6 +17,17 @@ from panelspark.sources.tables import read_table
 N_TEAMS = 25           # teams are nation keys 0..24
 SLOTS_PER_SIDE = 5     # entities per team per game
 ENTITY_INFO_GAP = 31   # entities with element % 31 == 0 have no info row
+# Measures of the appearance log beside the ones built below: name -> (a, b, m): (game * a + slot * b) % m.
+COUNTS = {"goals_scored": (3, 7, 4), "assists": (5, 11, 3), "clean_sheets": (7, 0, 2), "goals_conceded": (11, 0, 6),
+          "own_goals": (13, 17, 23), "penalties_saved": (17, 19, 29), "saves": (19, 5, 9), "penalties_missed": (23, 29, 31),
+          "yellow_cards": (29, 3, 7), "red_cards": (31, 7, 37), "bonus": (37, 13, 4), "bps": (41, 23, 60), "starts": (43, 3, 2),
+          "transfers_in": (47, 31, 5000), "transfers_out": (53, 37, 4000)}
+# The same divided by ten.
+SCORES = {"creativity": (59, 3, 120), "threat": (61, 5, 150), "ict_index": (67, 7, 90)}
+# The same divided by one hundred, null in every 13th game.
+EXPECTED = {"expected_goals": (71, 11, 200), "expected_assists": (73, 13, 150), "expected_goal_involvements": (79, 17, 300),
+            "expected_goals_conceded": (83, 0, 350)}
+EXPECTED_GAP = 13
 
 
 def games(spark: SparkSession, root: str) -> DataFrame:
@@ -63,6 +74,10 @@ def appearance_log(spark: SparkSession, root: str) -> DataFrame:
         (40 + (gid + slot) % 20).alias("value"),
         ((gid * 37 + slot * 101) % 20000).alias("selected"),
         ((gid * 5 + slot) % 2001 - 1000).alias("transfers_balance"),
+        F.concat(F.lit("player "), own * SLOTS_PER_SIDE + slot).alias("playername"),
+        *[((gid * a + slot * b) % m).alias(c) for c, (a, b, m) in COUNTS.items()],
+        *[(((gid * a + slot * b) % m) / 10.0).cast("double").alias(c) for c, (a, b, m) in SCORES.items()],
+        *[F.when(gid % EXPECTED_GAP != 0, (((gid * a + slot * b) % m) / 100.0).cast("double")).alias(c) for c, (a, b, m) in EXPECTED.items()],
     )
 
 
