@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelspark.llm.common import cut_lineage
+from panelspark.llm.common import step
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -30,7 +30,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     Alternating large and small stars; each round is written to the checkpoint folder. Ends when the
     edges are stars around the least nodes. Loops, repeated edges and edges in both directions are allowed; null ends are ignored.
     """
-    e = cut_lineage(edges.where("a is not null and b is not null and a != b")
+    e = step(edges.where("a is not null and b is not null and a != b")
                     .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = None
     while True:
@@ -39,6 +39,6 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if tuple(state) == before or state[0] == 0:
             break
         before = tuple(state)
-        e = cut_lineage(_small_star(_large_star(e)))
+        e = step(_small_star(_large_star(e)))
     stars = e.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return stars.unionByName(stars.select(F.col("component").alias("node"), "component").distinct())

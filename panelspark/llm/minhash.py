@@ -9,8 +9,10 @@ misses all buckets with probability 5e-8.
 
 Links are confirmed on the full sets. Only the components of the link graph are wanted, so a bucket needs no all-pairs
 output: (1) every member is compared with the bucket's hub, the member whose buckets are largest, and in larger
-buckets with a random member; (2) in buckets that still hold several components, members outside the bucket's main component are compared with the members of other
-components, so that no candidate link between components is left out. Crowded buckets are first replaced by finer ones.
+buckets with a random member; (2) in buckets that still hold several components, members outside the bucket's main component
+are compared with a random member of it; (3) in buckets that still do, they are compared with the members of all other
+components, so that no candidate link between components is left out. Both their differences from the hub bound what
+two members can share; pairs that the bound rules out are not formed. Crowded buckets are first replaced by finer ones.
 Before texts are read, pairs whose 8-bit sketches agree in less than ``LEAST_AGREEMENT`` of the coordinates go (over 5
 standard deviations below 0.8).
 
@@ -34,13 +36,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelspark.llm.common import SPACE_CLASS, cut_lineage, lower_ascii, map_rows, text_or_empty
+from panelspark.llm.common import SPACE_CLASS, lower_ascii, map_rows, step, text_or_empty
 from panelspark.llm.components import connected_components
 
 SIZE, ROWS = 128, 4
 BANDS = SIZE // ROWS
 LEAST_AGREEMENT = 0.6
 CROWDED = 64  # members of a bucket beyond which it is replaced by finer ones
+DRAWS = 8  # random orders by which larger buckets pick a member; one for each bucket would give as many pairs as buckets
 FEW = 8  # members up to which a bucket's hub alone is compared first
 _U = np.uint64
 
@@ -163,10 +166,10 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
 
 
 def _agreeing(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose marks agree often enough."""
+    """Pairs (a, b, wide) whose marks agree often enough."""
     m = nodes.select("node", "marks")
     both = (pairs.join(m.select(F.col("node").alias("a"), F.col("marks").alias("ma")), "a")
-            .join(m.select(F.col("node").alias("b"), F.col("marks").alias("mb")), "b").select("a", "b", "ma", "mb"))
+            .join(m.select(F.col("node").alias("b"), F.col("marks").alias("mb")), "b").select("a", "b", "ma", "mb", "wide"))
     # equal marks also arise by chance, 1 in 256
     least = round(SIZE * (LEAST_AGREEMENT + (1 - LEAST_AGREEMENT) / 256))
 
@@ -174,9 +177,9 @@ def _agreeing(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
         for batch in batches:
             x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, SIZE) for k in (2, 3))
             near = pa.array((x == y).sum(axis=1) >= least)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(near), batch.column(1).filter(near)], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([batch.column(k).filter(near) for k in (0, 1, 4)], names=["a", "b", "wide"])
 
-    return map_rows(both, run, "a binary, b binary")
+    return map_rows(both, run, "a binary, b binary, wide boolean")
 
 
 def shingle_set(text: bytes | str | None, width: int) -> set[tuple[bytes, ...]]:
@@ -192,20 +195,35 @@ def jaccard_parts(a: bytes | str | None, b: bytes | str | None, width: int) -> t
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Pairs (a, b) whose full sets reach the threshold. Each text comes to its pairs by two joins, on either end."""
+    """(a, b, linked, delta) of pairs (a, b, wide): ``linked`` by the full sets; for wide pairs ``delta`` has the hashes of the
+    shingles that one of the two lacks. Each text comes to its pairs by two joins, on either end."""
     rows = (pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
-            .join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb"))
+            .join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb", "wide"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                both, either = jaccard_parts(x.as_py(), y.as_py(), width)
-                good.append(100 * both >= percent * either)
-            keep = pa.array(good, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
-
-    return map_rows(rows, run, "a binary, b binary")
+            linked, delta = [], []
+            for x, y, wide in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4))):
+                both, either = jaccard_parts(x, y, width)
+                linked.append(100 * both >= percent * either)
+                delta.append(np.setxor1d(shingles(word_hashes(x), width), shingles(word_hashes(y), width), assume_unique=True).view(np.int64)
+                             if wide else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_()), pa.array(delta, pa.list_(pa.int64()))],
+                                             names=["a", "b", "linked", "delta"])
+
+    return map_rows(rows, run, "a binary, b binary, linked boolean, delta array<long>")
+
+
+def _distances(checked: DataFrame, hubs: DataFrame) -> DataFrame:
+    """(hub, node, d, q): how many shingles tell a node from its hub, and how many of these tell another node from that hub, too."""
+    wide = checked.where("delta is not null")
+    either = wide.select(F.col("a").alias("hub"), F.col("b").alias("node"), "delta").unionByName(
+        wide.select(F.col("b").alias("hub"), F.col("a").alias("node"), "delta")).join(hubs.select("hub").distinct(), "hub", "left_semi")
+    each = either.select("hub", "node", F.explode("delta").alias("e"))
+    common = each.groupBy("hub", "e").agg(F.count("*").alias("k")).where("k > 1").drop("k")
+    q = each.join(common, ["hub", "e"]).groupBy("hub", "node").agg(F.count("*").alias("q"))
+    return (either.select("hub", "node", F.size("delta").alias("d")).join(q, ["hub", "node"], "left")
+            .select("hub", "node", "d", F.coalesce("q", F.lit(0)).alias("q")))
 
 
 def _memberships(nodes: DataFrame) -> DataFrame:
@@ -217,7 +235,7 @@ def _memberships(nodes: DataFrame) -> DataFrame:
     def counted(m: DataFrame) -> DataFrame:
         return m.join(m.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1"), "bucket")
 
-    m = cut_lineage(counted(nodes.select("node", "n", F.posexplode("buckets").alias("band", "bucket"))))
+    m = step(counted(nodes.select("node", "n", F.posexplode("buckets").alias("band", "bucket"))))
     crowded = (m.where(F.col("c") > CROWDED).groupBy("node", "n")
                .agg(F.sort_array(F.collect_list(F.struct("band", "bucket"))).alias("own")))  # a row per band at most
     two = F.flatten(F.transform("own", lambda x: F.transform(
@@ -225,7 +243,7 @@ def _memberships(nodes: DataFrame) -> DataFrame:
         lambda y: F.xxhash64(x["band"], x["bucket"], y["band"], y["bucket"]))))
     fine = counted(crowded.select("node", "n", F.explode(two).alias("bucket")))
     cols = ["bucket", "node", "n", "c"]
-    return cut_lineage(m.where(F.col("c") <= CROWDED).select(*cols).unionByName(fine.select(*cols)))
+    return step(m.where(F.col("c") <= CROWDED).select(*cols).unionByName(fine.select(*cols)))
 
 
 def _texts(docs: DataFrame, nodes: DataFrame, m: DataFrame) -> DataFrame:
@@ -236,14 +254,14 @@ def _texts(docs: DataFrame, nodes: DataFrame, m: DataFrame) -> DataFrame:
     # the comparison of keys is no join key, so only rows that met are normalised; it tells texts under one id apart
     named = docs.select("doc_id", "text").join(wanted, F.col("doc_id") == F.col("first_id")).where(F.coalesce(key == F.col("node"), F.lit(False)))
     nameless = docs.where("doc_id is null").select("text", key.alias("key")).join(wanted.where("first_id is null"), F.col("key") == F.col("node"))
-    return cut_lineage(named.select("node", "text").unionByName(nameless.groupBy("node").agg(F.first("text").alias("text"))))
+    return step(named.select("node", "text").unionByName(nameless.groupBy("node").agg(F.first("text").alias("text"))))
 
 
 def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept; one row per row of ``docs``."""
-    rows = cut_lineage(sketches(docs, width))
+    rows = step(sketches(docs, width))
     full = rows.where("key is not null")
-    nodes = cut_lineage(full.groupBy(F.col("key").alias("node")).agg(
+    nodes = step(full.groupBy(F.col("key").alias("node")).agg(
         F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n"), F.first("marks").alias("marks"),
         F.first("buckets").alias("buckets")))
     m = _memberships(nodes)
@@ -251,33 +269,69 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80) -> Da
 
     def pairs_of(df: DataFrame) -> DataFrame:
         return (df.where((F.col("node") != F.col("other")) & close)
-                .select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct())
+                .groupBy(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).agg(F.max("wide").alias("wide")))
+
+    def check(pairs: DataFrame) -> DataFrame:
+        return step(_verified(_agreeing(pairs, nodes), texts, width, percent))
 
     # (1) hub and, in larger buckets, a random member
     score = m.groupBy("node").agg(F.sum("c").alias("score"))
-    picks = m.join(score, "node").groupBy("bucket").agg(
+    picks = step(m.join(score, "node").groupBy("bucket").agg(
         F.max(F.struct("score", "node", "n")).alias("hub"),
-        F.max(F.when(F.col("c") > FEW, F.struct(F.xxhash64("node", "bucket").alias("score"), "node", "n"))).alias("any"))
-    picks = picks.select("bucket", F.inline(F.array_compact(F.array("hub", "any")))).select(
+        F.max(F.when(F.col("c") > FEW, F.struct(F.xxhash64("node", F.pmod("bucket", F.lit(DRAWS))).alias("score"), "node", "n"))).alias("any")))
+    hubs = picks.select("bucket", F.col("hub.node").alias("hub"))
+    one = picks.select("bucket", F.inline(F.array_compact(F.array("hub", "any")))).select(
         "bucket", F.col("node").alias("other"), F.col("n").alias("n_other"))
-    tested = cut_lineage(pairs_of(m.join(picks, "bucket")))
+    tested = step(pairs_of(m.join(one, "bucket").withColumn("wide", F.col("c") > FEW)))
     texts = _texts(docs, nodes, m)
-    links = cut_lineage(_verified(_agreeing(tested, nodes), texts, width, percent))
-    found = cut_lineage(connected_components(links))
-    # (2) buckets that still hold several components: members outside the main one against the others
-    c = (m.where("c > 2").join(found, "node", "left").select("bucket", "node", "n", F.coalesce("component", "node").alias("component")))
-    mixed = c.groupBy("bucket").agg((F.min("component") != F.max("component")).alias("mixed")).where("mixed").select("bucket")
-    o = cut_lineage(c.join(mixed, "bucket"))
-    if not o.isEmpty():
-        main = (o.groupBy("bucket", "component").agg(F.count("*").alias("k")).groupBy("bucket")
-                .agg(F.max(F.struct("k", "component"))["component"].alias("main")))
-        aside = o.join(main, "bucket").where("component != main").drop("main")
-        against = o.select("bucket", F.col("node").alias("other"), F.col("n").alias("n_other"), F.col("component").alias("c_other"))
-        pairs = pairs_of(aside.join(against, "bucket").where((F.col("component") != F.col("c_other")) & close))
-        more = cut_lineage(_verified(_agreeing(pairs.join(tested, ["a", "b"], "left_anti"), nodes), texts, width, percent))
+    checked = check(tested)
+    found = step(connected_components(checked.where("linked").select("a", "b")))
+    # Buckets that still hold several components, each with its main one.
+    away = step(_distances(checked, hubs))
+
+    def mixed_buckets() -> tuple[DataFrame, DataFrame]:
+        """(members of mixed buckets, those outside the main component of their bucket)."""
+        c = m.where("c > 2").join(found, "node", "left").select("bucket", "node", "n", F.coalesce("component", "node").alias("component"))
+        sizes = c.groupBy("bucket", "component").agg(F.count("*").alias("k")).groupBy("bucket").agg(
+            F.max(F.struct("k", "component"))["component"].alias("main"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
+        members = step(c.join(sizes, "bucket"))
+        return members, members.where("component != main")
+
+    def settle(pairs: DataFrame) -> None:
+        nonlocal tested, found
+        fresh = step(pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti"))
+        more = check(fresh).where("linked").select("a", "b")
+        tested = tested.select("a", "b").unionByName(fresh.select("a", "b"))
         if not more.isEmpty():
             stars = found.where("node != component").select(F.col("node").alias("a"), F.col("component").alias("b"))
-            found = cut_lineage(connected_components(stars.unionByName(more)))
+            found = step(connected_components(stars.unionByName(more)))
+
+    # (2) each outsider against one member of the main component, another one in every bucket
+    members, aside = mixed_buckets()
+    if not aside.isEmpty():
+        pick = members.where("component = main").groupBy("bucket").agg(
+            F.max(F.struct(F.xxhash64("node", "bucket").alias("h"), "node", "n")).alias("p")).select(
+            "bucket", F.col("p.node").alias("other"), F.col("p.n").alias("n_other"))
+        settle(pairs_of(aside.join(pick, "bucket").withColumn("wide", F.lit(False))))
+        # (3) what is still outside against all other components
+        members, aside = mixed_buckets()
+    if not aside.isEmpty():
+        # What two nodes differ by is what tells either from the hub, less what tells both from it, and that
+        # is no more than either has in common with anyone. The bound is a sum of two, so most members
+        # of a bucket fall to the least demand of its outsiders before any pair is formed.
+        def known(df: DataFrame) -> DataFrame:
+            return df.join(hubs, "bucket").join(away, ["hub", "node"], "left")
+
+        far, fit = F.lit(100 + percent), F.lit(100 - percent)
+        aside = known(aside).select("bucket", "node", "n", "component", "d", "q", (far * F.col("d") - fit * F.col("n")).alias("demand"))
+        against = known(members).select(
+            "bucket", F.col("node").alias("other"), F.col("n").alias("n_other"), F.col("component").alias("c_other"), F.col("d").alias("d_other"),
+            (fit * F.col("n") - far * (F.col("d") - 2 * F.col("q"))).alias("offer"))
+        least = aside.groupBy("bucket").agg(F.min(F.coalesce("demand", F.lit(-(1 << 60)))).alias("least"))
+        against = against.join(least, "bucket").where(F.col("offer").isNull() | (F.col("offer") >= F.col("least"))).drop("least")
+        own = fit * F.col("n") - far * (F.col("d") - 2 * F.col("q"))
+        possible = F.coalesce((F.col("offer") >= F.col("demand")) & (own >= far * F.col("d_other") - fit * F.col("n_other")), F.lit(True))
+        settle(pairs_of(aside.join(against, "bucket").where((F.col("component") != F.col("c_other")) & close & possible).withColumn("wide", F.lit(False))))
 
     label = (nodes.join(found, "node", "left").select("node", "first_id", F.coalesce("component", "node").alias("component")))
     named = label.join(label.groupBy("component").agg(F.min("first_id").alias("component_id")), "component").select("node", "component_id")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from panelspark.llm import chat_log, quality, secret_scan, url_reputation
 from panelspark.llm import queries  # noqa: F401
+from panelspark.llm.common import cut_lineage
 from panelspark.registry import QUERIES
 
 ROOT = "/root/testdata/sf0.001"
@@ -83,7 +84,7 @@ def planted(spark, n=600):
 
 def test_decision_list_learns_conditions_and_filters(spark):
     docs, labels = planted(spark)
-    stats = quality.text_stats(docs)
+    stats = cut_lineage(quality.text_stats(docs))
     rules = quality.fit(stats, labels)
     assert 1 <= len(rules.rules) <= 10 and "reject if" in str(rules)
     kept = {r[0] for r in quality.judge(stats, rules).where("kept").select("doc_id").collect()}
