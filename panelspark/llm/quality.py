@@ -181,11 +181,12 @@ def fit(stats: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", label_co
     lab = (labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
            .groupBy(F.col(id_col).alias("_id")).agg(F.min(label_col).alias("_y")))
     feats = feature_columns()
-    rows = (stats.where(~base_failed()).join(lab, F.col(id_col) == F.col("_id"))
-            .select((F.col("_y") == 0).cast("int").alias("bad"),
-                    (F.pmod(F.xxhash64("_id"), F.lit(prune_of)) == 0).alias("prune"),
-                    *[c.alias(f) for f, c in feats.items()]))
-    rows = cut_lineage(rows)
+    # written before it is filtered: a filter pushed below the statistics would repeat their expressions
+    rows = cut_lineage(
+        stats.join(lab, F.col(id_col) == F.col("_id"))
+        .select((F.col("_y") == 0).cast("int").alias("bad"), base_failed().alias("failed"),
+                (F.pmod(F.xxhash64("_id"), F.lit(prune_of)) == 0).alias("prune"),
+                *[c.alias(f) for f, c in feats.items()])).where("not failed")
     shares = [k / (n_cuts + 1) for k in range(1, n_cuts + 1)]
     names = list(feats)
     # bad rows are rare: cut points come from both classes
@@ -259,11 +260,11 @@ def judge(stats: DataFrame, rules: DecisionList) -> DataFrame:
 
 
 def filter_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are kept, all columns as they were."""
-    labelled = docs.select("doc_id", "text").join(
-        labels.where(F.col("quality").isNotNull()).select(F.col("doc_id").alias("_lid")).distinct(),
-        F.col("doc_id") == F.col("_lid"), "left_semi")
-    rules = fit(text_stats(labelled), labels)
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    judged = judge(text_stats(docs.select(row.alias("_row"), "text"), keep=("_row",)), rules)
-    return judged.where("kept").select("_row.*")
+    """The rows of ``docs`` that are kept, all columns as they were.
+
+    Statistics are made once and written; rejected rows are found again by id and text hash."""
+    text_hash = F.xxhash64(text_or_empty("text"))
+    stats = cut_lineage(text_stats(docs.select("doc_id", "text", text_hash.alias("text_hash")), keep=("doc_id", "text_hash")))
+    bad = judge(stats, fit(stats, labels)).where("not kept").select(
+        F.col("doc_id").alias("__rejected_id"), F.col("text_hash").alias("__rejected_hash")).distinct()
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("__rejected_id")) & (text_hash == F.col("__rejected_hash")), "left_anti")

@@ -199,5 +199,5 @@ def matches(docs: DataFrame, benchmark: DataFrame, *, min_match: int = MIN_MATCH
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that match no item, all columns as they were."""
-    bad = matches(docs, benchmark, **options).select(F.col("doc_id").alias("_bad"), F.col("text_hash").alias("_hash")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad")) & (F.xxhash64(text_or_empty("text")) == F.col("_hash")), "left_anti")
+    bad = matches(docs, benchmark, **options).select(F.col("doc_id").alias("__leak_id"), F.col("text_hash").alias("__leak_hash")).distinct()
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("__leak_id")) & (F.xxhash64(text_or_empty("text")) == F.col("__leak_hash")), "left_anti")
