@@ -102,10 +102,15 @@ def exact_quantiles(long: DataFrame, groups: Sequence[str], value: str, qs: Sequ
     last = F.col("__below") + F.sum("__c").over(w) - 1
     ranked = counts.select(*bkeys, "__x", (last - F.col("__c") + 1).alias("__first"), last.alias("__last"))
     targets = state.select(*keys, "__lo", "__hi", "__q", "__frac", "__klo", "__khi")
-    hit = null_safe_groups(ranked, sized_broadcast(targets, BROADCAST_BRACKETS), bkeys)
+
+    def here(rank: str) -> Column:
+        return (F.col(rank) >= F.col("__first")) & (F.col(rank) <= F.col("__last"))
+
+    # part of the join condition: two rows per target leave the join
+    hit = null_safe_groups(ranked, sized_broadcast(targets, BROADCAST_BRACKETS), bkeys).filter(here("__klo") | here("__khi"))
 
     def at(rank: str) -> Column:
-        return F.max(F.when((F.col(rank) >= F.col("__first")) & (F.col(rank) <= F.col("__last")), F.col("__x")))
+        return F.max(F.when(here(rank), F.col("__x")))
 
     agg = hit.groupBy(*keys, "__q", "__frac").agg(at("__klo").alias("__vlo"), at("__khi").alias("__vhi"))
     val = F.when(F.col("__frac") == 0, F.col("__vlo")).otherwise(
