@@ -17,7 +17,8 @@ row; an empty table gives an empty result; extra columns are ignored (``scan``)
 from __future__ import annotations
 
 import itertools
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, replace
 from functools import reduce
 from re import _constants as sre
 from re import _parser as sre_parser
@@ -33,14 +34,22 @@ MAX_STRINGS = 64  # alternatives of one stretch of a pattern that are spelt out;
 @dataclass(frozen=True)
 class Rule:
     """``pattern``: what to find, leftmost and non-overlapping; a find counts if group ``group`` has ``least``
-    characters or more."""
+    characters or more. ``rest``: what belongs to the secret after a find, removed with it by ``redact``."""
 
     kind: str
     pattern: str
     group: int = 0
     least: int = 1
+    rest: str = ""
 
 
+# The body of a key: up to its END line, or where there is none before the next key, PEM headers and base64 lines. Line ends
+# may be written as \n (JSON, source code). Loops are possessive, so that Java's matcher runs them without recursion.
+_GAP = r"""(?:[\x09-\x0D\x20"',;+#>*]|\\[nrt])"""
+_KEY_BODY = (r"(?:(?:[^-]++|-(?!----(?:BEGIN|END) [A-Z ]{0,30}PRIVATE KEY-----))*+-----END [A-Z ]{0,30}PRIVATE KEY-----"
+             rf"|(?:{_GAP}++(?:Proc-Type|DEK-Info):[\x20]*+[A-Za-z0-9,-]++)*+"
+             rf"""(?:(?:{_GAP}++[A-Za-z0-9+/]{{16,}}+={{0,2}}+)++(?:{_GAP}++[A-Za-z0-9+/]{{1,15}}+={{0,2}}+(?=[\\\x0A\x0D"']|\Z))?+)?+)""")
+
 # The first three are fixed by the contract. Classes with a "+" and a least length are written with a count
 # where that finds the same spans (a run cannot hold a longer run).
 RULES = (
@@ -52,7 +61,7 @@ RULES = (
     Rule("google", r"AIza[A-Za-z0-9_-]{35}"),
     Rule("stripe", r"[rs]k_live_[A-Za-z0-9]{16,}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
-    Rule("private_key", r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----"),
+    Rule("private_key", r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----", rest=_KEY_BODY),
     Rule("basic_auth", r"[a-z][a-z0-9+.-]{1,20}://[^\x00-\x20/:@]{1,64}:[^\x00-\x20/:@]{3,64}@"),
 )
 BASE_KINDS = ("assign", "access", "hex")
@@ -209,17 +218,17 @@ def candidates(index: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     return masks.select("id", kinds.alias("kinds")).where(F.size("kinds") > 0)
 
 
-def prefix_sums(values: Column, block: int = 256) -> Column:
-    """Sum of the elements before each element. Sums run within blocks and over blocks, so that growing an
-    array by one element at a time stays cheap for long arrays."""
+def prefix_sums(values: Column, block: int = 256, join: Callable[[Column, Column], Column] = lambda a, b: a + b) -> Column:
+    """Sum (or ``join``, whose neutral element is 0) of the elements before each element. Sums run within blocks and over
+    blocks, so that growing an array by one element at a time stays cheap for long arrays."""
     def running(a: Column, start: Column) -> Column:
-        grown = F.aggregate(a, F.array(start), lambda acc, v: F.concat(acc, F.array(F.element_at(acc, -1) + v)))
+        grown = F.aggregate(a, F.array(start), lambda acc, v: F.concat(acc, F.array(join(F.element_at(acc, -1), v))))
         return F.slice(grown, 1, F.size(a))
 
     n_blocks = F.ceil(F.size(values) / F.lit(block)).cast("int")
     blocks = F.transform(F.sequence(F.lit(0), F.greatest(n_blocks, F.lit(1)) - 1),
                          lambda b: F.slice(values, b * block + 1, F.lit(block)))
-    totals = F.transform(blocks, lambda x: F.aggregate(x, F.lit(0), lambda acc, v: acc + v))
+    totals = F.transform(blocks, lambda x: F.aggregate(x, F.lit(0), lambda acc, v: join(acc, v)))
     return F.flatten(F.zip_with(blocks, running(totals, F.lit(0)), running))
 
 
@@ -263,16 +272,39 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     return df.select("doc_id", F.sort_array(F.flatten(F.array(*arrays))).alias("spans"))
 
 
+def _cut(text: Column, spans: Column, block: int = 256) -> Column:
+    """``text`` with every stretch that ``spans`` cover (sorted, overlapping ones merged) replaced by the kind of its first
+    span. Runs of ``block`` stretches are cut out of the text first, so that no stretch is looked up from the text's start."""
+    before = prefix_sums(F.transform(spans, lambda s: s["end"]), join=F.greatest)
+    opens = F.filter(F.zip_with(spans, before, lambda s, b: F.struct(b.alias("from"), s["start"].alias("to"), s["kind"].alias("kind"))),
+                     lambda x: x["to"] >= x["from"])
+    held = F.transform(F.array(opens), lambda o: F.transform(
+        F.sequence(F.lit(0), F.floor((F.size(o) - 1) / F.lit(block)).cast("int")), lambda b: F.slice(o, b * block + 1, F.lit(block))))
+    runs = F.transform(F.flatten(held), lambda r: F.struct(
+        r.alias("r"), F.get(r, F.lit(0))["from"].alias("at"),
+        F.substring(text, F.get(r, F.lit(0))["from"] + 1, F.element_at(r, -1)["to"] - F.get(r, F.lit(0))["from"]).alias("t")))
+    pieces = F.transform(runs, lambda x: F.array_join(F.transform(x["r"], lambda o: F.concat(
+        F.substring(x["t"], o["from"] - x["at"] + 1, o["to"] - o["from"]), F.lit("["), o["kind"], F.lit("]"))), ""))
+    end = F.array_max(F.transform(spans, lambda s: s["end"]))
+    return F.concat(F.array_join(pieces, ""), F.substring(text, end + 1, F.length(text)))
+
+
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The rows with every find replaced by ``[kind]``, rule after rule; ``n_chars``, if there, follows the text."""
+    """The rows with all that ``scan`` finds in the text replaced by ``[kind]``, overlapping finds by the kind of the first.
+    What rules find only in the text so cut is then replaced rule after rule. ``n_chars``, if there, follows the text."""
     df = with_candidates(docs, rules)
     text = F.col("text")
+    none = F.array().cast(_NO_SPANS)
+    whole_rules = [replace(r, pattern=r.pattern + r.rest) for r in rules]
+    df = df.withColumn("_found", F.sort_array(F.flatten(F.array(*[
+        F.when(F.array_contains("_kinds", r.kind), F.coalesce(_spans(r, k, text), none)).otherwise(none) for k, r in enumerate(whole_rules)]))))
+    df = df.withColumn("text", F.when(F.size("_found") > 0, _cut(text, F.col("_found"))).otherwise(text))
     for r in rules:
         whole = F.regexp_extract_all(text, F.lit(r.pattern), F.lit(0))
         value = F.regexp_extract_all(text, F.lit(r.pattern), F.lit(r.group)) if r.group else whole
         put = F.zip_with(whole, value, lambda a, v: F.when(F.length(v) >= r.least, F.lit(f"[{r.kind}]")).otherwise(a))
         done = F.array_join(F.zip_with(F.split(text, r.pattern, -1), put, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-        df = df.withColumn("text", F.when(F.array_contains("_kinds", r.kind) & text.rlike(r.pattern), done).otherwise(text))
+        df = df.withColumn("text", F.when((F.size("_found") > 0) & F.array_contains("_kinds", r.kind) & text.rlike(r.pattern), done).otherwise(text))
     if "n_chars" in docs.columns:
         df = df.withColumn("n_chars", F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), F.col("n_chars")))
     return df.select(*[F.col(f"`{c}`") for c in docs.columns])
