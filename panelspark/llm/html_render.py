@@ -13,7 +13,10 @@ repeated page_ids pass through row by row; an empty table gives an empty result.
 
 Not visible: head, title, script, style, template, noscript, fallback content of embedded media, ``hidden``, inline or
 simple style-sheet rules with ``display: none`` or ``visibility: hidden``, closed ``details`` and ``dialog``,
-``rp``, unselected options, attribute texts other than button captions and field values.
+``rp``, ``datalist``, unselected options, attribute texts other than button captions and field values; in SVG, what is outside ``text``
+and ``foreignObject`` or in ``defs`` and the like (text that only ``use`` brings in is not shown); annotations and ``mphantom`` of MathML.
+
+Rules in ``@media`` blocks count if the medium fits a screen of ``SCREEN`` pixels; so do ``media`` attributes of style elements.
 """
 
 from __future__ import annotations
@@ -33,8 +36,15 @@ MAX_DEPTH = 200
 # Fixed values of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes textarea title".split())
-UNSEEN = frozenset("head script style template noscript title iframe noembed noframes object audio video canvas svg math "
-                   "datalist rp map".split())
+UNSEEN = frozenset("head script style template noscript title iframe noembed noframes object audio video canvas "
+                   "datalist rp".split())
+SVG_UNSEEN = frozenset("defs symbol clippath mask pattern marker lineargradient radialgradient filter metadata desc title script style "
+                       "template".split())
+# A start tag of these ends SVG and MathML, which hold other elements of HTML only below their integration points.
+BREAKOUT = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr "
+                     "ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
+INTEGRATION = frozenset("foreignobject desc title mi mo mn ms mtext annotation-xml".split())
+SCREEN = (1280, 800)  # CSS pixels, width and height
 HEAD_ONLY = frozenset("base basefont bgsound link meta noframes script style template title noscript".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 SPACED = HEADINGS | frozenset("p ul ol dl menu dir blockquote pre table figure hr fieldset form address xmp listing".split())
@@ -67,7 +77,16 @@ ITEM_CLOSES = {"li": (frozenset(["li"]), _ITEM_BOUNDS), "dt": (frozenset(["dt",
 _TAG = re.compile(r"""</?([a-zA-Z][^\s/>]*)((?>[^>"']+|"[^"]*"|'[^']*')*+)>|</?([a-zA-Z][^\s/>]*)([^>]*)>?""")
 _ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 _SPACE = re.compile(r"[ \t\n\f\r]+")
-_RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
+_CSS_SKIP = re.compile(r"""(?s)/\*.*?(?:\*/|\Z)|"(?:[^"\\\n]|\\.)*+"|'(?:[^'\\\n]|\\.)*+'""")
+_CSS_PART = re.compile(r"[{};]")
+_MEDIA_TOKEN = re.compile(r"\(|\)|[^()\s]+")
+_LENGTH = re.compile(r"([+-]?[\d.]+)(px|em|rem|pt|pc|in|cm|mm|q)?\Z")
+_RANGE = re.compile(r"<=|>=|<|>|=")
+_PIXELS = {None: 1.0, "px": 1.0, "em": 16.0, "rem": 16.0, "pt": 4 / 3, "pc": 16.0, "in": 96.0, "cm": 96 / 2.54, "mm": 9.6 / 2.54, "q": 2.4 / 2.54}
+# Other features of the medium, and what is true of it.
+_FEATURES = {"orientation": "landscape", "prefers-color-scheme": "light", "prefers-reduced-motion": "no-preference", "hover": "hover",
+             "any-hover": "hover", "pointer": "fine", "any-pointer": "fine", "scripting": "enabled", "update": "fast", "scan": "progressive",
+             "grid": "0", "prefers-contrast": "no-preference", "forced-colors": "none", "display-mode": "browser"}
 _SIMPLE = re.compile(r"([a-zA-Z][\w-]*|\*)?((?:[.#][\w-]+)*)\Z")
 _DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*([a-z-]+)", re.I)
 _VISIBILITY = re.compile(r"(?:^|;)\s*visibility\s*:\s*([a-z]+)", re.I)
@@ -89,10 +108,17 @@ def _attributes(s: str) -> dict[str, str]:
     return out
 
 
+def _open_value(s: str) -> bool:
+    """Whether attributes end in a value without quotes; a slash at its end is part of it."""
+    at = max(s.rfind(c) for c in " \t\n\f\r\"'") + 1
+    return "=" in s[at:] or s[:at].rstrip().endswith("=")
+
+
 def parse(html: str) -> tuple[Node, list[str]]:
     """Tree of the page and the contents of its style elements."""
     root = Node("html", {})
     stack, sheets = [root], []
+    foreign = False  # whether any SVG or MathML was opened
     pos, n = 0, len(html)
 
     def open_(tag: str, attrs: dict[str, str]) -> Node:
@@ -102,6 +128,16 @@ def parse(html: str) -> tuple[Node, list[str]]:
             stack.append(node)
         return node
 
+    def in_foreign() -> bool:
+        """Whether the innermost open element belongs to SVG or MathML and takes no elements of HTML."""
+        if foreign:
+            for x in reversed(stack):
+                if x.tag in ("svg", "math"):
+                    return True
+                if x.tag in INTEGRATION:
+                    return False
+        return False
+
     def close_until(targets: frozenset, bounds: frozenset) -> None:
         """Pop through the outermost open target above the nearest boundary."""
         at = None
@@ -113,7 +149,18 @@ def parse(html: str) -> tuple[Node, list[str]]:
         if at is not None:
             del stack[at:]
 
-    def start(tag: str, attrs: dict[str, str]) -> None:
+    def start(tag: str, attrs: dict[str, str], closed: bool) -> None:
+        nonlocal foreign
+        if foreign and (closed or tag in BREAKOUT) and in_foreign():
+            if tag not in BREAKOUT:
+                stack[-1].children.append(Node(tag, attrs))
+                return
+            while in_foreign():
+                stack.pop()
+        if tag in ("svg", "math"):
+            foreign = True
+            if closed:
+                return
         if tag in ("html", "body"):
             if tag == "body" and stack[-1].tag == "head":
                 stack.pop()
@@ -190,25 +237,137 @@ def parse(html: str) -> tuple[Node, list[str]]:
         if html[lt + 1] == "/":
             end(tag)
             continue
-        start(tag, _attributes(rest))
-        if tag in RAW:
+        attrs = _attributes(rest)
+        closed = rest.endswith("/") and not _open_value(rest)
+        inside = closed and in_foreign()
+        start(tag, attrs, closed)
+        if tag in RAW and not inside:
             e = _ENDS[tag].search(html, pos)
             body = html[pos:e.start()]
             if tag == "style":
-                sheets.append(body)
+                if medium_fits(attrs.get("media", "")):
+                    sheets.append(body)
             elif tag in ("textarea", "xmp"):
                 stack[-1].children.append(unescape(body.removeprefix("\n")) if tag == "textarea" else body)
             pos = e.start()
     return root, sheets
 
 
+def _feature(words: list[str]) -> bool | None:
+    """A media feature in brackets; None if it is not known."""
+    text = " ".join(words).lower()
+    sides = dict(zip(("width", "height"), SCREEN))
+    sides |= {f"device-{k}": v for k, v in sides.items()}
+
+    def value(x: str) -> float | None:
+        x = x.strip()
+        m = _LENGTH.match(x.replace(" ", ""))
+        try:
+            return sides[x] if x in sides else float(m[1]) * _PIXELS[m[2]] if m else None
+        except ValueError:
+            return None
+
+    if ":" not in text and (signs := _RANGE.findall(text)):
+        values = [value(x) for x in _RANGE.split(text)]
+        if None in values:
+            return None
+        return all({"<": a < b, "<=": a <= b, ">": a > b, ">=": a >= b, "=": a == b}[s] for a, s, b in zip(values, signs, values[1:]))
+    name, colon, want = (x.strip() for x in text.partition(":"))
+    if not colon:
+        if name in _FEATURES:
+            return _FEATURES[name] not in ("no-preference", "none", "0")
+        return True if name in sides or name == "color" else False if name == "monochrome" else None
+    if name in _FEATURES:
+        return want == _FEATURES[name]
+    side, limit = sides.get(name.removeprefix("min-").removeprefix("max-")), value(want)
+    if side is None or limit is None:
+        return None
+    return side >= limit if name.startswith("min-") else side <= limit if name.startswith("max-") else side == limit
+
+
+def medium_fits(query: str, of=_feature) -> bool:
+    """Whether a media query list holds on a wide screen; what is not known does not hold, nor does its negation."""
+    def group(tokens: list[str]) -> bool | None:
+        result, sign, word = None, False, ""
+        terms: list[bool | None] = []
+        k = 0
+        while k < len(tokens):
+            t = tokens[k].lower()
+            if t == "(":
+                depth, e = 1, k + 1
+                while e < len(tokens) and depth:
+                    depth += {"(": 1, ")": -1}.get(tokens[e], 0)
+                    e += 1
+                inner = tokens[k + 1:e - 1] if not depth else tokens[k + 1:]
+                nested = inner[:1] == ["("] or [x.lower() for x in inner[:1]] == ["not"]
+                got, k = group(inner) if nested else of(inner), e
+            elif t in ("not", "and", "or", "only"):
+                sign, word = sign or t == "not", word or (t if t in ("and", "or") else "")
+                k += 1
+                continue
+            else:
+                got, k = t in ("all", "screen"), k + 1
+            terms.append(got)
+        if word == "or":
+            result = True if True in terms else None if None in terms else False
+        else:
+            result = False if False in terms else None if None in terms else True
+        return result if result is None or not sign else not result
+
+    parts = query.split(",")
+    return not query.strip() or any(p.strip() and group(_MEDIA_TOKEN.findall(p)) is True for p in parts)
+
+
+def _supported(words: list[str]) -> bool:
+    return True
+
+
+def css_rules(text: str) -> list[tuple[str, str]]:
+    """(selectors, declarations) of the style rules in force, in order. At-rules that are conditions are opened if they hold, others
+    left out; rules nested in a style rule have no simple selector and are left out, their conditions count."""
+    text = _CSS_SKIP.sub(lambda m: "" if m[0][0] == "/" else '""', text)
+    out: list[tuple[str, str]] = []
+    # open blocks: selectors of the style rule they belong to (None: none), whether their content counts
+    stack: list[tuple[str | None, bool]] = [(None, True)]
+    pos = 0
+    for m in [*_CSS_PART.finditer(text), None]:
+        part = text[pos:m.start() if m else len(text)].strip()
+        pos = m.end() if m else pos
+        selectors, counts = stack[-1]
+        if m and m[0] == "{":
+            name, _, rest = part.partition(" ") if part[:1] == "@" else ("", "", "")
+            if part[:1] == "@" and "(" in name:
+                name, rest = part[:part.index("(")], part[part.index("("):]
+            name = name.lower()
+            if name == "@media":
+                counts = counts and medium_fits(rest)
+            elif name == "@supports":
+                counts = counts and medium_fits(rest.replace(",", " "), _supported)
+            elif name:
+                counts = counts and name == "@layer"
+            elif selectors is None:
+                selectors = part
+            else:
+                counts = False
+            stack.append((selectors, counts))
+            continue
+        if part and counts and selectors is not None:
+            if out and out[-1][0] is selectors:
+                out[-1] = (selectors, f"{out[-1][1]};{part}")
+            else:
+                out.append((selectors, part))
+        if m and m[0] == "}" and len(stack) > 1:
+            stack.pop()
+    return out
+
+
 class Sheet:
     """``display`` and ``visibility`` of simple selectors (tag, .class, #id and their combinations); later rules win."""
 
     def __init__(self, sheets: list[str]):
         self.rules: list[tuple[str, frozenset, frozenset, str | None, str | None]] = []
         for text in sheets:
-            for selectors, body in _RULE.findall(re.sub(r"(?s)/\*.*?\*/", "", text)):
+            for selectors, body in css_rules(text):
                 d, v = _DISPLAY.search(body), _VISIBILITY.search(body)
                 if not d and not v:
                     continue
@@ -337,6 +496,18 @@ class Renderer:
         elif tag == "input":
             if visible and attrs.get("type", "text").lower() in ("text", "submit", "button", "reset", "search", "email", "url", "tel", "number", "date"):
                 flow.text(attrs.get("value", ""))
+        elif tag == "svg":
+            self.svg(node.children, flow, visible)
+        elif tag == "semantics":
+            self.walk([c for c in node.children if isinstance(c, str) or c.tag not in ("annotation", "annotation-xml")], flow, visible, pre)
+        elif tag == "mphantom":
+            self.walk(node.children, flow, False, pre)
+        elif tag == "mtr":
+            flow.block(False)
+            self.walk(node.children, flow, visible, pre)
+            flow.block(False)
+        elif tag == "mtd":
+            self.walk([" ", *node.children], flow, visible, False)
         elif tag == "select":
             self.select(node, flow, visible)
         elif tag == "details" and "open" not in attrs:
@@ -367,6 +538,23 @@ class Renderer:
         else:
             self.walk(node.children, flow, visible, pre)
 
+    def svg(self, nodes: list, flow: Flow, visible: bool) -> None:
+        """The texts of a drawing, each on a line of its own."""
+        for c in nodes:
+            if isinstance(c, str) or c.tag in SVG_UNSEEN:
+                continue
+            display, visibility = self.sheet.of(c)
+            if (display or c.attrs.get("display")) == "none":
+                continue
+            see = visibility or c.attrs.get("visibility")
+            seen = see not in ("hidden", "collapse") if see else visible
+            if c.tag in ("text", "foreignobject"):
+                flow.block(False)
+                self.walk([x for x in c.children if isinstance(x, str) or x.tag not in SVG_UNSEEN], flow, seen, False)
+                flow.block(False)
+            else:
+                self.svg(c.children, flow, seen)
+
     def select(self, node: Node, flow: Flow, visible: bool) -> None:
         options, todo = [], [node]
         while todo:

@@ -43,6 +43,29 @@ def test_extract(html, text):
     assert extract(html) == text
 
 
+@pytest.mark.parametrize("html, text", [
+    ("<style>@media print { .nav{display:none} } .ad{display:none}</style><p class=nav>a<p class=ad>b", "a"),
+    ("<style>@media (max-width:600px){table{display:none}}</style><table><tr><td>a</table>", "a"),
+    ("<style>@media screen and (min-width:600px){.m{display:none}}</style><p class=m>a<p>b", "b"),
+    ("<style>@media not all and (monochrome), print{.m{display:none}}</style><p class=m>a<p>b", "b"),
+    ("<style>@media only screen and (width <= 37.5em){.m{display:none}} @media (400px<width<2000px){.n{display:none}}</style><p class=m>a<p class=n>b", "a"),
+    ("<style>@media screen{@media print{.m{display:none}}}</style><p class=m>a", "a"),
+    ("<style>@supports not (display:grid){.m{display:none}} @supports (display:grid){.n{display:none}}</style><p class=m>a<p class=n>b", "a"),
+    ("<style>.a{color:red;.b{display:none} @media print{display:none}}</style><p class=b>b<p class=a>a", "b\n\na"),
+    ("<style>@import url(x.css);.a{display:none} .b::after{content:'}.c{display:none}'}</style><p class=a>a<p class=c>c", "c"),
+    ("<style>@keyframes k{from{visibility:hidden}} @media (no-such:1){p{display:none}}</style><from>a</from><p>b", "a\n\nb"),
+    ("<style media=print>p{display:none}</style><style media='screen, print'>b{display:none}</style><p>a<b>c</b>", "a"),
+    ("x<svg><title>no</title><defs><text>no</text></defs><rect width='5'/><g><text x=1>A <tspan>B</tspan></text></g>stray<text>C</text></svg>y", "x\nA B\nC\ny"),
+    ("<svg><path d=''/><tspan/><foreignObject><p>in</p></foreignObject><text visibility=hidden>no</text></svg><p>out", "in\n\nout"),
+    ("<svg><path d=''><p>out", "out"), ("<svg/><b>x</b><svg width=5/><text>t", "x\nt"),
+    ("a <math><semantics><mrow><mi>x</mi><mo>=</mo><mn>1</mn><mspace/></mrow><annotation>no</annotation></semantics><mphantom>no</mphantom></math> b", "a x=1 b"),
+    ("<math><mtable><mtr><mtd>1</mtd><mtd>2</mtd></mtr><mtr><mtd>3</mtd></mtr></mtable></math>", "1 2\n3"),
+    ("<map name=m><p>go <a href=x>there</a></p><area alt=no></map>", "go there"),
+])
+def test_extract_conditions_drawings_formulas_and_maps(html, text):
+    assert extract(html) == text
+
+
 def test_extract_deep_and_long():
     assert extract("<div>" * 5000 + "x" + "<span>" * 5000 + "y") .split() == ["xy"]
     assert extract("<p>a b " * 50_000).split() == ["a", "b"] * 50_000
