@@ -12,7 +12,8 @@ output: (1) every member is compared with the bucket's hub, the member whose buc
 buckets with a random member; (2) in buckets that still hold several components, members outside the bucket's main component
 are compared with a random member of it; (3) in buckets that still do, they are compared with the members of all other
 components, so that no candidate link between components is left out. Both their differences from the hub bound what
-two members can share; pairs that the bound rules out are not formed. Crowded buckets are first replaced by finer ones.
+two members can share; pairs that the bound rules out are not formed. Members of crowded buckets also meet in finer ones; step (3)
+takes the crowded buckets last, when the finer ones have joined most components.
 Before texts are read, pairs whose 8-bit sketches agree in less than ``LEAST_AGREEMENT`` of the coordinates go (over 5
 standard deviations below 0.8).
 
@@ -42,7 +43,7 @@ from panelspark.llm.components import connected_components
 SIZE, ROWS = 128, 4
 BANDS = SIZE // ROWS
 LEAST_AGREEMENT = 0.6
-CROWDED = 64  # members of a bucket beyond which it is replaced by finer ones
+CROWDED = 64  # members of a bucket beyond which they also meet in finer ones
 DRAWS = 8  # random orders by which larger buckets pick a member; one for each bucket would give as many pairs as buckets
 FEW = 8  # members up to which a bucket's hub alone is compared first
 _U = np.uint64
@@ -166,7 +167,7 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
 
 
 def _agreeing(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs (a, b, wide) whose marks agree often enough."""
+    """Pairs (a, b, wide) whose marks agree often enough, or that are wanted for their difference (wide = 2)."""
     m = nodes.select("node", "marks")
     both = (pairs.join(m.select(F.col("node").alias("a"), F.col("marks").alias("ma")), "a")
             .join(m.select(F.col("node").alias("b"), F.col("marks").alias("mb")), "b").select("a", "b", "ma", "mb", "wide"))
@@ -176,10 +177,10 @@ def _agreeing(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, SIZE) for k in (2, 3))
-            near = pa.array((x == y).sum(axis=1) >= least)
+            near = pa.array(((x == y).sum(axis=1) >= least) | (batch.column(4).to_numpy() == 2))
             yield pa.RecordBatch.from_arrays([batch.column(k).filter(near) for k in (0, 1, 4)], names=["a", "b", "wide"])
 
-    return map_rows(both, run, "a binary, b binary, wide boolean")
+    return map_rows(both, run, "a binary, b binary, wide int")
 
 
 def shingle_set(text: bytes | str | None, width: int) -> set[tuple[bytes, ...]]:
@@ -195,7 +196,7 @@ def jaccard_parts(a: bytes | str | None, b: bytes | str | None, width: int) -> t
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """(a, b, linked, delta) of pairs (a, b, wide): ``linked`` by the full sets; for wide pairs ``delta`` has the hashes of the
+    """(a, b, linked, delta) of pairs (a, b, wide): ``linked`` by the full sets; for wide pairs (1 or 2) ``delta`` has the hashes of the
     shingles that one of the two lacks. Each text comes to its pairs by two joins, on either end."""
     rows = (pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
             .join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb", "wide"))
@@ -227,11 +228,11 @@ def _distances(checked: DataFrame, hubs: DataFrame) -> DataFrame:
 
 
 def _memberships(nodes: DataFrame) -> DataFrame:
-    """(bucket, node, n, c): who shares a bucket with whom; c: members of the bucket.
+    """(bucket, node, n, c, crowded): who shares a bucket with whom; c: members of the bucket.
 
-    A bucket of over ``CROWDED`` members (texts that share one common passage, say) is replaced by buckets of two
-    bands, the band and one of the next three: a pair at the threshold meets in one of these 96 with all but 2e-8 probability, while
-    texts with little in common part."""
+    A bucket of over ``CROWDED`` members (texts that share one common passage, say) stays, marked ``crowded``, and its members also meet in
+    buckets of two bands, the band and one of the next three. These part texts with little in common, so most links are found there
+    before the members of the crowded bucket are compared; they replace nothing."""
     def counted(m: DataFrame) -> DataFrame:
         return m.join(m.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1"), "bucket")
 
@@ -243,7 +244,7 @@ def _memberships(nodes: DataFrame) -> DataFrame:
         lambda y: F.xxhash64(x["band"], x["bucket"], y["band"], y["bucket"]))))
     fine = counted(crowded.select("node", "n", F.explode(two).alias("bucket")))
     cols = ["bucket", "node", "n", "c"]
-    return step(m.where(F.col("c") <= CROWDED).select(*cols).unionByName(fine.select(*cols)))
+    return step(m.select(*cols, (F.col("c") > CROWDED).alias("crowded")).unionByName(fine.select(*cols, F.lit(False).alias("crowded"))))
 
 
 def _texts(docs: DataFrame, nodes: DataFrame, m: DataFrame) -> DataFrame:
@@ -268,7 +269,7 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80) -> Da
     close = (F.col("n") * 100 >= F.col("n_other") * percent) & (F.col("n_other") * 100 >= F.col("n") * percent)
 
     def pairs_of(df: DataFrame) -> DataFrame:
-        return (df.where((F.col("node") != F.col("other")) & close)
+        return (df.where((F.col("node") != F.col("other")) & (close | (F.col("wide") == 2)))
                 .groupBy(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).agg(F.max("wide").alias("wide")))
 
     def check(pairs: DataFrame) -> DataFrame:
@@ -280,18 +281,20 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80) -> Da
         F.max(F.struct("score", "node", "n")).alias("hub"),
         F.max(F.when(F.col("c") > FEW, F.struct(F.xxhash64("node", F.pmod("bucket", F.lit(DRAWS))).alias("score"), "node", "n"))).alias("any")))
     hubs = picks.select("bucket", F.col("hub.node").alias("hub"))
-    one = picks.select("bucket", F.inline(F.array_compact(F.array("hub", "any")))).select(
-        "bucket", F.col("node").alias("other"), F.col("n").alias("n_other"))
-    tested = step(pairs_of(m.join(one, "bucket").withColumn("wide", F.col("c") > FEW)))
+    one = picks.select("bucket", F.col("hub.node").alias("hub"), F.inline(F.array_compact(F.array("hub", "any")))).select(
+        "bucket", "hub", F.col("node").alias("other"), F.col("n").alias("n_other"))
+    # in crowded buckets every member's difference from the hub is taken, since the bound of step (3) needs it
+    wide = F.when(F.col("crowded") & (F.col("other") == F.col("hub")), 2).when(F.col("c") > FEW, 1).otherwise(0)
+    tested = step(pairs_of(m.join(one, "bucket").withColumn("wide", wide)))
     texts = _texts(docs, nodes, m)
     checked = check(tested)
     found = step(connected_components(checked.where("linked").select("a", "b")))
     # Buckets that still hold several components, each with its main one.
     away = step(_distances(checked, hubs))
 
-    def mixed_buckets() -> tuple[DataFrame, DataFrame]:
+    def mixed_buckets(which: str = "true") -> tuple[DataFrame, DataFrame]:
         """(members of mixed buckets, those outside the main component of their bucket)."""
-        c = m.where("c > 2").join(found, "node", "left").select("bucket", "node", "n", F.coalesce("component", "node").alias("component"))
+        c = m.where("c > 2").where(which).join(found, "node", "left").select("bucket", "node", "n", F.coalesce("component", "node").alias("component"))
         sizes = c.groupBy("bucket", "component").agg(F.count("*").alias("k")).groupBy("bucket").agg(
             F.max(F.struct("k", "component"))["component"].alias("main"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
         members = step(c.join(sizes, "bucket"))
@@ -312,10 +315,12 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80) -> Da
         pick = members.where("component = main").groupBy("bucket").agg(
             F.max(F.struct(F.xxhash64("node", "bucket").alias("h"), "node", "n")).alias("p")).select(
             "bucket", F.col("p.node").alias("other"), F.col("p.n").alias("n_other"))
-        settle(pairs_of(aside.join(pick, "bucket").withColumn("wide", F.lit(False))))
-        # (3) what is still outside against all other components
-        members, aside = mixed_buckets()
-    if not aside.isEmpty():
+        settle(pairs_of(aside.join(pick, "bucket").withColumn("wide", F.lit(0))))
+    # (3) what is still outside against all other components, crowded buckets last
+    for which in ("not crowded", "crowded"):
+        members, aside = mixed_buckets(which)
+        if aside.isEmpty():
+            continue
         # What two nodes differ by is what tells either from the hub, less what tells both from it, and that
         # is no more than either has in common with anyone. The bound is a sum of two, so most members
         # of a bucket fall to the least demand of its outsiders before any pair is formed.
@@ -331,7 +336,7 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80) -> Da
         against = against.join(least, "bucket").where(F.col("offer").isNull() | (F.col("offer") >= F.col("least"))).drop("least")
         own = fit * F.col("n") - far * (F.col("d") - 2 * F.col("q"))
         possible = F.coalesce((F.col("offer") >= F.col("demand")) & (own >= far * F.col("d_other") - fit * F.col("n_other")), F.lit(True))
-        settle(pairs_of(aside.join(against, "bucket").where((F.col("component") != F.col("c_other")) & close & possible).withColumn("wide", F.lit(False))))
+        settle(pairs_of(aside.join(against, "bucket").where((F.col("component") != F.col("c_other")) & close & possible).withColumn("wide", F.lit(0))))
 
     label = (nodes.join(found, "node", "left").select("node", "first_id", F.coalesce("component", "node").alias("component")))
     named = label.join(label.groupBy("component").agg(F.min("first_id").alias("component_id")), "component").select("node", "component_id")

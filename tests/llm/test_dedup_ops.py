@@ -99,6 +99,30 @@ def test_near_duplicates_real_texts(spark, width):
     check(spark, rows, width)
 
 
+def test_crowded_buckets_keep_their_members(spark):
+    nodes = spark.createDataFrame([(bytes([k]), 9, [5, 1000 + k, 2000 + k % 2]) for k in range(140)], "node binary, n long, buckets array<long>")
+    m = minhash._memberships(nodes).collect()
+    assert {r["node"] for r in m if r["bucket"] == 5 and r["c"] == 140 and r["crowded"]} == {bytes([k]) for k in range(140)}
+    assert sum(r["bucket"] in (2000, 2001) for r in m) == 140 and not any(1000 <= r["bucket"] < 2000 for r in m)
+
+
+def test_links_in_a_crowded_bucket_without_finer_ones(spark, monkeypatch):
+    real = minhash.sketches
+    monkeypatch.setattr(minhash, "sketches", lambda docs, width: real(docs, width).withColumn(
+        "buckets", F.when(F.col("key").isNotNull(), F.array(F.lit(7).cast("long")))))
+    monkeypatch.setattr(minhash, "CROWDED", 16)
+    rnd = random.Random(8)
+    rows = []
+    for g in range(12):
+        words = ["common"] * 3 + [f"w{rnd.randrange(10**6)}" for _ in range(60 + 9 * g)]
+        for _ in range(4):
+            at = rnd.randrange(3, len(words))
+            words = words[:at] + [f"v{rnd.randrange(10**6)}"] + words[at + 1:]
+            rows.append((len(rows), " ".join(words)))
+    check(spark, rows)
+    assert len({c for _, _, c in brute_components(rows, 2, 80)}) < len(rows)
+
+
 def test_near_duplicates_edges(spark):
     rows = [(1, None), (2, ""), (3, " \t\n"), (4, "a"), (5, "A"), (6, "a b"), (7, "a  b\n"), (7, "a  b\n"), (8, "b a"), (9, "é Ab"), (10, "É ab"),
             (None, "a b"), (None, "lonely text here"), (11, "x " * 30_000), (12, "x x"), (13, "w1 w2 w3 w4 w5 w6"), (13, "other text"), (0, "other text")]
