@@ -116,5 +116,8 @@ def loss_text(segments: Column) -> Column:
 
 
 def events_of(conversations: DataFrame) -> DataFrame:
-    """A finished conversation table as a log: each row is one delta, in turn order."""
-    return conversations.select("conv_id", F.col("turn").alias("seq"), "turn", F.lit("delta").alias("kind"), "role", "text")
+    """A finished conversation table as a log: each row is one delta and a message of its own, numbered in the order of turn (null
+    turns last, as in SQL), role, text."""
+    order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_last(), F.coalesce("role", F.lit("")), F.coalesce("text", F.lit("")))
+    number = F.row_number().over(order)
+    return conversations.select("conv_id", number.alias("seq"), number.alias("turn"), F.lit("delta").alias("kind"), "role", "text")

@@ -1,5 +1,6 @@
 """Quality rules, secret scans, URL reputation and chat formatting against brute force, with edge cases."""
 
+import hashlib
 import re
 from collections import Counter, defaultdict
 
@@ -316,6 +317,21 @@ def test_render_reads_back(spark, drawn):
     assert "".join(s["chunk"] for s in r["segments"]) == r["formatted"] and r["formatted"].count(chat_log.START) == len(rows)
 
 
+def test_chat_query_on_repeated_and_null_turns(spark, tmp_path):
+    rows = [(1, 0, "user", "hi"), (1, 1, "user", "b"), (1, 1, "assistant", "a <|x"), (1, 1, "assistant", "a <|x"), (1, None, "user", "late"),
+            (1, None, "assistant", None), (2, None, None, "only"), (2, 3, "user", "first"), (None, 1, "user", "n"), (None, 1, "assistant", "m")]
+    root = str(tmp_path / "in")
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{root}/conversations.parquet")
+    got = {r["conv_id"]: r for r in QUERIES["op7_chat_format"](spark, root).collect()}
+    assert set(got) == {1, 2, None, -1}
+    for c in (1, 2, None):
+        own = sorted((t is None, t or 0, role or "", text or "") for d, t, role, text in rows if d == c)
+        said = [x[3] for x in own if x[2] == "assistant"]
+        assert got[c]["n_turns"] == len(own) and got[c]["loss_chars"] == sum(map(len, said))
+        assert got[c]["turns_sha256"] == hashlib.sha256("".join(f"{x[2]}\n{x[3]}\n" for x in own).encode()).hexdigest()
+        assert got[c]["loss_sha256"] == hashlib.sha256("".join(said).encode()).hexdigest()
+
+
 @pytest.mark.parametrize("name", ["op4_secret_scan", "op6_url_reputation", "op7_chat_format"])
 def test_queries_match_oracle(spark, name):
     from tests.oracle_harness import compare
