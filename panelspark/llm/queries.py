@@ -5,7 +5,7 @@ from __future__ import annotations
 import corpus_pipeline
 from pyspark.sql import functions as F
 
-from panelspark.llm import chat_log, quality, queries_dedup, queries_text, queries_vectors, secret_scan, url_reputation  # noqa: F401
+from panelspark.llm import chat_log, quality, queries_dedup, queries_text, queries_trie, queries_vectors, secret_scan, url_reputation  # noqa: F401
 from panelspark.llm.common import cut_lineage, documents, read_table
 from panelspark.registry import query
 
