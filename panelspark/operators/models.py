@@ -18,11 +18,15 @@ from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.evaluation import RegressionEvaluator
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import (DecisionTreeRegressor, GBTRegressor, LinearRegression,
                                    RandomForestRegressor)
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelspark.operators import linear_search
+from panelspark.operators.moments import MAX_FEATURES, fold_moments
+
 # Search grids under the reference's parameter names, as far as Spark has the parameter. Without an
 # equivalent, and therefore not in the grids: min_samples_split and criterion (trees), num_leaves, reg_alpha and
 # reg_lambda (leaf-wise growth and leaf penalties), l2_leaf_reg. min_child_weight is the least row count of a
@@ -146,11 +150,19 @@ def grid_search(spark: SparkSession, data: DataFrame, algo: str, grid: dict, lab
     always in training (X5 predefined split: train = -1, validation = 0); with
     folds 0..k-1 only, it is k-fold CV (X4). A setting without a Spark equivalent scores NaN.
     Returns one row per setting: params, mean_train_score, mean_test_score, rank.
-    ``parallelism`` settings are fitted concurrently (each fit is a distributed
-    job; the driver threads only submit them), like ``CrossValidator``.
+    Linear algorithms with up to ``MAX_FEATURES`` features are solved from the folds' moments: the data
+    are read once for all settings. Others are fitted setting by setting, ``parallelism`` of them
+    concurrently (each fit is a distributed job; the driver threads only submit them).
     """
-    stats = label_stats(data, label)
+    items = list(enumerate(settings(grid, n_random, seed)))
+    if algo in linear_search.ALGORITHMS:
+        width = data.where(F.col(features).isNotNull()).select(F.size(vector_to_array(features))).first()
+        if width is None or width[0] <= MAX_FEATURES:
+            found = linear_search.search(algo, [p for _, p in items], fold_moments(data, features, label, fold_col))
+            return _ranked(spark, [(i, json.dumps(p, sort_keys=True), tr, te) for (i, p), (tr, te) in zip(items, found)])
     folds = sorted(r[0] for r in data.select(fold_col).distinct().collect() if r[0] is not None and r[0] >= 0)
+    # a penalty refers to the rows that are trained on
+    stats = {k: label_stats(data.filter(F.col(fold_col) != k), label) for k in folds}
 
     def evaluate(item):
         i, p = item
@@ -159,7 +171,7 @@ def grid_search(spark: SparkSession, data: DataFrame, algo: str, grid: dict, lab
             for k in folds:
                 train = data.filter(F.col(fold_col) != k)
                 test = data.filter(F.col(fold_col) == k)
-                m = build_estimator(algo, p, stats, features, label, seed).fit(train)
+                m = build_estimator(algo, p, stats[k], features, label, seed).fit(train)
                 tr_scores.append(-_mse(m.transform(train), label))
                 te_scores.append(-_mse(m.transform(test), label))
         except UnsupportedSetting:  # scores NaN and ranks last; every other failure is raised
@@ -167,13 +179,16 @@ def grid_search(spark: SparkSession, data: DataFrame, algo: str, grid: dict, lab
         return (i, json.dumps(p, sort_keys=True), float(sum(tr_scores) / len(tr_scores)),
                 float(sum(te_scores) / len(te_scores)))
 
-    items = list(enumerate(settings(grid, n_random, seed)))
     if parallelism > 1:
         from concurrent.futures import ThreadPoolExecutor
         with ThreadPoolExecutor(max_workers=parallelism) as pool:
             rows = list(pool.map(evaluate, items))
     else:
         rows = [evaluate(it) for it in items]
+    return _ranked(spark, rows)
+
+
+def _ranked(spark: SparkSession, rows: list[tuple]) -> DataFrame:
     # rank over the result rows (one per setting, already on the driver); NaN ranks last
     order = sorted(rows, key=lambda r: (math.isnan(r[3]), -r[3] if not math.isnan(r[3]) else 0.0, r[0]))
     rank = {r[0]: k + 1 for k, r in enumerate(order)}

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelspark.functions.expr import safe_corr
+from panelspark.operators import moments
 from panelspark.operators.quantiles import quantile_array
 
 QUARTILES = (0.25, 0.5, 0.75)
@@ -79,10 +80,8 @@ def distinct_profile(df: DataFrame, cols: Sequence[str], approx: bool = False) -
     pairs grouped once (partial aggregation before the shuffle), so no single
     task holds a set of all values. ``approx=True`` uses HyperLogLog++.
     """
-    if approx:
-        agg = df.agg(*[F.approx_count_distinct(c).alias(f"d__{i}") for i, c in enumerate(cols)])
-        return agg.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"d__{i}").alias("n_distinct"))
-                                             for i, c in enumerate(cols)])))
+    if approx:  # one sketch per group: a sketch per column would be thousands of slots in one plan
+        return melt(df, [], cols).groupBy("column").agg(F.approx_count_distinct("value").alias("n_distinct"))
     long = melt(df, [], cols).filter(F.col("value").isNotNull())
     pairs = long.select("column", "value").distinct()
     return pairs.groupBy("column").agg(F.count(F.lit(1)).alias("n_distinct"))
@@ -170,15 +169,11 @@ def target_by_bin(df: DataFrame, c: str, target: str) -> DataFrame:
 
 
 def corr_matrix(df: DataFrame, cols: Sequence[str], digits: int | None = 6) -> DataFrame:
-    """Pearson correlation of every column pair (pairwise-complete rows), one ``agg``.
+    """Pearson correlation of every column pair (pairwise-complete rows) from co-moment matrices.
 
-    Each unordered pair is aggregated once; null where a column is constant."""
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
-    agg = df.agg(*[safe_corr(a, b).alias(f"c__{i}") for i, (a, b) in enumerate(pairs)])
-    r = (lambda x: F.round(x, digits)) if digits is not None else (lambda x: x)
-    return agg.select(F.inline(F.array(*[
-        F.struct(F.lit(x).alias("a"), F.lit(y).alias("b"), r(F.col(f"c__{i}")).alias("corr"))
-        for i, (a, b) in enumerate(pairs) for x, y in dict.fromkeys([(a, b), (b, a)])])))
+    Null where a column is constant."""
+    r = F.round("corr", digits) if digits is not None else F.col("corr")
+    return moments.correlations(df, cols).select("a", "b", r.alias("corr"))
 
 
 def corr_topk(df: DataFrame, cols: Sequence[str], target: str, k: int = 20, digits: int | None = 6) -> DataFrame:

@@ -275,6 +275,35 @@ def q_cv_search(spark, root):
     return M.grid_search(spark, d, "linear", M.GRIDS["linear"], n_random=None, fold_col="fold")
 
 
+# one feature: every fold's coefficient and squared error from sums over the other folds
+_SEARCH_SQL = """
+with d as (select l_quantity as x, l_extendedprice / 1000.0 as y,
+    cast(('0x' || substr(md5(concat_ws('|', '43', cast(l_orderkey as varchar), cast(l_linenumber as varchar), cast(l_partkey as varchar),
+    cast(l_suppkey as varchar))), 1, 8)) as bigint) % 10000 % 5 as fold from lineitem where l_quantity is not null and l_extendedprice is not null),
+k as (select distinct fold as k from d),
+t as (select k, avg(x) as mx, avg(y) as my, regr_sxx(y, x) as sxx, regr_sxy(y, x) as sxy, count(*) as n from d, k where fold <> k group by k),
+g(algorithm, setting, alpha) as (values ('ridge', 0, 0.001), ('ridge', 1, 50000.0), ('ridge', 2, 5000000.0), ('lasso', 0, 0.01), ('lasso', 1, 40.0), ('linear', 0, 0.0)),
+w as (select g.*, k, mx, my, case algorithm when 'lasso' then sign(sxy) * greatest(abs(sxy / n) - alpha, 0) / (sxx / n) else sxy / (sxx + alpha) end as w from t, g),
+e as (select algorithm, setting, w.k, avg(pow(y - (my - w * mx) - w * x, 2)) filter (fold <> w.k) as tr, avg(pow(y - (my - w * mx) - w * x, 2)) filter (fold = w.k) as te
+      from d, w group by algorithm, setting, w.k)
+select algorithm, cast(setting as integer) as setting, round(avg(-tr), 5) as train_score, round(avg(-te), 5) as test_score from e group by algorithm, setting"""
+
+
+@query("search_closed_form", _SEARCH_SQL)
+def q_search_closed_form(spark, root):
+    """M1-M3 inside the search (X4): scores of five hash folds against each fold's closed form."""
+    d = read_table(spark, root, "lineitem").where("l_quantity is not null and l_extendedprice is not null").select(
+        array_to_vector(F.array("l_quantity")).alias("features"), (F.col("l_extendedprice") / 1000.0).alias("label"),
+        X.fold_column(KEY, 5, seed=42).alias("fold"))
+    grids = {"ridge": {"alpha": [0.001, 50_000.0, 5_000_000.0]}, "lasso": {"alpha": [0.01, 40.0], "max_iter": [1000]}, "linear": {"fit_intercept": [True]}}
+    out = None
+    for algo, grid in grids.items():
+        got = M.grid_search(spark, d, algo, grid, n_random=None).select(
+            F.lit(algo).alias("algorithm"), "setting", F.round("mean_train_score", 5).alias("train_score"), F.round("mean_test_score", 5).alias("test_score"))
+        out = got if out is None else out.unionByName(got)
+    return out
+
+
 @query("guarded_choice")
 def q_guarded_choice(spark, root):
     d = _search_input(spark, root).filter(F.col("split").isin("train", "val"))
