@@ -11,9 +11,9 @@ Links are confirmed on the full sets. Only the components of the link graph are
 output: (1) every member is compared with the bucket's hub, the member whose buckets are largest, and in larger
 buckets with a random member; (2) in buckets that still hold several components, members outside the bucket's main component
 are compared with a random member of it; (3) in buckets that still do, they are compared with the members of all other
-components, so that no candidate link between components is left out. Both their differences from the hub bound what
-two members can share; pairs that the bound rules out are not formed. Members of crowded buckets also meet in finer ones; step (3)
-takes the crowded buckets last, when the finer ones have joined most components.
+components, so that no candidate link between components is left out. Members of crowded buckets also meet in finer ones; step (3)
+takes the crowded buckets last, when the finer ones have joined most components, and there joins members on the rarest of the
+shingles that tell them from the hub: a prefix filter that forms no pair by the bucket alone and loses none that can link.
 Before texts are read, pairs whose 8-bit sketches agree in less than ``LEAST_AGREEMENT`` of the coordinates go (over 5
 standard deviations below 0.8).
 
@@ -45,6 +45,8 @@ BANDS = SIZE // ROWS
 LEAST_AGREEMENT = 0.6
 CROWDED = 64  # members of a bucket beyond which they also meet in finer ones
 DRAWS = 8  # random orders by which larger buckets pick a member; one for each bucket would give as many pairs as buckets
+OUT_ROWS = 1_000  # sketches in a result batch
+OUT_HASHES = 250_000  # hashes of differences in a result batch
 FEW = 8  # members up to which a bucket's hub alone is compared first
 _U = np.uint64
 
@@ -146,21 +148,24 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, sizes, marks, buckets = [], [], [], []
-            for t in batch.column(1).cast(pa.binary()).to_pylist():
-                h = word_hashes(t)
-                if not len(h):
-                    keys.append(None), sizes.append(0), marks.append(None), buckets.append(None)
-                    continue
-                s = shingles(h, width)
-                c = sketch(s)
-                keys.append(md5(b" ".join(words_of(t)), usedforsecurity=False).digest())
-                sizes.append(len(s))
-                marks.append(marks_of(c))
-                buckets.append(buckets_of(c))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(marks, pa.binary()),
-                 pa.array(buckets, pa.list_(pa.int64()))], names=["doc_id", "key", "n_shingles", "marks", "buckets"])
+            texts = batch.column(1).cast(pa.binary())
+            for at in range(0, batch.num_rows, OUT_ROWS):  # one text at a time; few results wait for their batch
+                keys, sizes, marks, buckets = [], [], [], []
+                for k in range(at, min(at + OUT_ROWS, batch.num_rows)):
+                    t = texts[k].as_py()
+                    h = word_hashes(t)
+                    if not len(h):
+                        keys.append(None), sizes.append(0), marks.append(None), buckets.append(None)
+                        continue
+                    s = shingles(h, width)
+                    c = sketch(s)
+                    keys.append(md5(b" ".join(words_of(t)), usedforsecurity=False).digest())
+                    sizes.append(len(s))
+                    marks.append(marks_of(c))
+                    buckets.append(buckets_of(c))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(at, len(keys)), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(marks, pa.binary()),
+                     pa.array(buckets, pa.list_(pa.int64()))], names=["doc_id", "key", "n_shingles", "marks", "buckets"])
 
     kind = src.schema["doc_id"].dataType.simpleString()
     return map_rows(src, run, f"doc_id {kind}, key binary, n_shingles long, marks binary, buckets array<long>")
@@ -203,35 +208,85 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            linked, delta = [], []
-            for x, y, wide in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4))):
+            start, held, linked, delta = 0, 0, [], []
+            for k in range(batch.num_rows):
+                x, y, wide = (batch.column(c)[k].as_py() for c in (2, 3, 4))
                 both, either = jaccard_parts(x, y, width)
                 linked.append(100 * both >= percent * either)
                 delta.append(np.setxor1d(shingles(word_hashes(x), width), shingles(word_hashes(y), width), assume_unique=True).view(np.int64)
                              if wide else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_()), pa.array(delta, pa.list_(pa.int64()))],
-                                             names=["a", "b", "linked", "delta"])
+                held += 1 + (len(delta[-1]) if wide else 0)
+                if held >= OUT_HASHES or k == batch.num_rows - 1:
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(0)[start:k + 1], batch.column(1)[start:k + 1], pa.array(linked, pa.bool_()), pa.array(delta, pa.list_(pa.int64()))],
+                        names=["a", "b", "linked", "delta"])
+                    start, held, linked, delta = k + 1, 0, [], []
 
     return map_rows(rows, run, "a binary, b binary, linked boolean, delta array<long>")
 
 
 def _distances(checked: DataFrame, hubs: DataFrame) -> DataFrame:
-    """(hub, node, d, q): how many shingles tell a node from its hub, and how many of these tell another node from that hub, too."""
+    """(hub, node, d, q, own): the shingles that tell a node from its hub, rarest among the hub's nodes first; how many they are, and how many of
+    them tell another node from that hub, too."""
     wide = checked.where("delta is not null")
     either = wide.select(F.col("a").alias("hub"), F.col("b").alias("node"), "delta").unionByName(
         wide.select(F.col("b").alias("hub"), F.col("a").alias("node"), "delta")).join(hubs.select("hub").distinct(), "hub", "left_semi")
     each = either.select("hub", "node", F.explode("delta").alias("e"))
-    common = each.groupBy("hub", "e").agg(F.count("*").alias("k")).where("k > 1").drop("k")
-    q = each.join(common, ["hub", "e"]).groupBy("hub", "node").agg(F.count("*").alias("q"))
-    return (either.select("hub", "node", F.size("delta").alias("d")).join(q, ["hub", "node"], "left")
-            .select("hub", "node", "d", F.coalesce("q", F.lit(0)).alias("q")))
+    counted = each.join(each.groupBy("hub", "e").agg(F.count("*").alias("k")), ["hub", "e"])
+    own = counted.groupBy("hub", "node").agg(F.sort_array(F.collect_list(F.struct("k", "e"))).alias("own"))  # no longer than two texts
+    none = F.array().cast("array<struct<k:bigint,e:bigint>>")
+    return (either.select("hub", "node", F.size("delta").alias("d")).join(own, ["hub", "node"], "left")
+            .withColumn("own", F.coalesce("own", none))
+            .select("hub", "node", "d", F.size(F.filter("own", lambda x: x["k"] > 1)).alias("q"), F.col("own.e").alias("own")))
+
+
+def _possible_pairs(members: DataFrame, aside: DataFrame, hubs: DataFrame, away: DataFrame, percent: int) -> DataFrame:
+    """(node, n, other, n_other) of crowded buckets that may link, for members outside their bucket's main component.
+
+    Two members differ by what tells either from the hub, less twice what tells both from it. With the excess of a member (far times its
+    difference from the hub less fit times its size), a link needs that the two share (sum of the excesses) / 2 far of their
+    differences. Pairs that need none link for sure, and all of them with the member of least excess, so that one member is enough.
+    All others share one of their rarest differences: prefixes that leave out the shared number less one are joined. Excesses
+    fall into classes, so that a prefix is no longer than the other side's class asks for."""
+    far, fit = 100 + percent, 100 - percent
+    at = hubs.join(members.select("bucket").distinct(), "bucket", "left_semi")
+    outside = aside.select("bucket", "node").join(at, "bucket").select("hub", "node").distinct().withColumn("out", F.lit(True))
+    every = (members.select("bucket", "node", "n", "component").join(at, "bucket").select("hub", "node", "n", "component").distinct()
+             .join(away.select("hub", "node", "d", "own"), ["hub", "node"]).join(outside, ["hub", "node"], "left"))
+    excess = F.col("d") * far - F.col("n") * fit
+    level = F.when(F.col("excess") <= 0, 0).otherwise(1 + F.floor(F.log2(F.col("excess") / far + 1)).cast("int"))
+    every = step(every.select("hub", "node", "n", "component", "d", "own", F.coalesce("out", F.lit(False)).alias("out"), excess.alias("excess"))
+                 .withColumn("level", level))
+    least = every.groupBy("hub").agg(F.min(F.struct("excess", "node", "n", "component")).alias("low"))
+    sure = (every.where("out").join(least, "hub").where((F.col("excess") + F.col("low.excess") <= 0) & (F.col("component") != F.col("low.component")))
+            .select("node", "n", F.col("low.node").alias("other"), F.col("low.n").alias("n_other")))
+    # the other member of such a pair may be the one outside
+    sure = sure.unionByName(every.where("not out").join(least, "hub").join(every.where("out").select("hub").distinct(), "hub", "left_semi")
+                            .where((F.col("excess") + F.col("low.excess") <= 0) & (F.col("component") != F.col("low.component")))
+                            .select("node", "n", F.col("low.node").alias("other"), F.col("low.n").alias("n_other")))
+
+    def prefixes(side: DataFrame, against: DataFrame, mine: str, theirs: str) -> DataFrame:
+        levels = against.groupBy("hub", F.col("level").alias(theirs)).agg(F.min("excess").alias("low"))
+        need = F.greatest(F.ceil((F.col("excess") + F.col("low")) / (2 * far)), F.lit(1)).cast("int")
+        return (side.withColumnRenamed("level", mine).join(levels, "hub").withColumn("keep", F.col("d") - need + 1).where("keep > 0")
+                .select("hub", mine, theirs, "node", "component", F.explode(F.slice("own", F.lit(1), F.col("keep"))).alias("e")))
+
+    x = prefixes(every.where("out"), every, "lx", "ly")
+    y = prefixes(every, every.where("out"), "ly", "lx").withColumnRenamed("node", "other").withColumnRenamed("component", "c_other")
+    met = (x.join(y, ["hub", "lx", "ly", "e"]).where("component != c_other").select("hub", "node", "other").distinct())
+    facts = every.select("hub", "node", "n", "own", "excess")
+    both = (met.join(facts, ["hub", "node"])
+            .join(facts.select("hub", F.col("node").alias("other"), F.col("n").alias("n_other"), F.col("own").alias("own_other"),
+                               F.col("excess").alias("excess_other")), ["hub", "other"]))
+    shared = F.size(F.array_intersect("own", "own_other"))
+    return sure.unionByName(both.where(shared * (2 * far) >= F.col("excess") + F.col("excess_other")).select("node", "n", "other", "n_other"))
 
 
 def _memberships(nodes: DataFrame) -> DataFrame:
-    """(bucket, node, n, c, crowded): who shares a bucket with whom; c: members of the bucket.
+    """(bucket, node, n, c, crowded, fine): who shares a bucket with whom; c: members of the bucket.
 
     A bucket of over ``CROWDED`` members (texts that share one common passage, say) stays, marked ``crowded``, and its members also meet in
-    buckets of two bands, the band and one of the next three. These part texts with little in common, so most links are found there
+    buckets of two bands, the band and one of the next three, marked ``fine``. These part texts with little in common, so most links are found there
     before the members of the crowded bucket are compared; they replace nothing."""
     def counted(m: DataFrame) -> DataFrame:
         return m.join(m.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1"), "bucket")
@@ -244,7 +299,8 @@ def _memberships(nodes: DataFrame) -> DataFrame:
         lambda y: F.xxhash64(x["band"], x["bucket"], y["band"], y["bucket"]))))
     fine = counted(crowded.select("node", "n", F.explode(two).alias("bucket")))
     cols = ["bucket", "node", "n", "c"]
-    return step(m.select(*cols, (F.col("c") > CROWDED).alias("crowded")).unionByName(fine.select(*cols, F.lit(False).alias("crowded"))))
+    return step(m.select(*cols, (F.col("c") > CROWDED).alias("crowded"), F.lit(False).alias("fine")).unionByName(
+        fine.select(*cols, F.lit(False).alias("crowded"), F.lit(True).alias("fine"))))
 
 
 def _texts(docs: DataFrame, nodes: DataFrame, m: DataFrame) -> DataFrame:
@@ -284,7 +340,8 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80) -> Da
     one = picks.select("bucket", F.col("hub.node").alias("hub"), F.inline(F.array_compact(F.array("hub", "any")))).select(
         "bucket", "hub", F.col("node").alias("other"), F.col("n").alias("n_other"))
     # in crowded buckets every member's difference from the hub is taken, since the bound of step (3) needs it
-    wide = F.when(F.col("crowded") & (F.col("other") == F.col("hub")), 2).when(F.col("c") > FEW, 1).otherwise(0)
+    wide = (F.when(F.col("crowded") & (F.col("other") == F.col("hub")), 2)
+            .when(~F.col("crowded") & ~F.col("fine") & (F.col("c") > FEW), 1).otherwise(0))
     tested = step(pairs_of(m.join(one, "bucket").withColumn("wide", wide)))
     texts = _texts(docs, nodes, m)
     checked = check(tested)
@@ -317,26 +374,26 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80) -> Da
             "bucket", F.col("p.node").alias("other"), F.col("p.n").alias("n_other"))
         settle(pairs_of(aside.join(pick, "bucket").withColumn("wide", F.lit(0))))
     # (3) what is still outside against all other components, crowded buckets last
-    for which in ("not crowded", "crowded"):
-        members, aside = mixed_buckets(which)
-        if aside.isEmpty():
-            continue
+    members, aside = mixed_buckets("not crowded and not fine")
+    if not aside.isEmpty():
         # What two nodes differ by is what tells either from the hub, less what tells both from it, and that
-        # is no more than either has in common with anyone. The bound is a sum of two, so most members
-        # of a bucket fall to the least demand of its outsiders before any pair is formed.
-        def known(df: DataFrame) -> DataFrame:
-            return df.join(hubs, "bucket").join(away, ["hub", "node"], "left")
-
+        # is no more than either has in common with anyone.
         far, fit = F.lit(100 + percent), F.lit(100 - percent)
-        aside = known(aside).select("bucket", "node", "n", "component", "d", "q", (far * F.col("d") - fit * F.col("n")).alias("demand"))
-        against = known(members).select(
-            "bucket", F.col("node").alias("other"), F.col("n").alias("n_other"), F.col("component").alias("c_other"), F.col("d").alias("d_other"),
-            (fit * F.col("n") - far * (F.col("d") - 2 * F.col("q"))).alias("offer"))
-        least = aside.groupBy("bucket").agg(F.min(F.coalesce("demand", F.lit(-(1 << 60)))).alias("least"))
-        against = against.join(least, "bucket").where(F.col("offer").isNull() | (F.col("offer") >= F.col("least"))).drop("least")
         own = fit * F.col("n") - far * (F.col("d") - 2 * F.col("q"))
-        possible = F.coalesce((F.col("offer") >= F.col("demand")) & (own >= far * F.col("d_other") - fit * F.col("n_other")), F.lit(True))
-        settle(pairs_of(aside.join(against, "bucket").where((F.col("component") != F.col("c_other")) & close & possible).withColumn("wide", F.lit(0))))
+        demand = far * F.col("d") - fit * F.col("n")
+
+        def known(df: DataFrame) -> DataFrame:
+            return df.join(hubs, "bucket").join(away.drop("own"), ["hub", "node"], "left").select(
+                "bucket", "node", "n", "component", own.alias("offer"), demand.alias("demand"))
+
+        against = known(members).select("bucket", *[F.col(c).alias(d) for c, d in (
+            ("node", "other"), ("n", "n_other"), ("component", "c_other"), ("offer", "offer_other"), ("demand", "demand_other"))])
+        possible = F.coalesce((F.col("offer_other") >= F.col("demand")) & (F.col("offer") >= F.col("demand_other")), F.lit(True))
+        settle(pairs_of(known(aside).join(against, "bucket").where((F.col("component") != F.col("c_other")) & close & possible).withColumn("wide", F.lit(0))))
+    # pairs of a fine bucket are pairs of a crowded one, too
+    members, aside = mixed_buckets("crowded")
+    if not aside.isEmpty():
+        settle(pairs_of(_possible_pairs(members, aside, hubs, away, percent).withColumn("wide", F.lit(0))))
 
     label = (nodes.join(found, "node", "left").select("node", "first_id", F.coalesce("component", "node").alias("component")))
     named = label.join(label.groupBy("component").agg(F.min("first_id").alias("component_id")), "component").select("node", "component_id")
