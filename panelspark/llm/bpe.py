@@ -20,7 +20,6 @@ import json
 import re
 import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
 
 import ahocorasick
 import pyarrow as pa
@@ -28,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelspark.llm.common import map_rows
+from panelspark.llm.common import map_rows, worker_table
 
 CACHE_WORDS = 300_000  # per worker, in each of two generations
 OUT_BYTES = 16 << 20  # of ids and text in a result batch
@@ -185,7 +184,7 @@ class PrefixTokenizer:
         return " ".join(self.token[i] for i in ids if i in self.token)
 
 
-@lru_cache(maxsize=2)
+@worker_table
 def _tokenizer(spec: str) -> PrefixTokenizer:
     return PrefixTokenizer(spec)
 

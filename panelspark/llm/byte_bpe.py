@@ -23,7 +23,6 @@ import heapq
 import re
 import uuid
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +30,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelspark.llm.common import map_rows, step, text_or_empty
+from panelspark.llm.common import map_rows, step, text_or_empty, worker_table
 
 CHUNK, OVERLAP = 1 << 15, 1 << 10  # characters
 CACHE_PIECES = 300_000  # per worker, in each of two generations
@@ -125,7 +124,7 @@ class ByteTokenizer:
         return b"".join([self.token[i] for i in ids])
 
 
-@lru_cache(maxsize=2)
+@worker_table
 def _tokenizer(spec: bytes) -> ByteTokenizer:
     return ByteTokenizer.of(spec)
 
