@@ -8,14 +8,15 @@ rows (window per block), so no step needs a global row order.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelspark.functions.distributions import t_pvalue
+from panelspark.operators.tall_qr import least_squares
 
 
 def regression_metrics(pred: DataFrame, label: str = "label", prediction: str = "prediction",
@@ -42,20 +43,16 @@ def coef_table(spark: SparkSession, data: DataFrame, names: Sequence[str], featu
                label: str = "label", fit_intercept: bool = True) -> DataFrame:
     """OLS coefficients, standard errors, t and two-sided p-values.
 
-    Fits an unpenalised normal-equation regression (the normal-equation solver
-    computes the covariance from the distributed Gram matrix).
+    Features that depend on the ones before them (the last level of a full one-hot block next to the intercept)
+    are listed with null values; the others are those of the design without them.
     """
-    m = LinearRegression(featuresCol=features, labelCol=label, regParam=0.0, solver="normal",
-                         fitIntercept=fit_intercept).fit(data)
-    s = m.summary
-    coefs = list(m.coefficients.toArray())
-    feats = list(names)
-    if fit_intercept:
-        coefs, feats = coefs + [m.intercept], feats + ["Intercept"]
-    rows = list(zip(feats, map(float, coefs), map(float, s.coefficientStandardErrors), map(float, s.tValues)))
+    found = least_squares(data, features, label, fit_intercept)
+    feats = [*names, "Intercept"] if fit_intercept else list(names)
+    rows = [(f, *(None if math.isnan(v) else float(v) for v in (b, e, b / e if e else math.nan)))
+            for f, b, e in zip(feats, found.coefficients, found.std_errors, strict=True)]
     df = spark.createDataFrame(rows, "feature string, coefficient double, std_error double, t double")
-    dof = float(s.degreesOfFreedom)
-    return df.withColumn("p_value", t_pvalue("t", F.lit(dof))).orderBy("p_value", "feature")
+    dof = float(max(found.degrees_of_freedom, 1))
+    return df.withColumn("p_value", F.when(F.col("t").isNotNull(), t_pvalue("t", F.lit(dof)))).orderBy(F.col("p_value").asc_nulls_last(), "feature")
 
 
 def tree_importance(spark: SparkSession, model, names: Sequence[str], k: int | None = None) -> DataFrame:

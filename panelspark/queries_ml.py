@@ -351,6 +351,21 @@ def q_coef_table(spark, root):
     return E.coef_table(spark, fm.transform(train), FE.feature_names(fm))
 
 
+@query("coef_table_one_hot", """
+with d as (select coalesce(l_returnflag, 'none') as g, l_extendedprice / 1000.0 as y from lineitem where l_extendedprice is not null),
+s as (select g, count(*) as n, avg(y) as m, var_pop(y) * count(*) as ss, row_number() over (order by g desc) as r from d group by g),
+t as (select sum(ss) / (sum(n) - count(*)) as v, max(n) filter (r = 1) as n0, max(m) filter (r = 1) as m0 from s)
+select g as feature, round(case when r > 1 then m - m0 end, 6) as coefficient, round(case when r > 1 then sqrt(v * (1.0 / n + 1.0 / n0)) end, 6) as std_error from s, t
+union all select 'Intercept', round(m0, 6), round(sqrt(v / n0), 6) from t""")
+def q_coef_table_one_hot(spark, root):
+    """E2 on a full one-hot block plus intercept: the last level depends on the rest, the others are differences from it."""
+    d = read_table(spark, root, "lineitem").where("l_extendedprice is not null").select(
+        F.coalesce("l_returnflag", F.lit("none")).alias("g"), (F.col("l_extendedprice") / 1000.0).alias("label"))
+    levels = [r["g"] for r in d.select("g").distinct().orderBy("g").collect()]
+    d = d.select("label", array_to_vector(F.array(*[(F.col("g") == v).cast("double") for v in levels])).alias("features"))
+    return E.coef_table(spark, d, levels).select("feature", F.round("coefficient", 6).alias("coefficient"), F.round("std_error", 6).alias("std_error"))
+
+
 @query("tree_importance")
 def q_tree_importance(spark, root):
     data, fm = _fitted(spark, root, groups=False)
