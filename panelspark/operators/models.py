@@ -30,7 +30,9 @@ from panelspark.operators.moments import MAX_FEATURES, fold_moments
 # Search grids under the reference's parameter names, as far as Spark has the parameter. Without an
 # equivalent, and therefore not in the grids: min_samples_split and criterion (trees), num_leaves, reg_alpha and
 # reg_lambda (leaf-wise growth and leaf penalties), l2_leaf_reg. min_child_weight is the least row count of a
-# child under squared error (minInstancesPerNode); gamma is the least gain of a split (minInfoGain).
+# child under squared error (minInstancesPerNode); gamma is the least gain of a split (minInfoGain, which Spark measures in
+# label variance per row); colsample_bytree draws columns for each node (featureSubsetStrategy), not for each tree; depth -1 is
+# Spark's deepest tree.
 GRIDS = {
     "linear": {"fit_intercept": [True, False]},
     "ridge": {"alpha": [0.001, 0.01, 0.1, 1, 10], "max_iter": [1000, 5000, 10000]},
@@ -44,8 +46,8 @@ GRIDS = {
             "min_samples_leaf": [1, 2, 5, 10], "max_depth": [3, 4, 5, 7, 9], "n_estimators": [100, 200, 500]},
     # boosting-library profiles re-aimed at Spark's GBT
     "gbt_xgb_profile": {"max_depth": [3, 5, 7, 10], "learning_rate": [0.001, 0.01, 0.05, 0.1],
-                        "n_estimators": [100, 200, 500], "min_child_weight": [1, 3, 5]},
-    "gbt_lgbm_profile": {"max_depth": [3, 5, 7], "learning_rate": [0.001, 0.01, 0.05, 0.1],
+                        "n_estimators": [100, 200, 500], "min_child_weight": [1, 3, 5], "gamma": [0, 0.1, 0.5]},
+    "gbt_lgbm_profile": {"max_depth": [-1, 3, 5, 7], "learning_rate": [0.001, 0.01, 0.05, 0.1],
                          "min_child_samples": [10, 20, 30], "subsample": [0.8, 1.0],
                          "colsample_bytree": [0.8, 1.0], "n_estimators": [100, 200, 500]},
     "gbt_cat_profile": {"depth": [4, 6, 10], "learning_rate": [0.01, 0.05, 0.1], "iterations": [100, 200, 500]},

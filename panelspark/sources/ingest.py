@@ -49,7 +49,8 @@ def upsert_keep_last(prev: DataFrame, new: DataFrame, keys: Sequence[str], order
     """``concat(prev, new).drop_duplicates(keys, keep='last')`` made deterministic.
 
     The new batch wins over the previous table; within a batch the row that is
-    last in ``order`` wins. ``prev_filter`` (S7) keeps only settled previous
+    last in ``order`` wins, and of rows equal there the one whose other columns have the largest hash, so that
+    every run keeps the same one (map columns cannot be hashed and do not count). ``prev_filter`` (S7) keeps only settled previous
     rows. One shuffle on ``keys``; ``row_number() = 1`` is planned with a
     partial top-1 (WindowGroupLimit) before the exchange, so a hot key sends
     one row per map task, not all of its copies.
@@ -59,7 +60,9 @@ def upsert_keep_last(prev: DataFrame, new: DataFrame, keys: Sequence[str], order
     cols = list(dict.fromkeys(list(prev.columns) + [c for c in new.columns if c not in prev.columns]))
     u = (prev.withColumn("__batch", F.lit(0)).unionByName(new.withColumn("__batch", F.lit(1)),
                                                          allowMissingColumns=True))
-    w = Window.partitionBy(*keys).orderBy(F.col("__batch").desc(), *[F.col(c).desc() for c in order])
+    rest = [F.col(f.name) for f in u.schema if f.name in cols and f.name not in (*keys, *order) and "map<" not in f.dataType.simpleString()]
+    ties = [F.xxhash64(*rest).desc()] if rest else []
+    w = Window.partitionBy(*keys).orderBy(F.col("__batch").desc(), *[F.col(c).desc() for c in order], *ties)
     return u.withColumn("__rn", F.row_number().over(w)).filter(F.col("__rn") == 1).select(*cols)
 
 

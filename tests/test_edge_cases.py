@@ -120,10 +120,11 @@ def test_constant_columns_do_not_crash(spark):
 
 def test_settings_map_or_raise():
     xgb = M.GRIDS["gbt_xgb_profile"]
-    kinds = {(e.getMaxDepth(), e.getStepSize(), e.getMaxIter(), e.getMinInstancesPerNode())
+    kinds = {(e.getMaxDepth(), e.getStepSize(), e.getMaxIter(), e.getMinInstancesPerNode(), e.getMinInfoGain())
              for e in (M.build_estimator("gbt_xgb_profile", p) for p in M.settings(xgb))}
     assert len(kinds) == len(M.settings(xgb))
     assert M.build_estimator("gbt_xgb_profile", {"gamma": 0.5}).getMinInfoGain() == 0.5
+    assert M.build_estimator("gbt_lgbm_profile", {"max_depth": -1}).getMaxDepth() == M.MAX_TREE_DEPTH
     with pytest.raises(M.UnsupportedSetting):
         M.build_estimator("tree", {"max_depth": 31})
     with pytest.raises(M.UnsupportedSetting):
@@ -163,3 +164,13 @@ def test_groups_assign_each_column_once():
     assert g["pca_rolling_avg"][0] == ["minutes_rolling_avg"] and g["other_pca"][0] == ["value"] and len(g["pca_all"][0]) == 4
     good, out = FE.fitting_groups(g)
     assert good == {} and set(out) == set(g)
+
+
+def test_upsert_ties_are_settled_by_the_rows_themselves(spark):
+    from panelspark.sources.ingest import upsert_keep_last
+    rows = [(1, 5, v, {"k": str(i)}) for i, v in enumerate("dbacbd")] + [(2, 5, "x", None)]
+    new = spark.createDataFrame(rows, "id int, at int, v string, m map<string,string>")
+    prev = new.limit(0)
+    got = {upsert_keep_last(prev, new.repartition(n, "v"), ["id"], ["at"]).where("id = 1").first()["v"] for n in (1, 2, 3, 5, 7)}
+    assert len(got) == 1
+    assert upsert_keep_last(prev, new, ["id"], ["at"]).count() == 2
