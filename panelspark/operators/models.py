@@ -25,32 +25,35 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelspark.operators import linear_search
+from panelspark.operators.hist_trees import HistTreeRegressor, TreeSpec
 from panelspark.operators.moments import MAX_FEATURES, fold_moments
 
-# Search grids under the reference's parameter names, as far as Spark has the parameter. Without an
-# equivalent, and therefore not in the grids: min_samples_split and criterion (trees), num_leaves, reg_alpha and
-# reg_lambda (leaf-wise growth and leaf penalties), l2_leaf_reg. min_child_weight is the least row count of a
-# child under squared error (minInstancesPerNode); gamma is the least gain of a split (minInfoGain, which Spark measures in
-# label variance per row); colsample_bytree draws columns for each node (featureSubsetStrategy), not for each tree; depth -1 is
-# Spark's deepest tree.
+# Search grids under the reference's parameter names. Settings that Spark's trees lack (huber, min_samples_split over
+# 2, friedman_mse, num_leaves, reg_alpha, reg_lambda, l2_leaf_reg) go to ``hist_trees``. There min_child_weight is the least sum of
+# curvature, the row count under squared error, gamma the least gain, and colsample_bytree draws columns for each tree. Without such a
+# setting Spark's own trees serve: gamma is then minInfoGain (label variance per row) and colsample_bytree draws columns for each node.
+# Depth -1 or None is the deepest tree, ``MAX_TREE_DEPTH``.
 GRIDS = {
     "linear": {"fit_intercept": [True, False]},
     "ridge": {"alpha": [0.001, 0.01, 0.1, 1, 10], "max_iter": [1000, 5000, 10000]},
     "lasso": {"alpha": [0.001, 0.01, 0.1, 1, 10], "max_iter": [1000, 5000, 10000]},
     "elasticnet": {"alpha": [0.001, 0.01, 0.1, 1], "l1_ratio": [0.1, 0.5, 0.7, 1], "max_iter": [1000, 5000, 10000]},
-    "tree": {"max_depth": [None, 2, 3, 4, 5, 7, 9, 12, 15], "min_samples_leaf": [1, 2, 5, 10, 20]},
+    "tree": {"criterion": ["squared_error", "friedman_mse"], "max_depth": [None, 2, 3, 4, 5, 7, 9, 12, 15],
+             "min_samples_leaf": [1, 2, 5, 10, 20], "min_samples_split": [2, 5, 10]},
     "forest": {"bootstrap": [True, False], "max_features": ["sqrt", "log2", None],
-               "max_depth": [None, 2, 3, 5, 7, 9, 12, 15], "min_samples_leaf": [1, 2, 5, 10, 20],
+               "max_depth": [None, 2, 3, 5, 7, 9, 12, 15], "min_samples_leaf": [1, 2, 5, 10, 20], "min_samples_split": [2, 5, 10],
                "n_estimators": [100, 200, 500, 1000]},
     "gbt": {"loss": ["squared_error", "huber"], "learning_rate": [0.001, 0.01, 0.1, 0.2],
             "min_samples_leaf": [1, 2, 5, 10], "max_depth": [3, 4, 5, 7, 9], "n_estimators": [100, 200, 500]},
-    # boosting-library profiles re-aimed at Spark's GBT
+    # profiles of the boosting libraries
     "gbt_xgb_profile": {"max_depth": [3, 5, 7, 10], "learning_rate": [0.001, 0.01, 0.05, 0.1],
-                        "n_estimators": [100, 200, 500], "min_child_weight": [1, 3, 5], "gamma": [0, 0.1, 0.5]},
-    "gbt_lgbm_profile": {"max_depth": [-1, 3, 5, 7], "learning_rate": [0.001, 0.01, 0.05, 0.1],
-                         "min_child_samples": [10, 20, 30], "subsample": [0.8, 1.0],
-                         "colsample_bytree": [0.8, 1.0], "n_estimators": [100, 200, 500]},
-    "gbt_cat_profile": {"depth": [4, 6, 10], "learning_rate": [0.01, 0.05, 0.1], "iterations": [100, 200, 500]},
+                        "n_estimators": [100, 200, 500], "min_child_weight": [1, 3, 5], "gamma": [0, 0.1, 0.5],
+                        "reg_lambda": [0, 0.1, 1, 10]},
+    "gbt_lgbm_profile": {"max_depth": [-1, 3, 5, 7], "learning_rate": [0.001, 0.01, 0.05, 0.1], "num_leaves": [31, 63, 127],
+                         "min_child_samples": [10, 20, 30], "subsample": [0.8, 1.0], "colsample_bytree": [0.8, 1.0],
+                         "reg_alpha": [0.0, 0.1], "reg_lambda": [0.0, 0.1, 1], "n_estimators": [100, 200, 500]},
+    "gbt_cat_profile": {"depth": [4, 6, 10], "learning_rate": [0.01, 0.05, 0.1], "iterations": [100, 200, 500],
+                        "l2_leaf_reg": [1, 3, 5, 7, 9]},
 }
 MAX_TREE_DEPTH = 30  # Spark's limit; stands for "no limit"
 GUARD = (0.7, 1.3)   # accepted train/test MSE ratio in the guarded choice
@@ -80,6 +83,28 @@ def _depth(d):
     return int(d)
 
 
+def _needs_histograms(p: dict) -> bool:
+    """Whether a setting asks for what Spark's trees lack."""
+    return (p.get("loss") == "huber" or p.get("criterion") == "friedman_mse" or int(p.get("min_samples_split", 2)) > 2
+            or p.get("num_leaves") is not None or any(float(p.get(k, 0)) for k in ("reg_alpha", "reg_lambda", "l2_leaf_reg")))
+
+
+def _histogram_spec(algo: str, p: dict, seed: int) -> TreeSpec:
+    common = dict(max_depth=_depth(p.get("max_depth", p.get("depth", 3) if algo.startswith("gbt") else None)), seed=seed,
+                  criterion=p.get("criterion", "squared_error"), min_split_rows=int(p.get("min_samples_split", 2)),
+                  min_child_rows=int(p.get("min_samples_leaf", p.get("min_child_samples", 1))))
+    if algo == "tree":
+        return TreeSpec(n_estimators=1, learning_rate=1.0, **common)
+    if algo == "forest":
+        return TreeSpec(n_estimators=int(p.get("n_estimators", 100)), forest=True, bootstrap=bool(p.get("bootstrap", True)),
+                        max_features=p.get("max_features"), **common)
+    return TreeSpec(n_estimators=int(p.get("n_estimators", p.get("iterations", 100))), learning_rate=float(p.get("learning_rate", 0.1)),
+                    loss=p.get("loss", "squared_error"), num_leaves=p.get("num_leaves"), gamma=float(p.get("gamma", 0.0)),
+                    min_child_weight=float(p.get("min_child_weight", 0.0)), reg_alpha=float(p.get("reg_alpha", 0.0)),
+                    reg_lambda=float(p.get("reg_lambda", p.get("l2_leaf_reg", 0.0))), subsample=float(p.get("subsample", 1.0)),
+                    colsample=float(p.get("colsample_bytree", 1.0)), **common)
+
+
 def build_estimator(algo: str, params: dict, stats: LabelStats | None = None,
                     features: str = "features", label: str = "label", seed: int = 42):
     """Spark estimator for a reference-style (algorithm, params) pair."""
@@ -103,6 +128,8 @@ def build_estimator(algo: str, params: dict, stats: LabelStats | None = None,
         return LinearRegression(regParam=reg, elasticNetParam=(a * l1 / reg) if reg else 0.0,
                                 standardization=False, solver="l-bfgs", maxIter=int(p.get("max_iter", 100)),
                                 tol=1e-10, **common)
+    if (algo in ("tree", "forest") or algo.startswith("gbt")) and _needs_histograms(p):
+        return HistTreeRegressor(_histogram_spec(algo, p, seed), features, label)
     if algo == "tree":
         return DecisionTreeRegressor(maxDepth=_depth(p.get("max_depth")),
                                      minInstancesPerNode=int(p.get("min_samples_leaf", 1)), seed=seed, **common)

@@ -18,6 +18,7 @@ from panelspark import oracle_sql as O
 from panelspark.operators import evaluate as E
 from panelspark.operators import features as FE
 from panelspark.operators import models as M
+from panelspark.operators.hist_trees import HistTreeRegressor, TreeSpec
 from panelspark.operators import split as X
 from panelspark.registry import query
 from panelspark.session import cut_lineage, ensure_checkpoint_dir
@@ -188,8 +189,47 @@ def q_fit_gbt(spark, root):
                                           "n_estimators": 20, "min_samples_leaf": 2})
 
 
+@query("fit_tree_friedman")
+def q_fit_tree_friedman(spark, root):
+    return _fit_eval(spark, root, "tree", {"criterion": "friedman_mse", "max_depth": 5, "min_samples_leaf": 5, "min_samples_split": 10})
+
+
+@query("fit_gbt_huber")
+def q_fit_gbt_huber(spark, root):
+    return _fit_eval(spark, root, "gbt", {"loss": "huber", "learning_rate": 0.2, "max_depth": 3, "n_estimators": 5, "min_samples_leaf": 2})
+
+
+@query("fit_gbt_leafwise")
+def q_fit_gbt_leafwise(spark, root):
+    return _fit_eval(spark, root, "gbt_lgbm_profile", {"max_depth": -1, "num_leaves": 15, "learning_rate": 0.1, "min_child_samples": 10,
+                                                       "reg_alpha": 0.1, "reg_lambda": 1, "n_estimators": 3})
+
+
 # ---- models with one feature, where the optimum has a closed form ----
 
+_STUMP_SQL = """
+with d as (select l_quantity as x, l_extendedprice / 1000.0 as y from lineitem where l_quantity is not null and l_extendedprice is not null),
+m as (select avg(y) as base from d),
+v as (select x, sum(base - y) as g, cast(count(*) as double) as h from d, m group by x),
+c as (select x, h as n, sum(g) over w as gl, sum(h) over w as hl, sum(g) over () as g, sum(h) over () as h from v window w as (order by x)),
+t as (select x, n, hl, h, sign(gl) * greatest(abs(gl) - 5, 0) as tl, sign(g - gl) * greatest(abs(g - gl) - 5, 0) as tr,
+        sign(g) * greatest(abs(g) - 5, 0) as tt from c),
+s as (select x as cut, -tl / (hl + 50) as l, -tr / (h - hl + 50) as r from t where hl < h
+      order by tl * tl / (hl + 50) + tr * tr / (h - hl + 50) - tt * tt / (h + 50) desc, x limit 1)
+select x as quantity, cast(n as bigint) as n, round(base + case when x <= cut then l else r end, 4) as prediction from t, s, m"""
+
+
+@query("stump_penalised", _STUMP_SQL)
+def q_stump_penalised(spark, root):
+    """M7: one split with both leaf penalties, against all cuts in SQL."""
+    d = (read_table(spark, root, "lineitem").where(F.col("l_quantity").isNotNull() & F.col("l_extendedprice").isNotNull())
+         .select(F.col("l_quantity").alias("quantity"), array_to_vector(F.array(F.col("l_quantity").cast("double"))).alias("features"),
+                 (F.col("l_extendedprice") / 1000.0).alias("label")))
+    model = HistTreeRegressor(TreeSpec(n_estimators=1, learning_rate=1.0, max_depth=1, reg_alpha=5.0, reg_lambda=50.0, bins=256)).fit(d)
+    return (model.transform(d).groupBy("quantity")
+            .agg(F.count(F.lit(1)).alias("n"), F.round(F.first("prediction"), 4).alias("prediction")))
+
+
 ONE_SQL = """
 with d as (select l_quantity as x, l_extendedprice / 1000.0 as y from lineitem where l_quantity is not null and l_extendedprice is not null),
 m as (select avg(x) as mx, avg(y) as my, count(*) as n from d),

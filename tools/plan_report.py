@@ -33,7 +33,7 @@ PATTERNS = {
 
 SKIP = {"sink_roundtrip", "csv_scan_view", "final_fit", "grid_search", "cv_search", "guarded_choice",
         "leaderboard", "coef_table", "tree_importance", "permutation_importance", "score_topk", "model_end_to_end",
-        "fit_linear", "fit_ridge", "fit_lasso", "fit_elasticnet", "fit_tree", "fit_forest", "fit_gbt",
+        "fit_linear", "fit_ridge", "fit_lasso", "fit_elasticnet", "fit_tree", "fit_forest", "fit_gbt", "fit_tree_friedman", "fit_gbt_huber", "fit_gbt_leafwise", "stump_penalised",
         "one_hot", "pca_groups", "column_transformer", "feature_names", "column_catalog", "select_features"}
 
 
