@@ -228,16 +228,14 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
 def _distances(checked: DataFrame, hubs: DataFrame) -> DataFrame:
     """(hub, node, d, q, own): the shingles that tell a node from its hub, rarest among the hub's nodes first; how many they are, and how many of
     them tell another node from that hub, too."""
-    wide = checked.where("delta is not null")
-    either = wide.select(F.col("a").alias("hub"), F.col("b").alias("node"), "delta").unionByName(
-        wide.select(F.col("b").alias("hub"), F.col("a").alias("node"), "delta")).join(hubs.select("hub").distinct(), "hub", "left_semi")
-    each = either.select("hub", "node", F.explode("delta").alias("e"))
-    counted = each.join(each.groupBy("hub", "e").agg(F.count("*").alias("k")), ["hub", "e"])
-    own = counted.groupBy("hub", "node").agg(F.sort_array(F.collect_list(F.struct("k", "e"))).alias("own"))  # no longer than two texts
-    none = F.array().cast("array<struct<k:bigint,e:bigint>>")
-    return (either.select("hub", "node", F.size("delta").alias("d")).join(own, ["hub", "node"], "left")
-            .withColumn("own", F.coalesce("own", none))
-            .select("hub", "node", "d", F.size(F.filter("own", lambda x: x["k"] > 1)).alias("q"), F.col("own.e").alias("own")))
+    ends = F.array(F.struct(F.col("a").alias("hub"), F.col("b").alias("node")), F.struct(F.col("b").alias("hub"), F.col("a").alias("node")))
+    either = (checked.where("delta is not null").select("delta", F.inline(ends))
+              .join(hubs.select("hub").distinct(), "hub", "left_semi"))
+    each = either.select("hub", "node", F.explode_outer("delta").alias("e"))  # nodes without a difference stay, with a null
+    counts = each.where("e is not null").groupBy("hub", "e").agg(F.count("*").alias("k"))
+    own = each.join(counts, ["hub", "e"], "left").groupBy("hub", "node").agg(
+        F.sort_array(F.collect_list(F.when(F.col("e").isNotNull(), F.struct("k", "e")))).alias("own"))  # no longer than two texts
+    return own.select("hub", "node", F.size("own").alias("d"), F.size(F.filter("own", lambda x: x["k"] > 1)).alias("q"), F.col("own.e").alias("own"))
 
 
 def _possible_pairs(members: DataFrame, aside: DataFrame, hubs: DataFrame, away: DataFrame, percent: int) -> DataFrame:
@@ -257,13 +255,10 @@ def _possible_pairs(members: DataFrame, aside: DataFrame, hubs: DataFrame, away:
     level = F.when(F.col("excess") <= 0, 0).otherwise(1 + F.floor(F.log2(F.col("excess") / far + 1)).cast("int"))
     every = step(every.select("hub", "node", "n", "component", "d", "own", F.coalesce("out", F.lit(False)).alias("out"), excess.alias("excess"))
                  .withColumn("level", level))
-    least = every.groupBy("hub").agg(F.min(F.struct("excess", "node", "n", "component")).alias("low"))
-    sure = (every.where("out").join(least, "hub").where((F.col("excess") + F.col("low.excess") <= 0) & (F.col("component") != F.col("low.component")))
+    least = every.groupBy("hub").agg(F.min(F.struct("excess", "node", "n", "component")).alias("low"), F.max("out").alias("any_out"))
+    # either member of such a pair may be the one outside
+    sure = (every.join(least, "hub").where(F.col("any_out") & (F.col("excess") + F.col("low.excess") <= 0) & (F.col("component") != F.col("low.component")))
             .select("node", "n", F.col("low.node").alias("other"), F.col("low.n").alias("n_other")))
-    # the other member of such a pair may be the one outside
-    sure = sure.unionByName(every.where("not out").join(least, "hub").join(every.where("out").select("hub").distinct(), "hub", "left_semi")
-                            .where((F.col("excess") + F.col("low.excess") <= 0) & (F.col("component") != F.col("low.component")))
-                            .select("node", "n", F.col("low.node").alias("other"), F.col("low.n").alias("n_other")))
 
     def prefixes(side: DataFrame, against: DataFrame, mine: str, theirs: str) -> DataFrame:
         levels = against.groupBy("hub", F.col("level").alias(theirs)).agg(F.min("excess").alias("low"))
