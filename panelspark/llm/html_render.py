@@ -8,7 +8,8 @@ into columns, preformatted text as it is.
 Scale: pages are independent; the job is one map without a shuffle, and pages stream through in Arrow batches.
 
 Edge cases: null and empty html give empty text; plain text is text; unclosed and misnested tags, unclosed comments and
-quotes are read on; nesting deeper than ``MAX_DEPTH`` is read as siblings (no text is lost); null and
+quotes are read on; nesting deeper than ``MAX_DEPTH`` is read as siblings (no text is lost); table columns that start over
+``ALIGNED`` characters to the right are not aligned, so a page's text stays in proportion to the page (no text is lost); null and
 repeated page_ids pass through row by row; an empty table gives an empty result.
 
 Not visible: head, title, script, style, template, noscript, fallback content of embedded media, ``hidden``, inline or
@@ -22,8 +23,12 @@ Rules in ``@media`` blocks count if the medium fits a screen of ``SCREEN`` pixel
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, insort
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
+from itertools import accumulate
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,6 +37,7 @@ from pyspark.sql import functions as F
 from panelspark.llm.common import map_rows
 
 MAX_DEPTH = 200
+ALIGNED = 256  # a table column that starts further right is set off by two spaces instead of being padded to
 
 # Fixed values of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -44,6 +50,7 @@ SVG_UNSEEN = frozenset("defs symbol clippath mask pattern marker lineargradient
 BREAKOUT = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr "
                      "ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
 INTEGRATION = frozenset("foreignobject desc title mi mo mn ms mtext annotation-xml".split())
+MAX_COLSPAN = 1_000
 SCREEN = (1280, 800)  # CSS pixels, width and height
 HEAD_ONLY = frozenset("base basefont bgsound link meta noframes script style template title noscript".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -361,11 +368,19 @@ def css_rules(text: str) -> list[tuple[str, str]]:
     return out
 
 
+_first = itemgetter(0)
+
+
 class Sheet:
-    """``display`` and ``visibility`` of simple selectors (tag, .class, #id and their combinations); later rules win."""
+    """``display`` and ``visibility`` of simple selectors (tag, .class, #id and their combinations); later rules win.
+
+    A selector's rules are folded into one. Selectors are found by one of their parts, the one that fewest of them name, so
+    a node is compared with those only that share a part with it; equal nodes are looked up once."""
 
     def __init__(self, sheets: list[str]):
-        self.rules: list[tuple[str, frozenset, frozenset, str | None, str | None]] = []
+        # selector: last display and last visibility, each with the number of its rule
+        rules: dict[tuple[str, ...], list] = {}
+        number = 0
         for text in sheets:
             for selectors, body in css_rules(text):
                 d, v = _DISPLAY.search(body), _VISIBILITY.search(body)
@@ -373,18 +388,36 @@ class Sheet:
                     continue
                 for s in selectors.split(","):
                     if m := _SIMPLE.match(s.strip()):
-                        parts = re.findall(r"[.#][\w-]+", m[2])
-                        self.rules.append((("" if m[1] in (None, "*") else m[1].lower()), frozenset(p[1:] for p in parts if p[0] == "."),
-                                           frozenset(p[1:] for p in parts if p[0] == "#"), d and d[1].lower(), v and v[1].lower()))
+                        tag = [] if m[1] in (None, "*") else [m[1].lower()]
+                        rule = rules.setdefault((*tag, *sorted(set(re.findall(r"[.#][\w-]+", m[2])))), [(0, None), (0, None)])
+                        number += 1
+                        if d:
+                            rule[0] = (number, d[1].lower())
+                        if v:
+                            rule[1] = (number, v[1].lower())
+        named = Counter(part for selector in rules for part in selector)
+        self.by_part: dict[str, list[tuple[frozenset, tuple, tuple]]] = {}
+        for selector, (d, v) in rules.items():
+            self.by_part.setdefault(min(selector, key=lambda x: (named[x], x), default=""), []).append((frozenset(selector), d, v))
+        self.known: dict[tuple, tuple[str | None, str | None]] = {}
+
+    def _found(self, tag: str, classes: str, name: str | None) -> tuple[str | None, str | None]:
+        parts = {tag, "", *("." + c for c in classes.split())} | ({"#" + name} if name else set())
+        display, visibility = (0, None), (0, None)
+        for part in parts:
+            for selector, d, v in self.by_part.get(part, ()):
+                if selector <= parts:
+                    display, visibility = max(display, d, key=_first), max(visibility, v, key=_first)
+        return display[1], visibility[1]
 
     def of(self, node: Node) -> tuple[str | None, str | None]:
         display = visibility = None
         attrs = node.attrs
-        if self.rules:
-            classes = frozenset(attrs.get("class", "").split())
-            for tag, cs, ids, d, v in self.rules:
-                if (not tag or tag == node.tag) and cs <= classes and ids <= {attrs.get("id")}:
-                    display, visibility = d or display, v or visibility
+        if self.by_part:
+            key = (node.tag, attrs.get("class", ""), attrs.get("id"))
+            if key not in self.known:
+                self.known[key] = self._found(*key)
+            display, visibility = self.known[key]
         style = attrs.get("style")
         if style:
             display = m[1].lower() if (m := _DISPLAY.search(style)) else display
@@ -613,46 +646,66 @@ class Renderer:
             elif c.tag not in ("col", "colgroup"):
                 captions.append(c)
         head = self.lines(captions, visible, pre)
-        taken: set[tuple[int, int]] = set()
-        cells: list[tuple[int, int, int, list[str]]] = []
+        busy: list[list[int]] = []  # columns that cells of earlier rows reach into: from, to, the row below the last one
+        by_row: list[list[tuple[int, int, list[str]]]] = []
         for r, row in enumerate(rows):
-            k = 0
+            k, at, spans, got = 0, 0, [], []
+            busy = [x for x in busy if x[2] > r]
             for cell in row:
-                while (r, k) in taken:
-                    k += 1
-                wide = max(1, min(100, _number(cell.attrs.get("colspan"), 1)))
+                while at < len(busy) and busy[at][0] <= k:
+                    k, at = max(k, busy[at][1]), at + 1
+                wide = max(1, min(MAX_COLSPAN, _number(cell.attrs.get("colspan"), 1)))
                 tall = max(1, min(len(rows) - r, _number(cell.attrs.get("rowspan"), 1) or len(rows)))
-                if wide > 1 or tall > 1:
-                    taken |= {(r + a, k + b) for a in range(tall) for b in range(wide) if a}
+                if tall > 1:
+                    spans.append([k, k + wide, r + tall])
                 see = self.sheet.of(cell)[1]
-                cells.append((r, k, wide, self.lines(cell.children, visible if not see else see not in ("hidden", "collapse"), pre)))
+                got.append((k, wide, self.lines(cell.children, visible if not see else see not in ("hidden", "collapse"), pre)))
                 k += wide
+            by_row.append(got)
+            if spans:
+                merged: list[list[int]] = []
+                for x in sorted(busy + spans):
+                    if merged and merged[-1][2] == x[2] and merged[-1][1] >= x[0]:
+                        merged[-1][1] = max(merged[-1][1], x[1])
+                    else:
+                        merged.append(x)
+                busy = merged
         width: dict[int, int] = {}
-        for _, k, wide, lines in cells:
-            if wide == 1:
-                width[k] = max(width.get(k, 0), max(map(len, lines), default=0))
-        for _, k, wide, lines in cells:  # what a spanning cell lacks goes to its last column
-            if wide > 1:
-                room = sum(width.get(c, 0) for c in range(k, k + wide)) + 2 * (wide - 1)
-                need = max(map(len, lines), default=0) - room
-                if need > 0:
-                    width[k + wide - 1] = width.get(k + wide - 1, 0) + need
-        start, at = {}, 0
-        for k in range(max((k + wide for _, k, wide, _ in cells), default=0)):
-            start[k] = at
-            at += width.get(k, 0) + (2 if width.get(k, 0) else 0)
+        spanning = []
+        for got in by_row:
+            for k, wide, lines in got:
+                need = max(map(len, lines), default=0)
+                if wide > 1 and need:
+                    spanning.append((k, wide, need))
+                elif need > width.get(k, 0):  # columns without text have no width and no gap
+                    width[k] = need
+        columns = sorted(width)  # those with text
+        for k, wide, need in spanning:  # what a spanning cell lacks goes to its last column
+            held = columns[bisect_left(columns, k):bisect_left(columns, k + wide)]
+            last, room = k + wide - 1, sum(width[c] + 2 for c in held)
+            if need > room - 2:
+                if last in width:
+                    width[last] += need - room + 2
+                else:
+                    insort(columns, last)
+                    width[last] = max(1, need - room)
+        ends = list(accumulate((width[c] + 2 for c in columns), initial=0))
         out: list[str] = []
-        by_row: dict[int, list[tuple[int, list[str]]]] = {}
-        for r, k, _, lines in cells:
-            by_row.setdefault(r, []).append((k, lines))
-        for r in range(len(rows)):
-            got = by_row.get(r, [])
-            for j in range(max((len(lines) for _, lines in got), default=0)):
-                line = ""
-                for k, lines in got:
-                    if j < len(lines) and lines[j]:
-                        line = line.ljust(start[k]) + lines[j]
-                out.append(line)
+        for got in by_row:
+            starts = [ends[bisect_left(columns, k)] for k, _, _ in got]
+            # a line's parts in order; cells that have fewer lines are not looked at again
+            open_cells = [(start, lines) for start, (_, _, lines) in zip(starts, got) if lines]
+            j = 0
+            while open_cells:
+                parts, length = [], 0
+                for start, lines in open_cells:
+                    if lines[j]:
+                        room = start - length if start <= ALIGNED else 2 if length else 0
+                        parts.append(" " * room + lines[j])
+                        length += max(room, 0) + len(lines[j])
+                out.append("".join(parts))
+                j += 1
+                open_cells = [x for x in open_cells if j < len(x[1])]
         return head + out
 
 

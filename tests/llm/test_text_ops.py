@@ -98,6 +98,64 @@ def test_extract_keeps_every_visible_word():
         assert [x for x in extract(html).split() if x != "-"] == words, html
 
 
+def _plain_table(rows):
+    """Text of a table by a grid of its slots. Rows of (text lines, colspan, rowspan)."""
+    grid, cells = set(), []
+    for r, row in enumerate(rows):
+        k = 0
+        for lines, wide, tall in row:
+            while (r, k) in grid:
+                k += 1
+            grid |= {(r + i, k + j) for i in range(min(tall or len(rows), len(rows) - r)) for j in range(wide)}
+            cells.append((r, k, wide, lines))
+            k += wide
+    width = [0] * 100
+    for one in (True, False):
+        for _, k, wide, lines in cells:
+            need = max(map(len, lines), default=0)
+            while (wide == 1) == one and need and sum(w + 2 for w in width[k:k + wide] if w) - 2 < need:
+                width[k + wide - 1] += 1
+    left = [sum(w + 2 for w in width[:k] if w) for k in range(100)]
+    out = []
+    for r in range(len(rows)):
+        own = [(k, lines) for q, k, _, lines in cells if q == r]
+        for j in range(max((len(x) for _, x in own), default=0)):
+            line = [" "] * 1000
+            for k, lines in own:
+                if j < len(lines):
+                    line[left[k]:left[k] + len(lines[j])] = lines[j]
+            out.append("".join(line).rstrip())
+    return "\n".join(out)
+
+
+def test_extract_table_layout_against_a_grid():
+    rng = random.Random(5)
+    for _ in range(500):
+        rows = [[(rng.choice([[], ["q"], ["word two"], ["a", "b"], ["x" * 9]]), rng.choice([1, 1, 1, 2, 3]), rng.choice([1, 1, 1, 2, 0]))
+                 for _ in range(rng.randrange(1, 6))] for _ in range(rng.randrange(1, 6))]
+        html = "<table>" + "".join("<tr>" + "".join(f"<td colspan={w} rowspan={t}>" + "<br>".join(x) for x, w, t in row) for row in rows) + "</table>"
+        assert extract(html) == _plain_table(rows).strip("\n"), html
+        assert sorted(extract(html).split()) == sorted(" ".join(y for row in rows for x, _, _ in row for y in x).split())
+
+
+def test_extract_large_tables_and_sheets_stay_in_proportion():
+    wide = "<table><tr><td>" + "w" * 64_000 + "<td>x" + "<tr><td><td>y" * 4_000 + "</table>"
+    assert extract(wide).split() == ["w" * 64_000, "x", *["y"] * 4_000]
+    assert len(extract(wide)) < 2 * len(wide)
+    spans = "<table>" + "<tr><td colspan=1000 rowspan=9999>x" * 3_000 + "</table>"
+    assert extract(spans).split() == ["x"] * 3_000
+    far = "<table><tr><td colspan=500><td>a<tr>" + "<td>" * 500 + "<td>b</table>"
+    assert extract(far) == "a\nb"
+    rules = "".join(f".c{i}{{display:none}}" for i in range(20_000))
+    assert extract(f"<style>{rules}.k.m{{display:none}}</style>" + "<p class=k>a<p class='m k'>b<p class=c7>c" * 2_000).split() == ["a"] * 2_000
+
+
+def test_extract_later_rules_win():
+    assert extract("<style>.a{display:none}#i{display:block}</style><p class=a id=i>x") == "x"
+    assert extract("<style>#i{display:block}.a{display:none}</style><p class=a id=i>x") == ""
+    assert extract("<style>.a{display:none}.a{visibility:hidden}.a{display:block}p.a{visibility:visible}</style><p class=a>x<div class=a>y") == "x"
+
+
 def test_extract_pages(spark):
     pages = spark.createDataFrame([(1, "<p>a", "x"), (1, "<p>a", "y"), (None, None, None), (2, "", "z")], "page_id long, html string, text string")
     assert sorted((r["page_id"] or 0, r["text"]) for r in html_render.extract_pages(pages).collect()) == [(0, ""), (1, "a"), (1, "a"), (2, "")]
