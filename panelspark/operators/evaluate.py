@@ -12,6 +12,7 @@ import math
 from collections.abc import Sequence
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.regression import LinearRegressionModel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -74,21 +75,25 @@ def permutation_importance(model, test: DataFrame, names: Sequence[str], feature
     rotated by one position inside the block in a random order: a random
     permutation built with windows over many small partitions. Features are
     scored ``feature_batch`` at a time, so the copies never exceed
-    test rows x feature_batch x n_repeats.
+    test rows x feature_batch x n_repeats. For a linear model a copy holds one
+    slot value and the prediction, which moves by weight x change of the slot;
+    other models need the whole vector in each copy.
     """
+    weights = [float(v) for v in model.coefficients.toArray()] if isinstance(model, LinearRegressionModel) else None
     n = test.count()
     n_blocks = max(1, n // block_rows)
-    base = test.select(*key, label, vector_to_array(features).alias("__x"))
+    base_pred = model.transform(test)
+    base = base_pred.select(
+        *key, label, vector_to_array(features).alias("__x"), F.col("prediction").alias("__p"))
     rid = F.xxhash64(*[F.col(k) for k in key]) if key else F.monotonically_increasing_id()
     base = base.withColumn("__id", rid)
     parts = []
     for lo in range(0, len(names), feature_batch):
         hi = min(lo + feature_batch, len(names))
-        parts.append(_permuted_r2(model, base, features, label, n_blocks, seed, lo, hi, n_repeats))
+        parts.append(_permuted_r2(model, base, features, label, n_blocks, seed, lo, hi, n_repeats, weights))
     copy_r2 = parts[0]
     for p in parts[1:]:
         copy_r2 = copy_r2.unionByName(p)
-    base_pred = model.transform(test)
     base_r2 = F.lit(regression_metrics(base_pred, label, "prediction", None).select("R2").first()[0])
     names_df = test.sparkSession.createDataFrame([(i, nm) for i, nm in enumerate(names)], "__f int, feature string")
     out = copy_r2.groupBy("__f").agg(F.avg(base_r2 - F.col("r2")).alias("permutation_importance"),
@@ -98,18 +103,25 @@ def permutation_importance(model, test: DataFrame, names: Sequence[str], feature
 
 
 def _permuted_r2(model, base: DataFrame, features: str, label: str, n_blocks: int, seed: int,
-                 lo: int, hi: int, n_repeats: int) -> DataFrame:
+                 lo: int, hi: int, n_repeats: int, weights: Sequence[float] | None = None) -> DataFrame:
     """R2 of every (feature, repeat) copy for features lo..hi-1: (__f, __r, r2)."""
     copies = base.select("*", F.explode(F.sequence(F.lit(lo * n_repeats), F.lit(hi * n_repeats - 1))).alias("__c"))
     copies = copies.withColumn("__f", (F.col("__c") / n_repeats).cast("int")).withColumn("__r", F.col("__c") % n_repeats)
     h1 = F.xxhash64(F.lit(seed), "__c", "__id")
     copies = copies.withColumn("__b", F.pmod(h1, F.lit(n_blocks))).withColumn("__o", F.xxhash64(F.lit(seed + 1), "__c", "__id"))
     w = Window.partitionBy("__c", "__b").orderBy("__o", "__id")
-    slot = F.element_at("__x", F.col("__f") + 1)
+    copies = copies.withColumn("__s", F.element_at("__x", F.col("__f") + 1))
+    if weights is not None:
+        copies = copies.drop("__x")
+    slot = F.col("__s")
     rotated = F.coalesce(F.lead(slot).over(w), F.first(slot).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
     permuted = copies.withColumn("__v", rotated)
-    newx = F.transform("__x", lambda v, i: F.when(i == F.col("__f"), F.col("__v")).otherwise(v))
-    scored = model.transform(permuted.withColumn(features, array_to_vector(newx)))
+    if weights is not None:
+        weight = F.element_at(F.array(*map(F.lit, weights[lo:hi])), F.col("__f") - lo + 1)
+        scored = permuted.withColumn("prediction", F.col("__p") + weight * (F.col("__v") - F.col("__s")))
+    else:
+        newx = F.transform("__x", lambda v, i: F.when(i == F.col("__f"), F.col("__v")).otherwise(v))
+        scored = model.transform(permuted.withColumn(features, array_to_vector(newx)))
     err = F.col(label) - F.col("prediction")
     return scored.groupBy("__f", "__r").agg((1 - F.try_divide(F.avg(err * err), F.var_pop(label))).alias("r2"))
 
