@@ -10,22 +10,33 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, MapType, StringType, StructType
 
 DEFAULT_BROADCAST_ROWS = 1_000_000
+DEFAULT_BROADCAST_BYTES = 64 << 20
 
 
-def row_count_at_most(df: DataFrame, max_rows: int) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows. Scans at most max_rows + 1 rows."""
-    return df.limit(max_rows + 1).count() <= max_rows
+def _row_bytes(df: DataFrame) -> Column:
+    """About the bytes of a row: 8 per column, plus the content of strings, binaries and nested values."""
+    total = F.lit(8 * len(df.columns)).cast("long")
+    for f in df.schema.fields:
+        col = F.col(f"`{f.name.replace('`', '``')}`")
+        if isinstance(f.dataType, (StringType, BinaryType)):
+            total = total + F.coalesce(F.octet_length(col), F.lit(0))
+        elif isinstance(f.dataType, (ArrayType, MapType, StructType)):
+            total = total + F.octet_length(F.to_json(F.struct(col)))
+    return total
 
 
-def sized_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint only when the row count is proven to be under ``max_rows``.
+def sized_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS, max_bytes: int = DEFAULT_BROADCAST_BYTES) -> DataFrame:
+    """Broadcast hint only when the row count and the bytes are proven to be at most ``max_rows`` and ``max_bytes``.
 
     Otherwise the frame is returned unchanged and the planner chooses (AQE can
     still broadcast it at run time if its measured size is small).
     """
-    return F.broadcast(df) if row_count_at_most(df, max_rows) else df
+    rows, size = df.select(_row_bytes(df).alias("__bytes")).limit(max_rows + 1).agg(
+        F.count("*"), F.coalesce(F.sum("__bytes"), F.lit(0))).first()
+    return F.broadcast(df) if rows <= max_rows and size <= max_bytes else df
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:

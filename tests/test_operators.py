@@ -123,6 +123,11 @@ def test_sized_broadcast_falls_back(spark):
     assert sized_broadcast(df, 10) is df           # over the bound: no hint, planner decides
     assert sized_broadcast(df, 1000) is not df     # under the bound: broadcast hint added
     assert sized_broadcast(df, 1000).count() == 100
+    wide = spark.createDataFrame([(k, "x" * 1_000, None if k else bytearray(b"y"), [k], {k: "z"}) for k in range(20)],
+                                 "`a.b` long, t string, b binary, l array<long>, m map<long,string>")
+    assert sized_broadcast(wide, 1000, 10_000) is wide  # few rows, many bytes
+    assert sized_broadcast(wide, 1000, 100_000) is not wide
+    assert sized_broadcast(wide.limit(0), 0, 0) is not wide
 
 
 def test_percentile_edges_duplicates_and_two_edge_fix(spark):
