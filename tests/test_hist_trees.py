@@ -153,6 +153,40 @@ def test_forest_and_edges(spark, tmp_path):
         HistTreeRegressor(TreeSpec()).fit(data.limit(0))
 
 
+def test_blocks_keep_every_core_busy_and_leave_no_files(spark):
+    import os
+
+    from panelspark.operators import hist_trees
+    from panelspark.session import ensure_checkpoint_dir
+    rng = np.random.default_rng(8)
+    X = rng.integers(0, 9, (500, 2)).astype(float)
+    data = frame(spark, X, X[:, 0] * 3 + X[:, 1], parts=1)
+    seen = []
+    grow = hist_trees._grow
+    try:
+        hist_trees._grow = lambda rows, *a: (seen.append(len(rows.inputFiles())), grow(rows, *a))[1]
+        HistTreeRegressor(TreeSpec(n_estimators=6, max_depth=2)).fit(data)
+    finally:
+        hist_trees._grow = grow
+    assert len(seen) == 6 and min(seen) >= 1
+    folder = os.path.join(ensure_checkpoint_dir(spark), "trees").removeprefix("file:")
+    assert os.listdir(folder) == []
+
+
+def test_best_cut_equals_all_cuts():
+    from panelspark.operators.hist_trees import _best_cut
+    rng = np.random.default_rng(9)
+    n = rng.integers(0, 4, (3, 6)).astype(float)
+    n[:, 0] += 30 - n.sum(axis=1)
+    g = rng.normal(size=(3, 6)) * n
+    g[:, 0] += 5 - g.sum(axis=1)
+    spec = TreeSpec(min_child_rows=2, reg_lambda=1.0)
+    want = max((gl**2 / (nl + 1) + (5 - gl)**2 / (31 - nl) - 25 / 31, -f, -b) for f in (0, 2) for b in range(5)
+               for gl, nl in [(g[f, :b + 1].sum(), n[f, :b + 1].sum())] if 2 <= nl <= 28)
+    total, cut = _best_cut(np.stack((n, g, n), axis=1), np.array([True, False, True]), spec)
+    assert total == pytest.approx([30, 5, 30]) and cut[:3] == [-want[1], -want[2], pytest.approx(want[0])]
+
+
 def test_settings_reach_the_grower():
     lgbm = M.build_estimator("gbt_lgbm_profile", {"max_depth": -1, "learning_rate": 0.1, "num_leaves": 31, "min_child_samples": 10,
                                                   "reg_alpha": 0.1, "reg_lambda": 1, "subsample": 0.8, "n_estimators": 5})
