@@ -187,6 +187,17 @@ def test_best_cut_equals_all_cuts():
     assert total == pytest.approx([30, 5, 30]) and cut[:3] == [-want[1], -want[2], pytest.approx(want[0])]
 
 
+def test_leafwise_query_grows_the_profiles_trees(monkeypatch):
+    """As many trees and leaves as the profile's grid has at least, on every row."""
+    from panelspark import queries_ml
+    got = []
+    monkeypatch.setattr(queries_ml, "_fit_eval", lambda spark, root, algo, params: got.append((algo, params)))
+    queries_ml.q_fit_gbt_leafwise(None, None)
+    (algo, params), grid = got[0], M.GRIDS["gbt_lgbm_profile"]
+    assert algo == "gbt_lgbm_profile" and all(params[k] >= min(grid[k]) for k in ("n_estimators", "num_leaves", "learning_rate"))
+    assert params.get("subsample", 1.0) == 1.0 and set(params) <= set(grid)
+
+
 def test_settings_reach_the_grower():
     lgbm = M.build_estimator("gbt_lgbm_profile", {"max_depth": -1, "learning_rate": 0.1, "num_leaves": 31, "min_child_samples": 10,
                                                   "reg_alpha": 0.1, "reg_lambda": 1, "subsample": 0.8, "n_estimators": 5})
