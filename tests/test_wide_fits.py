@@ -50,3 +50,23 @@ def test_sketch_of_many_batches_brackets_the_quantiles(spark):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     ids = np.arange(200_000.0)
     assert got["x"] == pytest.approx(np.quantile(ids * ids / 7, [0.0, 0.5, 0.9])) and got["y"] == pytest.approx(np.quantile(-ids, [0.0, 0.5, 0.9]))
+
+
+def test_whole_flow_searches_every_setting(spark, monkeypatch):
+    from panelspark import queries_ml
+    from panelspark.operators import models as M
+    from panelspark.plans import modelling, panel
+
+    class Seen(Exception):
+        pass
+
+    def see(spark, rows, numeric, categorical, spec):
+        raise Seen([len(M.settings(spec.grids[a], None if spec.search == "full" else spec.n_random, spec.seed)) for a in spec.algorithms])
+
+    frame = spark.createDataFrame([("train", 1, 1, 1, 1, 2.0)], "data string, season int, element int, fixture int, target int, x double")
+    monkeypatch.setattr(panel, "feature_table_from", lambda spark, root: frame)
+    monkeypatch.setattr(modelling, "select", lambda train, numeric, categorical, **k: (numeric, categorical, None))
+    monkeypatch.setattr(modelling, "train_models", see)
+    with pytest.raises(Seen) as seen:
+        queries_ml.q_model_end_to_end(spark, "")
+    assert seen.value.args[0] == [len(M.settings(M.GRIDS[a])) for a in ("linear", "ridge")]
